@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, shards
+from . import bpe, chat, exact_dedup, katz, mixing, quality, shards
 from ._io import table
 
 
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file, which every machine has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), katz.in_training())
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizer())
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -26,7 +41,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_exact_dedup, op6_chat_rotation, op7_sharding)
+    f.__name__: f for f in (op1_mixing, op2_katz, op3_bpe, op4_exact_dedup, op6_chat_rotation, op7_sharding, op8_quality)
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle(), "op4_exact_dedup": exact_dedup.ORACLE, "op6_chat_rotation": chat.ORACLE, "op7_sharding": shards.oracle()}
