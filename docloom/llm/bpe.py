@@ -178,7 +178,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     at_once = texts.where(F.length("_text") <= leaf).mapInArrow(short, f"`{id_col}` {kind}, {SCHEMA}")
     large = texts.where(F.length("_text") > leaf).withColumn("_row", F.xxhash64("_text"))
-    cut = large.withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(leaf))).cast("long"))
+    cut = large.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.length("_text").cast("long") - 1, F.lit(leaf).cast("long"))))
     cut = cut.select(id_col, "_row", "_at", F.substring("_text", F.col("_at").cast("int") + 1, F.lit(leaf)).alias("_leaf"))
     leaves = cut.mapInArrow(encode, f"`{id_col}` {kind}, _row long, _at long, _leaf string, _tokens binary")
     joined = leaves.groupBy(id_col, "_row").applyInArrow(merge, f"`{id_col}` {kind}, {SCHEMA}")

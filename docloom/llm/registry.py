@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, katz, mixing, quality, shards
+from . import bpe, chat, exact_dedup, jaccard_join, katz, licenses, mixing, quality, shards, suffix
 from ._io import table
 
 
@@ -33,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
@@ -45,7 +49,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_katz, op3_bpe, op4_exact_dedup, op6_chat_rotation, op7_sharding, op8_quality)
+    f.__name__: f for f in (op1_mixing, op2_katz, op3_bpe, op4_exact_dedup, op5_jaccard_join, op6_chat_rotation, op7_sharding, op8_quality, op9_licenses, op10_suffix_array)
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle(), "op4_exact_dedup": exact_dedup.ORACLE, "op6_chat_rotation": chat.ORACLE, "op7_sharding": shards.oracle()}
