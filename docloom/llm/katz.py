@@ -33,6 +33,8 @@ from ._io import n_parts
 from ._words import bundle, flat, grams, mix, pack, pack_sorted, unbundle, unpack, unpack_sorted, words
 
 ORDER = 2
+#: Text bytes of a part: a task holds some twenty numbers for each token.
+PART = 8 << 20
 K = 5
 START, END = np.uint64(0x5107), np.uint64(0xE2D0)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -101,16 +103,22 @@ class Part:
     def ask(self, share: int):
         """Distinct k-grams (context, word) by bucket: packed fields, and each token's place."""
         v, w = self.context[self.valid], mix(self.token[self.valid]) & _LOW48
-        key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
-        _, one, place = np.unique(key, return_index=True, return_inverse=True)
+        key = (v & ~np.uint64(0xFFFFFFFF)) | (w >> np.uint64(16))
+        order = np.argsort(key)
+        a, b, k = v[order], w[order], key[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        if (new[1:] & (k[1:] == k[:-1])).any():  # the order must not depend on the order of rows
+            order = np.lexsort((w, v))
+            a, b = v[order], w[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        one = order[new]
         count = np.bincount(place, self.train[self.valid], len(one)).astype(np.int64)
         v, w, low, c = v[one], w[one], self.low[self.valid][one], self.context_count[self.valid][one]
         pieces = np.maximum(1, -(-c // share)).astype(np.uint64)
         bucket = (((v >> np.uint64(20)) + w % pieces) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((w, v))
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = np.arange(len(order))
-        return _sorted_by(bucket[order], (v[order], w[order], low[order], count[order], (pieces > 1)[order]), inverse[place])
+        return _sorted_by(bucket, (v, w, low, count, pieces > 1), place)
 
     def apply(self, r: np.ndarray, total: np.ndarray, alpha: np.ndarray, place: np.ndarray, n) -> None:
         """One step of the recursion; then contexts one word longer."""
@@ -140,7 +148,7 @@ def unknown(stats) -> tuple[float, float]:
 
 
 def _sorted_by(bucket: np.ndarray, fields: tuple, place: np.ndarray):
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.arange(len(order))
     bucket = bucket[order]
@@ -193,7 +201,12 @@ def _merged(table: pa.Table):
     """All requests of a bucket together: distinct k-grams with context, lower probability, count, whether divided."""
     each = [(p, _read(bytes(x))) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
     v, w, low, count, wide = (np.concatenate([e[1][i] for e in each]) for i in range(5))
-    _, one, place = np.unique(mix(v * np.uint64(0xC6A4A7935BD1E995) + w), return_index=True, return_inverse=True)
+    key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
+    order = np.argsort(key)
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    one = order[new]
     return each, place, v[one], low[one], np.bincount(place, count, len(one)).astype(np.int64), wide[one]
 
 
@@ -282,7 +295,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     share: tokens above which a context is divided (a bucket's fair share).
     """
-    parts = parts or n_parts(docs, text_col)
+    parts = parts or n_parts(docs, text_col, PART)
     buckets = parts
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
