@@ -212,12 +212,14 @@ def removed(n: int, spans: list) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def repeated_spans(texts: DataFrame, buckets: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
-    """texts (_row, _id, _text) to spans (row, start, stop) of repeated bytes; they may overlap."""
-    found = texts.select("_row", "_text").mapInArrow(_anchor_rows(span, q), "row long, lo int, hi int, key long, context long")
+def repeated_spans(docs: DataFrame, texts: DataFrame, buckets: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
+    """Spans (row, start, stop) of repeated bytes, which may overlap. docs: (_row, _id, _text); texts: the same, dealt by _row."""
+    found = docs.select("_row", "_text").mapInArrow(_anchor_rows(span, q), "row long, lo int, hi int, key long, context long")
     found = materialize(found, "anchors")
+    twice = found.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    found = materialize(found.join(twice, "key", "left_semi"), "repeated-anchors")
     each = found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("rep"))
-    sums = each.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("fewest"), F.sum("n").alias("total")).where("total > 1")
+    sums = each.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("fewest"))
     classes = materialize(each.join(sums, "key").select("key", "context", "n", "rep", "classes", "fewest"), "contexts")
     settled = found.join(classes.where("n > 1").select("key", "context"), ["key", "context"]).select("row", F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop"))
     asked = classes.where("classes > 1 AND fewest = 1").select(F.col("rep.row").alias("row"), F.struct("key", "n", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), (F.col("classes") > wide).alias("wide")).alias("x"))
@@ -238,7 +240,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     parts = n_parts(docs, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
     dealt = texts.repartition(parts, "_row")  # shuffled once, for the contexts and for the result
-    spans = repeated_spans(dealt, 4 * parts, span, q, step, wide)
+    spans = repeated_spans(texts, dealt, 4 * parts, span, q, step, wide)
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))  # a text's own spans
     kind = docs.schema[id_col].dataType.simpleString()
     joined = dealt.join(per_row, dealt["_row"] == per_row["row"], "left").select("_row", "_id", "_text", "_spans")
