@@ -192,9 +192,23 @@ def _coded(a: np.ndarray) -> tuple[bytes, bytes]:
 
 def _read(blob: bytes):
     """Context runs, contexts, words, lower probabilities, counts, whether divided."""
-    vu, run, w, lu, lc, count, wide = (y for y in unbundle(blob, 7))
-    v = np.repeat(unpack_sorted(vu), unpack(run))
-    return v, unpack(w), unpack(lu)[unpack(lc)], unpack(count), unpack(wide).astype(bool)
+    vu, run, gap, lu, lc, count, wide = (y for y in unbundle(blob, 7))
+    heads, run, count = unpack_sorted(vu), unpack(run), unpack(count)
+    first = np.cumsum(run) - run
+    w = np.concatenate([np.zeros(1, np.uint64), np.cumsum(unpack(gap), dtype=np.uint64)])
+    w = w[1:] - np.repeat(w[first], run)
+    low = np.zeros(len(w))
+    low[count > 0] = unpack(lu)[unpack(lc)]
+    return np.repeat(heads, run), w, low, count, unpack(wide).astype(bool)
+
+
+def _written(v: np.ndarray, w: np.ndarray, low: np.ndarray, count: np.ndarray, wide: np.ndarray) -> bytes:
+    """What _read reads. Words are differences within a context; unseen k-grams need no lower probability."""
+    new = np.concatenate([[True], v[1:] != v[:-1]])
+    heads = np.flatnonzero(new)
+    gap = w - np.where(new, np.uint64(0), np.concatenate([w[:1], w[:-1]]))
+    run = np.diff(np.concatenate([heads, [len(v)]]))
+    return bundle(pack_sorted(v[heads]), pack(run), pack(gap), *_coded(low[count > 0]), pack(count), pack(wide.astype(np.uint8)))
 
 
 def _merged(table: pa.Table):
@@ -202,7 +216,7 @@ def _merged(table: pa.Table):
     each = [(p, _read(bytes(x))) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
     v, w, low, count, wide = (np.concatenate([e[1][i] for e in each]) for i in range(5))
     key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
-    order = np.argsort(key)
+    order = np.lexsort((count == 0, key))  # the first of equal ones knows its lower probability
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
@@ -312,11 +326,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             part = _replay(table, answers, buckets, share, level - 1)
             stats = {s["level"]: s for s in answers.column("stats")[0].as_py()}
             bucket, cuts, (v, w, low, count, wide), _ = part.ask(share or _share(stats[1], buckets))
-            blobs = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                heads = np.concatenate([[0], np.flatnonzero(np.diff(v[a:b])) + 1])
-                run = np.diff(np.concatenate([heads, [b - a]]))
-                blobs.append(bundle(pack_sorted(v[a:b][heads]), pack(run), pack(w[a:b]), *_coded(low[a:b]), pack(count[a:b]), pack(wide[a:b].astype(np.uint8))))
+            blobs = [_written(*(x[a:b] for x in (v, w, low, count, wide))) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         return ask
