@@ -6,7 +6,8 @@ positions would be many times the input, so only suffixes that can matter are so
 1. Each SPAN-byte window has an anchor: the Q-byte string in it whose hash is least (the leftmost of equal
    ones). Equal windows have equal anchors, so windows fall into initial q-gram buckets by anchor; about one
    position in 180 is an anchor. The windows of one anchor cover a stretch of text (its context).
-2. Equal contexts are counted with partial sums. A context that occurs twice has only repeated windows. Anchors
+2. Equal contexts are counted, first within each batch of rows, so that a passage of any frequency sends one
+   anchor from each batch; then by anchor, in one shuffle. A context that occurs twice has only repeated windows. Anchors
    that occur once have none. What is left are the different contexts of an anchor, one copy of each.
 3. Those contexts are refined as suffixes: buckets of equal STEP-byte strings first, then each bucket is sorted
    by the bucket pointers STEP, 2 STEP, ... bytes later, each round using the pointers of the last, so that the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import materialize, n_parts
@@ -109,7 +110,12 @@ def _shared(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[many], number[many]
 
 
+_ANCHOR = "row long, lo int, hi int, key long, context long, n long"
+
+
 def _anchor_rows(span: int, q: int):
+    """Anchors; of equal contexts in a batch one with their number, and for the others, with n = 0, only the spans."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat(b.column(1))
@@ -118,7 +124,9 @@ def _anchor_rows(span: int, q: int):
             if got:
                 lo, hi, key, context = (np.concatenate([a[i] for _, a in got]) for i in range(4))
                 row = np.repeat(np.array([r for r, _ in got]), [len(a[0]) for _, a in got])
-                yield pa.RecordBatch.from_pydict({"row": row, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64)})
+                _, first, place, n = np.unique(mix(key + context * np.uint64(0xC6A4A7935BD1E995)), return_index=True, return_inverse=True, return_counts=True)
+                count = np.where(first[place] == np.arange(len(place)), n[place], 0)
+                yield pa.RecordBatch.from_pydict({"row": row, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64), "n": count.astype(np.int64)})
 
     return apply
 
@@ -214,15 +222,15 @@ def removed(n: int, spans: list) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, buckets: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
     """Spans (row, start, stop) of repeated bytes, which may overlap. docs: (_row, _id, _text); texts: the same, dealt by _row."""
-    found = docs.select("_row", "_text").mapInArrow(_anchor_rows(span, q), "row long, lo int, hi int, key long, context long")
-    found = materialize(found, "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    found = materialize(found.join(twice, "key", "left_semi"), "repeated-anchors")
-    each = found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("rep"))
-    sums = each.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("fewest"))
-    classes = materialize(each.join(sums, "key").select("key", "context", "n", "rep", "classes", "fewest"), "contexts")
-    settled = found.join(classes.where("n > 1").select("key", "context"), ["key", "context"]).select("row", F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop"))
-    asked = classes.where("classes > 1 AND fewest = 1").select(F.col("rep.row").alias("row"), F.struct("key", "n", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), (F.col("classes") > wide).alias("wide")).alias("x"))
+    found = materialize(docs.select("_row", "_text").mapInArrow(_anchor_rows(span, q), _ANCHOR), "anchors")
+    key, context = Window.partitionBy("key"), Window.partitionBy("key", "context")
+    one = Window.partitionBy("key", "context").orderBy("row", "lo")
+    counted = found.where("n > 0").withColumn("total", F.sum("n").over(context)).withColumn("place", F.row_number().over(one))
+    counted = counted.withColumn("classes", F.sum((F.col("place") == 1).cast("long")).over(key)).withColumn("fewest", F.min("total").over(key))
+    classes = materialize(counted.where("total > 1 OR classes > 1").drop("n", "context"), "contexts")
+    spans = F.col("row"), F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop")
+    settled = classes.where("total > 1").select(*spans).unionByName(found.where("n = 0").select(*spans))
+    asked = classes.where("place = 1 AND classes > 1 AND fewest = 1").select("row", F.struct("key", F.col("total").alias("n"), "lo", "hi", (F.col("classes") > wide).alias("wide")).alias("x"))
     asked = asked.groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
     reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(span), _REP)
     out = "row long, start int, stop int"
