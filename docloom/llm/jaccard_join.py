@@ -3,7 +3,7 @@
 The points are sets of word shingles; 1 - J is a metric, and two documents link at distance DIST or less.
 Points at distance 1 from everything share no shingle with any, so pivots that are documents alone could not
 divide them: the first level takes rare shingles as pivots. Two sets that link share one of the first
-n - ceil(0.8 n) + 1 of their shingles in any one order, so a point that is copied to the cells of that many
+n - ceil(0.8 n) + 1 of their shingles in any one order (the smaller set one of its first n - ceil(1.6 n / 1.8) + 1), so a point that is copied to the cells of that many
 shingles (the boundary that the distance allows) meets each partner in some cell. Shingles that many
 documents have come last in the order, which keeps such cells small; the order changes no result.
 
@@ -68,6 +68,11 @@ def first_ones(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def inner_ones(n: int) -> int:
+    """Shingles of which linked sets share one if n is the smaller of their sizes."""
+    return n - (2 * PERCENT * n + 99 + PERCENT) // (100 + PERCENT) + 1
+
+
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most MOST_HOT shingles that documents share most, with counts: it only sets the order."""
 
@@ -111,43 +116,64 @@ def _points(docs: DataFrame, buckets: int) -> DataFrame:
             if not one:
                 continue
             cells = [_in_order(s, *hot.value)[: first_ones(len(s))] for s in one.values()]
-            node = np.repeat(np.array(list(one), np.int64), [len(c) for c in cells])
+            count = np.array([len(c) for c in cells])
+            size = np.array([len(s) for s in one.values()], np.int64)
+            which = np.repeat(np.arange(len(count)), count)
             cell = np.concatenate(cells)
+            inner = np.arange(len(cell)) - (np.cumsum(count) - count)[which] < np.array([inner_ones(int(n)) for n in size])[which]
             at = ((cell >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((cell, at))
-            node, cell, at = node[order], cell[order], at[order]
+            which, cell, at, inner = which[order], cell[order], at[order], inner[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-            uniq = np.array(sorted(one), np.int64)
-            blobs = [bundle(pack_sorted(cell[a:z]), *_local(node[a:z], uniq)) for a, z in zip(cuts, cuts[1:], strict=False)]
+            name = np.array(list(one), np.int64)
+            blobs = [bundle(pack_sorted(cell[a:z]), *_local(which[a:z], name, size), pack(inner[a:z].astype(np.uint8))) for a, z in zip(cuts, cuts[1:], strict=False)]
             gap = pa.nulls(len(blobs), pa.int64())
             yield pa.RecordBatch.from_arrays([gap, gap, gap, gap, pa.array(at[cuts[:-1]]), pa.array(blobs, pa.binary())], schema=schema)
 
     return materialize(docs.select("_row", "_id", "_text").mapInArrow(apply, _KIND), "points")
 
 
-def _local(node: np.ndarray, uniq: np.ndarray) -> tuple[bytes, bytes]:
-    """Nodes as a sorted list and places in it."""
-    u, place = np.unique(node, return_inverse=True)
-    return pack(u), pack(place.astype(np.uint32))
+def _local(which: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The points that occur, their sizes, and places among them."""
+    u, place = np.unique(which, return_inverse=True)
+    return pack(name[u]), pack(size[u]), pack(place.astype(np.uint32))
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """Distinct (pivot, point) of the cells of a bucket that hold two points or more."""
-    cells, nodes = [], []
+    """Distinct (pivot, point) of the cells of a bucket where the sizes and the places of the shingle allow a link."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
     for x in table.column("blob").to_pylist():
-        c, u, place = unbundle(bytes(x), 3)
-        cells.append(unpack_sorted(c))
-        nodes.append(unpack(u)[unpack(place)])
-    c, v = np.concatenate(cells), np.concatenate(nodes)
+        c, u, size, place, inner = unbundle(bytes(x), 5)
+        place = unpack(place)
+        for p, y in zip(parts, (unpack_sorted(c), unpack(u)[place], unpack(size)[place], unpack(inner).astype(bool)), strict=True):
+            p.append(y)
+    c, v, n, inner = (np.concatenate(p) for p in parts)
+    many = np.zeros(len(c), bool)  # cells of one entry go first
+    order = np.argsort(c)
+    same = np.diff(c[order]) == 0
+    many[order[1:][same]] = many[order[:-1][same]] = True
+    c, v, n, inner = c[many], v[many], n[many], inner[many]
+    order = np.lexsort((v, n, c))
+    c, v, n, inner = c[order], v[order], n[order], inner[order]
+    if not len(c):
+        return pa.table({"pivot": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+    keep = np.concatenate([[True], (np.diff(c) != 0) | (np.diff(v) != 0)])
+    c, v, n, inner = c[keep], v[keep], n[keep], inner[keep]
+    # sizes ascend within a cell: a point may link with the next, if the cell is inner for it, and with the last inner one before
+    i = np.arange(len(c))
+    nxt = np.minimum(i + 1, len(c) - 1)
+    up = inner & (i < nxt) & (c[nxt] == c) & (100 * n >= PERCENT * n[nxt])
+    before = np.maximum.accumulate(np.where(inner, i, -1))
+    before = np.concatenate([[-1], before[:-1]])
+    down = (before >= 0) & (c[before] == c) & (100 * n[before] >= PERCENT * n)
+    c, v = c[up | down], v[up | down]
+    if not len(c):
+        return pa.table({"pivot": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
     order = np.lexsort((v, c))
     c, v = c[order], v[order]
-    keep = np.concatenate([[True], (np.diff(c) != 0) | (np.diff(v) != 0)])
-    c, v = c[keep], v[keep]
     start = np.concatenate([[True], np.diff(c) != 0])
-    run = np.cumsum(start) - 1
-    many = np.bincount(run)[run] > 1
-    pivot = v[np.flatnonzero(start)][run]
-    pairs = np.unique(np.stack([pivot[many], v[many]], axis=1), axis=0) if many.any() else np.zeros((0, 2), np.int64)
+    pivot = v[np.flatnonzero(start)][np.cumsum(start) - 1]
+    pairs = np.unique(np.stack([pivot, v], axis=1), axis=0)
     return pa.table({"pivot": pairs[:, 0], "node": pairs[:, 1]})
 
 
