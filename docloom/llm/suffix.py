@@ -220,7 +220,7 @@ def removed(n: int, spans: list) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, buckets: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
+def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
     """Spans (row, start, stop) of repeated bytes, which may overlap. docs: (_row, _id, _text); texts: the same, dealt by _row."""
     found = materialize(docs.select("_row", "_text").mapInArrow(_anchor_rows(span, q), _ANCHOR), "anchors")
     key, context = Window.partitionBy("key"), Window.partitionBy("key", "context")
@@ -231,10 +231,11 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, buckets: int, span: int =
     spans = F.col("row"), F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop")
     settled = classes.where("total > 1").select(*spans).unionByName(found.where("n = 0").select(*spans))
     asked = classes.where("place = 1 AND classes > 1 AND fewest = 1").select("row", F.struct("key", F.col("total").alias("n"), "lo", "hi", (F.col("classes") > wide).alias("wide")).alias("x"))
-    asked = asked.groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
+    # as many partitions as the texts have, so that those are not dealt again
+    asked = asked.repartition(parts, "row").groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
     reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(span), _REP)
     out = "row long, start int, stop int"
-    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_refined(span, step), out)
+    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("bucket").applyInArrow(_refined(span, step), out)
     if classes.where(F.col("classes") > wide).isEmpty():
         return settled.unionByName(narrow)
     windows = materialize(reps.where("wide").mapInArrow(_window_hashes(span), "h1 long, h2 long, n long, row long, start int"), "windows")
@@ -248,8 +249,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     parts = n_parts(docs, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
     dealt = texts.repartition(parts, "_row")  # shuffled once, for the contexts and for the result
-    spans = repeated_spans(texts, dealt, 4 * parts, span, q, step, wide)
-    per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))  # a text's own spans
+    spans = repeated_spans(texts, dealt, parts, span, q, step, wide)
+    per_row = spans.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))  # a text's own spans
     kind = docs.schema[id_col].dataType.simpleString()
     joined = dealt.join(per_row, dealt["_row"] == per_row["row"], "left").select("_row", "_id", "_text", "_spans")
     return joined.mapInArrow(_result(kind, id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
