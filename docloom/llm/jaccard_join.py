@@ -39,6 +39,8 @@ N = 5
 PERCENT = 80
 DIST = 1 - PERCENT / 100
 REGION = 2048
+#: Rows whose words are held at a time.
+SLICE = 1024
 HOT = 32
 MOST_HOT = 500_000
 _KIND = "row long, doc_id long, n long, node long, bucket int, blob binary"
@@ -46,16 +48,21 @@ _KIND = "row long, doc_id long, n long, node long, bucket int, blob binary"
 
 def shingle_sets(col, n: int = N) -> list[np.ndarray]:
     """Distinct shingle hashes of each row of an Arrow string column, sorted."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(col), SLICE):
+        _add_sets(col.slice(at, SLICE), n, out)
+    return out
+
+
+def _add_sets(col, n: int, out: list[np.ndarray]) -> None:
     data, off = flat(col)
     _, _, h, first = words(data, off)
     full = grams(h, n)
-    out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
             out.append(np.unique(full[a : b - n + 1]))
         else:
             out.append(mix(grams(h[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64))
-    return out
 
 
 def node_of(s: np.ndarray) -> int:
@@ -293,7 +300,7 @@ def _join(table: pa.Table) -> pa.Table:
 
 def _verify(tasks: DataFrame, docs: DataFrame, buckets: int, label: str) -> DataFrame:
     """tasks (task, pivot, node, row) joined with their texts and worked off."""
-    found = tasks.join(docs.select("_row", "_text"), tasks["row"] == docs["_row"]).select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("_bucket"), "task", "pivot", "node", "_row", "_text")
+    found = tasks.join(docs.select("_row", "_text"), tasks["row"] == docs["_row"]).select(F.pmod(F.xxhash64("task"), F.lit(4 * buckets)).alias("_bucket"), "task", "pivot", "node", "_row", "_text")
     return materialize(found.groupBy("_bucket").applyInArrow(_join, "task long, pivot long, a long, b long"), label)
 
 
