@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, span: int = SP
     narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("bucket").applyInArrow(_refined(span, step), out)
     if classes.where(F.col("classes") > wide).isEmpty():
         return settled.unionByName(narrow)
-    windows = materialize(reps.where("wide").mapInArrow(_window_hashes(span), "h1 long, h2 long, n long, row long, start int"), "windows")
+    windows = reps.where("wide").mapInArrow(_window_hashes(span), "h1 long, h2 long, n long, row long, start int")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
     loose = windows.where("n = 1").join(twice, ["h1", "h2"]).select("row", "start", (F.col("start") + span).cast("int").alias("stop"))
     return settled.unionByName(narrow).unionByName(loose)
