@@ -7,6 +7,8 @@ any range), then a finaliser.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -48,6 +50,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows, so that fewer words are held at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and row offsets (one more than rows); null counts as empty."""
     arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 LEAF = 32_768
 WINDOW = 64
-MEMO = 200_000
+MEMO = 100_000
 #: The tokenizer's split pattern (fixed value).
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 PLAIN = regex.compile("[\x20-\x7e\xa1-ɏ]*")
