@@ -41,8 +41,8 @@ DIST = 1 - PERCENT / 100
 REGION = 2048
 #: Rows whose words are held at a time.
 SLICE = 1024
-HOT = 32
-MOST_HOT = 500_000
+HOT = 8
+MOST_HOT = 1_000_000
 _KIND = "row long, doc_id long, n long, node long, bucket int, blob binary"
 
 
@@ -89,7 +89,7 @@ def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if not sets:
                 continue
             h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[c > 2].view(np.int64)), pa.array(c[c > 2])], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], ["h", "c"])
 
     found = docs.select("_text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
     t = found.orderBy(F.col("c").desc(), "h").limit(MOST_HOT).toArrow()
