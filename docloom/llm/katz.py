@@ -34,7 +34,7 @@ from ._words import bundle, flat, grams, mix, pack, pack_sorted, unbundle, unpac
 
 ORDER = 2
 #: Text bytes of a part: a task holds some twenty numbers for each token.
-PART = 8 << 20
+PART = 10 << 20
 K = 5
 START, END = np.uint64(0x5107), np.uint64(0xE2D0)
 _LOW48 = np.uint64((1 << 48) - 1)
