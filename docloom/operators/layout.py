@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from .numbering import explode_long
 
 TARGET, OVERLAP = 480, 64
 
@@ -56,8 +57,8 @@ def pack(sizes: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """Lines as elements, packed: doc_id, chunk_no, first, last, n_tokens, body."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    """Lines as elements, over-long ones by sentences, packed: doc_id, chunk_no, first, last, n_tokens, body."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.filter(explode_long(F.col(text_col), target), lambda x: F.trim(x) != "").alias("lines"))
     sized = lines.withColumn("sizes", F.transform("lines", token_estimate))
     packed = sized.select("doc_id", "lines", "sizes", F.posexplode(pack(F.col("sizes"), target, overlap)).alias("chunk_no", "c"))
     n = F.col("c.last") - F.col("c.first") + 1

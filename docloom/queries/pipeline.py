@@ -27,6 +27,6 @@ R["describe_table"] = (lambda s, d: (lambda df: s.createDataFrame([(f.name, f.da
 R["table_card"] = (lambda s, d: s.createDataFrame([(registry.card(s.read.parquet(f"{d}/region.parquet"), "region", "r.csv"),)], "card string"), None)
 R["clean_columns"] = (lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(registry.clean_columns(["Q3 Budget", "Q3 budget", "", "Unnamed: 3", "2026"]))], "pos int, name string"), None)
 R["incremental_ingest"] = (
-    lambda s, d: (lambda old, new: old.unionByName(new.join(old, "doc_id", "left_anti").dropDuplicates(["doc_id"])))(s.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "lang"), s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")).select("doc_id", F.col("lang").alias("lang")),
+    lambda s, d: (lambda old, new: old.unionByName(new.join(old, "doc_id", "left_anti").dropDuplicates(["doc_id"])))(s.read.parquet(f"{d}/documents.parquet").where("lang <> 'en'").select("doc_id", "lang"), s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")).select("doc_id", F.col("lang").alias("lang")),
     "SELECT doc_id, lang FROM documents",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import embedding
 from ..operators import retrieval as op
 from .base import Registry
 
@@ -94,8 +95,16 @@ R.sql("ordinal_exact", "SELECT conv_id, text FROM conversations WHERE turn = 3")
 R.sql("ordinal_last", "SELECT conv_id, turn FROM (SELECT conv_id, turn, rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r = 1")
 R.sql("upsert_new_chunks", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 R.sql("delete_doc", "SELECT doc_id, source FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)")
-R.sql("union_cards_chunks", "SELECT 'card' AS kind, n_name AS body FROM nation UNION ALL SELECT 'chunk', substring(text, 1, 40) FROM documents")
+R.sql("union_cards_chunks", "SELECT 'card' AS kind, n_name AS body FROM nation UNION ALL SELECT 'chunk', text FROM documents")
 R.sql("distinct_sets", "SELECT lang, count(DISTINCT source) AS sources, min(doc_id) AS first_id FROM documents GROUP BY lang")
 R.sql("pin_and_pad", """
-WITH h AS (SELECT doc_id AS id, CASE WHEN doc_id IN (7, 9) THEN 0 ELSE 1 END AS pri, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS dense_rank FROM documents WHERE doc_id < 30)
-SELECT id, pri FROM h WHERE pri = 0 OR dense_rank <= 5 ORDER BY pri, id LIMIT 4""")
+WITH h AS (SELECT doc_id AS id, source, CASE WHEN n_chars = max(n_chars) OVER (PARTITION BY lang) THEN 0 ELSE 1 END AS pri, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS dense_rank FROM documents)
+SELECT id, source, pri FROM h WHERE pri = 0 OR dense_rank <= 5""")
+R["rerank_seam"] = (
+    lambda s, d: op.rerank(fused(s, d), docs(s, d), query(s, d), 8),
+    BASE.replace("WITH tok", "WITH qt AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS qw FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), tok")
+    + """, cut AS (SELECT * FROM fu ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 32)
+SELECT id, score, round(len(list_intersect(qw, regexp_extract_all(lower(text), '[a-z0-9]+'))) / len(qw), 6) AS rerank_score FROM cut JOIN documents ON id = doc_id, qt
+ORDER BY rerank_score DESC, score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 8""",
+)
+R["embed_buckets"] = (lambda s, d: embedding.buckets(docs(s, d), ["doc_id"], "text"), "SELECT doc_id, (('0x' || substr(sha1(term), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2")

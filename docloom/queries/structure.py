@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import answers, layout, numbering
+from ..plans import evaluation
+from ..sources import files
 from .base import Registry
 from .textual import documents
 from .textual import literal as _literal
@@ -64,3 +66,24 @@ literal("eval_summary", "kind, ok, conf, secs", "('doc', 1, 0.9, 10.0), ('doc',
 R.sql("session_context", """
 SELECT conv_id, string_agg(concat(role, ': ', text), ' | ') WITHIN GROUP (ORDER BY turn) AS ctx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r <= 4 GROUP BY conv_id""", """
 SELECT conv_id, string_agg(concat(role, ': ', text), ' | ' ORDER BY turn) AS ctx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r <= 4 GROUP BY conv_id""")
+QUIZ = "Read all of this with care.\n1. One a) x b) y c) z\n2) Two is R(a,b) c. p a. q d. s b. r\n3. Three\nmore\n4. Four of Company B.\nb. k a. j c. l\n9. Nine"
+R["enumerate_items"] = (
+    lambda s, d: numbering.items(s.createDataFrame([(1, QUIZ), (2, "1. a\n2. b\nno run"), (3, None)], "doc_id int, text string")),
+    """SELECT * FROM (VALUES (1, 0, 'paragraph', NULL, 'Read all of this with care.'), (1, 1, 'list_item', 1, '1. One a) x b) y c) z'), (1, 2, 'list_item', 2, '2) Two is R(a,b)' || chr(10) || 'a. q' || chr(10) || 'b. r' || chr(10) || 'c. p' || chr(10) || 'd. s'),
+(1, 3, 'list_item', 3, '3. Three' || chr(10) || 'more'), (1, 4, 'list_item', 4, '4. Four of Company B.' || chr(10) || 'a. j' || chr(10) || 'b. k' || chr(10) || 'c. l'), (2, 0, 'paragraph', NULL, '1. a' || chr(10) || '2. b' || chr(10) || 'no run')) AS t(doc_id, seq, kind, ordinal, text)""",
+)
+R["enumerate_documents"] = (lambda s, d: numbering.share_preambles(numbering.items(documents(s, d))), None)
+R["reorder_options"] = (lambda s, d: documents(s, d).select("doc_id", numbering.reorder_options(F.col("text")).alias("text")), None)
+R["explode_long"] = (lambda s, d: documents(s, d).select("doc_id", F.posexplode(numbering.explode_long(F.col("text"))).alias("pos", "piece")), None)
+R["verify_answers"] = (
+    lambda s, d: answers.verify(
+        s.sql("SELECT * FROM VALUES (1, 'Refunds take 14 days after the return. [1] It costs 1,200 dollars. [2]', 1.0, false, true), (2, 'Nothing here is cited at all.', 0.9, false, false), (3, 'Hello!', CAST(NULL AS DOUBLE), true, false), (4, '', 0.5, false, false) AS t(answer_id, draft, signal, chitchat, has_tables)"),
+        s.sql("SELECT * FROM VALUES (1, 1, 'refunds take 14 days after the return', false), (1, 2, 'total 1200', true), (1, 3, 'unused', false) AS t(answer_id, n, source_text, trusted)"),
+    ).select("answer_id", "verdict", "confidence", F.array_join("kept", ",").alias("kept")),
+    "SELECT * FROM (VALUES (1, 'ship', 0.95::DOUBLE, '1,2'), (2, 'refuse', 0.23::DOUBLE, ''), (3, 'chitchat', 1.0::DOUBLE, ''), (4, 'refuse', 0.0::DOUBLE, '')) AS t(answer_id, verdict, confidence, kept)",
+)
+R["guard_sizes"] = (lambda s, d: documents(s, d).select("doc_id", files.guard_column(F.octet_length("text"), 1 << 14).alias("error")), "SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'empty file' WHEN strlen(text) > 16384 THEN 'larger than 16384 bytes' END AS error FROM documents")
+R["sniff_kind"] = (lambda s, d: files.sniffed(documents(s, d).select("doc_id", F.encode("text", "utf-8").alias("content")), "doc_id"), None)
+R["parse_text_elements"] = (lambda s, d: files.elements(s.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("page"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content"))), None)
+R["csv_tables"] = (lambda s, d: files.elements(s.createDataFrame([("a.csv", bytearray("\ufeffx;y\n1;2\nragged\n3;4\n".encode())), ("b.tsv", bytearray(b"p\tq\n\xe9\t|\n"))], "path string, content binary")).select("path", "text"), "SELECT * FROM (VALUES ('a.csv', '| x | y |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 | 4 |'), ('b.tsv', '| p | q |' || chr(10) || '| é | \\| |')) AS t(path, text)")
+R["eval_report"] = (lambda s, d: evaluation.report(s.sql("SELECT * FROM VALUES ('q1', 'doc', true, 0.9, 10.0), ('q2', 'none', true, 0.0, 30.0), ('q3', 'doc', false, 0.5, 20.0) AS t(q, kind, ok, confidence, seconds)")), "SELECT * FROM (VALUES ('doc', 1, 2, 0.7::DOUBLE, 15.0::DOUBLE), ('none', 1, 1, 0.0::DOUBLE, 30.0::DOUBLE)) AS t(kind, passed, n, confidence, median_seconds)")

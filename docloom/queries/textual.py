@@ -69,7 +69,7 @@ literal("result_markdown", "a, b", "(1, 'x'), (2, NULL)", "SELECT concat('| ', a
 R.sql("citation_label", "SELECT doc_id, concat(source, CASE WHEN doc_id % 3 = 0 THEN concat(' (p.', doc_id, ')') WHEN doc_id % 3 = 1 THEN concat(' (', lang, ' > ', source, ')') ELSE ' (start)' END) AS label FROM documents")
 R.sql("context_text", "SELECT conv_id, turn, CASE WHEN length(coalesce(prev, '')) > length(text) THEN prev ELSE text END AS ctx FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) t")
 R.sql("snippets", "SELECT doc_id, trim(substring(text, 1, 280)) AS snippet, substring(text, 1, 400) AS sql_snippet FROM documents")
-R.sql("eval_filter", "SELECT item_id FROM benchmark WHERE item_id % 2 = 0 ORDER BY item_id LIMIT 10")
+R.sql("eval_filter", "SELECT item_id FROM benchmark WHERE lower(text) LIKE '%the%' ORDER BY item_id LIMIT 10")
 EXT = "lower(regexp_extract(name, '(\\\\.[^./]+)$', 1))"
 FILES = "(1, 'a.PDF', 'text'), (2, 'b.py', 'image'), (3, 'c.html', 'text'), (4, 'd.bin', 'zip'), (5, 'e.csv', 'text'), (6, 'f.zzz', 'none'), (7, 'g.md', 'pdf'), (8, 'h.jpeg', 'text'), (9, 'i.docx', 'zip')"
 # Extensions by kind.

@@ -12,7 +12,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.textual import CODE, IMAGE, SHEET, TEXTLIKE
@@ -48,6 +48,23 @@ def guard(name: str, size: int, max_mb: int = MAX_MB) -> str | None:
     return "empty file" if not size else f"larger than {max_mb} MB" if size > max_mb << 20 else None
 
 
+def guard_column(length: Column, most: int = MAX_MB << 20) -> Column:
+    """guard over a column of lengths in bytes."""
+    return F.when(length == 0, "empty file").when(length > most, f"larger than {most} bytes")
+
+
+def sniffed(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """id_col and sniff of rows (id_col, content); a null content is none."""
+    kind = files.schema[id_col].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sniff(bytes(x or b"")) for x in b.column(1).to_pylist()], pa.string())], [id_col, "kind"])
+
+    # magic bytes and the printable share are judged on the head alone
+    return files.select(id_col, F.substring("content", 1, 2048).alias("content")).mapInArrow(apply, f"`{id_col}` {kind}, kind string")
+
+
 def parse_text(text: str, markdown: bool = True) -> Iterator[tuple[str, int | None, str]]:
     """(element, level, text): headings by # or underline, fenced code, paragraphs; in plain text also short
     numbered or upper-case lines before an empty one. Front matter between --- lines is skipped."""
