@@ -1,4 +1,4 @@
-"""python -m docloom [--home DIR] ingest DIR | search QUERY | ask QUESTION | stats | delete SOURCE"""
+"""python -m docloom [--home DIR] ingest DIR | search QUERY | ask QUESTION | register FILE | sql STATEMENT | stats | delete SOURCE"""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     p = argparse.ArgumentParser(prog="docloom")
     p.add_argument("--home", default="docloom-data")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, arg in (("ingest", "path"), ("search", "query"), ("ask", "question"), ("delete", "source")):
+    for name, arg in (("ingest", "path"), ("search", "query"), ("ask", "question"), ("register", "path"), ("sql", "statement"), ("delete", "source")):
         sub.add_parser(name).add_argument(arg)
     sub.add_parser("stats")
     a = p.parse_args(argv)
@@ -26,6 +26,10 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     elif a.command == "ask":
         got = e.ask(a.question)
         print(f"{got.text}\n[{got.verdict}, confidence {got.confidence}]", *(f"[{n}] {s}" for n, s in got.citations), sep="\n")
+    elif a.command == "register":
+        print(*e.register(a.path), sep="\n")
+    elif a.command == "sql":
+        e.sql(a.statement).show(200, truncate=80)
     elif a.command == "delete":
         e.delete(a.source)
     if a.command in ("ingest", "stats", "delete"):

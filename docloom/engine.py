@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from .functions import embedding
 from .functions import text as tx
 from .operators import answers, layout, retrieval
-from .plans import planner
+from .plans import guard, planner, registry
 from .sources import files
 
 CHUNK = "chunk_id string, source string, seq int, ordinal int, text string, embedding array<float>"
@@ -106,6 +106,26 @@ class Engine:
         top = sents.where("hits > 0").withColumn("r", F.row_number().over(w)).where("r = 1").orderBy(F.col("hits").desc(), "n").limit(most)
         return " ".join(f"{r.s} [{r.n}]" for r in top.collect())
 
+    def register(self, path: str) -> list[str]:
+        """Writes the tables of a CSV, TSV or XLSX file, in place of earlier ones of the same name; returns their names."""
+        found = registry.load(self.spark, path)
+        for name, df in found.items():
+            df.write.mode("overwrite").parquet(f"{self.home}/tables/{name}")
+        return list(found)
+
+    def tables(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.home}/tables")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
+
+    def sql(self, text: str, tables: list[str] | None = None) -> DataFrame:
+        """One read-only statement over registered tables (all, or the named ones)."""
+        scope = [t for t in self.tables() if tables is None or t in tables]
+        for t in scope:
+            self.spark.read.parquet(f"{self.home}/tables/{t}").createOrReplaceTempView(t)
+        return guard.run_sql(self.spark, text, scope)
+
     def stats(self) -> tuple[int, int]:
         """Numbers of chunks and of files."""
         r = self.chunks().agg(F.count("*").alias("c"), F.count_distinct("source").alias("f")).first()

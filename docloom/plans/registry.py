@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 MAX_TABLE_ROWS = 100_000
 
 
@@ -24,6 +26,41 @@ def clean_columns(names: list[str]) -> list[str]:
     return out
 
 
+def table_name(path: str, sheet: str | None = None) -> str:
+    stem = path.rsplit("/", 1)[-1].rpartition(".")[0]
+    return clean_columns([stem])[0] + (f"__{clean_columns([sheet])[0]}" if sheet else "")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables of a CSV, TSV or XLSX file by name, tidied. A name is the file's, and of a workbook the sheet's too."""
+    head = spark.read.format("binaryFile").load(path).select("length", "content").first()
+    if head is None:
+        raise ValueError(f"empty file: {path}")
+    if why := files.guard(path, head.length):
+        raise ValueError(why)
+    data = bytes(head.content)  # at most files.MAX_MB
+    if not data.startswith(b"PK"):
+        _, coding, sep = files.delimited(data, path)
+        read = spark.read.option("header", True).option("inferSchema", True).option("mode", "DROPMALFORMED").option("sep", sep)
+        return {table_name(path): tidy(read.option("encoding", "ISO-8859-1" if coding in ("cp1252", "latin-1") else "UTF-8").csv(path))}
+    found = {}
+    for sheet, rows in files.workbook(data):
+        if len(rows) > 1:
+            names = clean_columns([c or "" for c in rows[0]])
+            raw = spark.createDataFrame(rows[1:], ", ".join(f"`{n}` string" for n in names))
+            found[table_name(path, sheet)] = tidy(typed(raw))
+    return found
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """String columns whose values are all numbers become BIGINT or DOUBLE."""
+    tests = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    tests += [F.count(F.col(f"`{c}`").try_cast(t)).alias(f"{t}{i}") for i, c in enumerate(df.columns) for t in ("bigint", "double")]
+    r = df.agg(*tests).first()
+    kind = lambda i: "bigint" if r[f"bigint{i}"] == r[f"n{i}"] and not df.where(F.col(f"`{df.columns[i]}`").contains(".")).take(1) else "double" if r[f"double{i}"] == r[f"n{i}"] else "string"
+    return df.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) if r[f"n{i}"] else F.col(f"`{c}`") for i, c in enumerate(df.columns)])
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Without rows and columns that are all null, with clean names."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()

@@ -171,8 +171,8 @@ def parse_office(data: bytes) -> Iterator[tuple[str, int | None, str]]:
                         yield ("heading", int(m[1] or 1), text) if m else ("paragraph", None, text)
 
 
-def parse_sheet(data: bytes, name: str) -> Iterator[tuple[str, int | None, str]]:
-    """A delimited file as one Markdown table; rows of another width are skipped."""
+def delimited(data: bytes, name: str) -> tuple[str, str, str]:
+    """Text, encoding and separator of a delimited file; the first encoding that fits is taken."""
     for coding in ("utf-8-sig", "utf-8", "cp1252", "latin-1"):
         try:
             text = data.decode(coding)
@@ -180,10 +180,57 @@ def parse_sheet(data: bytes, name: str) -> Iterator[tuple[str, int | None, str]]
         except UnicodeDecodeError:
             continue
     first = text.split("\n", 1)[0]
-    sep = "\t" if name.endswith(".tsv") else max(",;\t|", key=first.count)
+    return text, coding, "\t" if name.lower().endswith(".tsv") else max(",;\t|", key=first.count)
+
+
+def _column(ref: str) -> int:
+    """0-based column of a cell reference such as AB12."""
+    n = 0
+    for c in re.match("[A-Z]*", ref)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def workbook(data: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
+    """(sheet name, rows) of a workbook; cells are strings or None, rows are as wide as the widest."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        text = lambda e: "".join(t.text or "" for t in e.iter() if t.tag.endswith("}t"))
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if e.tag.endswith("}si")] if "xl/sharedStrings.xml" in names else []
+        link = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")):
+            target = link[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            rows: list[dict[int, str | None]] = []
+            for row in (e for e in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter() if e.tag.endswith("}row")):
+                cells: dict[int, str | None] = {}
+                for c in row:
+                    value = next((v.text for v in c if v.tag.endswith("}v")), None)
+                    kind = c.get("t")
+                    cells[_column(c.get("r")) if c.get("r") else len(cells)] = text(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value
+                rows.append(cells)
+            width = max((max(r) + 1 for r in rows if r), default=0)
+            yield sheet.get("name"), [[r.get(i) for i in range(width)] for r in rows]
+
+
+def markdown_table(rows: list[list[str | None]], most_columns: int = 40, most_rows: int = 400, most_chars: int = 300) -> str | None:
+    """Rows as Markdown; pipes escaped, blank rows dropped; None below two rows. The limits are the format's."""
+    cell = lambda c: re.sub(r"\s+", " ", c or "").strip()[:most_chars].replace("|", "\\|")
+    lines = ["| " + " | ".join(map(cell, r[:most_columns])) + " |" for r in rows[:most_rows] if any((c or "").strip() for c in r)]
+    return "\n".join(lines) if len(lines) > 1 else None
+
+
+def parse_sheet(data: bytes, name: str) -> Iterator[tuple[str, int | None, str]]:
+    """A delimited file as one Markdown table (rows of another width are skipped), or one for each sheet of a workbook."""
+    if data.startswith(b"PK"):
+        for sheet, rows in workbook(data):
+            yield "heading", 1, sheet
+            if body := markdown_table(rows):
+                yield "table", None, body
+        return
+    text, _, sep = delimited(data, name)
     rows = [r for r in csv.reader(io.StringIO(text), delimiter=sep) if r]
-    good = [r for r in rows if len(r) == len(rows[0])]
-    yield "table", None, "\n".join("| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in good)
+    if body := markdown_table([r for r in rows if len(r) == len(rows[0])]):
+        yield "table", None, body
 
 
 def parse(name: str, data: bytes) -> tuple[str, list[tuple[str, int | None, str]]]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +31,25 @@ def usage_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
 
 
+def session_memory(turns: DataFrame, recent: int = 4) -> DataFrame:
+    """conv_id, context, folded: the last turns of each conversation, and how many older ones were folded away.
+
+    State is at most `recent` turns and a count for each conversation. Turns of one batch are taken in order.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, folded = state.get if state.exists else ("[]", 0)
+        lines = json.loads(held)
+        for t in pd.concat(batches).sort_values("turn", kind="stable").itertuples():
+            lines.append(f"{t.role}: {t.text}")
+        folded += max(0, len(lines) - recent)
+        lines = lines[-recent:]
+        state.update((json.dumps(lines), folded))
+        yield pd.DataFrame({"conv_id": [key[0]], "context": [" | ".join(lines)], "folded": [folded]})
+
+    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(update, "conv_id long, context string, folded long", "held string, folded long", "update", "NoTimeout")
+
+
 def ingest_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
     """Append rows whose key the target table does not have; a batch that runs again adds nothing."""
 

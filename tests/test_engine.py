@@ -1,10 +1,15 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.__main__ import main
 from docloom.engine import Engine
 from docloom.operators import answers, numbering
-from docloom.plans import evaluation, planner
+from docloom.plans import evaluation, guard, planner
+from docloom.queries import REGISTRY
+from docloom.streaming import jobs
 
 
 def test_main_run(spark):
@@ -80,3 +85,40 @@ def test_engine(spark, tmp_path, capsys):
     assert e.ask("Zebra quantum xylophone?").verdict == "refuse"
     main(["--home", e.home, "delete", "travel.md"], spark)
     assert "1 chunks of 1 files" in capsys.readouterr().out
+
+
+def make_workbook() -> bytes:
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Head Count" sheetId="1" r:id="a"/><sheet name="Empty" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Department</t></si><si><r><t>Sa</t></r><r><t>les</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Heads</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>100</v></c></row><row><c r="A3" t="s"><v>1</v></c><c r="C3"><v>19</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+    return buf.getvalue()
+
+
+def test_registered_tables(spark, tmp_path):
+    (tmp_path / "m.xlsx").write_bytes(make_workbook())
+    (tmp_path / "sales.csv").write_bytes("﻿region;revenue usd\neast;10\nwest;20\n".encode())
+    (tmp_path / "none.csv").write_bytes(b"")
+    e = Engine(spark, f"file://{tmp_path}/home")
+    assert e.tables() == []
+    assert e.register(f"file://{tmp_path}/m.xlsx") == ["m__head_count"] and e.register(f"file://{tmp_path}/sales.csv") == ["sales"]
+    assert e.tables() == ["m__head_count", "sales"]
+    assert e.sql("SELECT sum(heads) AS n FROM m__head_count").first().n == 119
+    assert e.sql("SELECT sum(revenue_usd) AS n FROM sales").first().n == 30
+    with pytest.raises(guard.GuardError):
+        e.sql("SELECT * FROM sales", ["m__head_count"])
+    with pytest.raises(ValueError, match="empty"):
+        e.register(f"file://{tmp_path}/none.csv")
+
+
+def test_session_memory(spark, tmp_path):
+    stream = jobs.stream_table(spark, "/root/testdata/sf0.001", "conversations")
+    q = jobs.session_memory(stream).writeStream.format("memory").queryName("memory").outputMode("update").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {r.conv_id: (r.ctx, r.n) for r in REGISTRY["session_context"][0](spark, "/root/testdata/sf0.001").collect()}
+    assert {r.conv_id: (r.context, min(4, r.context.count(" | ") + 1)) for r in spark.table("memory").collect()}.keys() == want.keys()
+    assert all(want[r.conv_id][0] == r.context for r in spark.table("memory").collect())
