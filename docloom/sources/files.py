@@ -157,18 +157,65 @@ def parse_code(text: str) -> Iterator[tuple[str, int | None, str]]:
 
 
 def parse_office(data: bytes) -> Iterator[tuple[str, int | None, str]]:
-    """Paragraphs of a word file, or of a deck's slides; heading styles are headings."""
+    """Paragraphs and tables of a word file in order, or of a deck's slides with titles and charts; heading styles are headings."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
-        parts = ["word/document.xml"] if "word/document.xml" in names else sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for name in parts:
-            for p in ElementTree.fromstring(z.read(name)).iter():
-                if p.tag.endswith("}p"):
-                    text = "".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")).strip()
-                    style = next((v for s in p.iter() if s.tag.endswith("}pStyle") for v in s.attrib.values()), "")
-                    m = re.match(r"(?:Heading|Title)(\d*)", style)
-                    if text:
-                        yield ("heading", int(m[1] or 1), text) if m else ("paragraph", None, text)
+        if "word/document.xml" in names:
+            yield from _blocks(ElementTree.fromstring(z.read("word/document.xml")))
+            return
+        slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        for name in slides:
+            yield from _blocks(ElementTree.fromstring(z.read(name)))
+            rels = name.replace("slides/", "slides/_rels/") + ".rels"
+            for rel in ElementTree.fromstring(z.read(rels)) if rels in names else ():
+                part = "ppt/" + rel.get("Target", "").removeprefix("../").removeprefix("/ppt/")
+                if "/charts/" in part and part in names and (body := chart(ElementTree.fromstring(z.read(part)))):
+                    yield "table", None, body
+
+
+def _tag(e) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _words(e) -> str:
+    return "".join(t.text or "" for t in e.iter() if _tag(t) == "t").strip()
+
+
+def _blocks(e, title: bool = False) -> Iterator[tuple[str, int | None, str]]:
+    for x in e:
+        tag = _tag(x)
+        if tag == "tbl":
+            if body := markdown_table([[_words(c) for c in r if _tag(c) == "tc"] for r in x if _tag(r) == "tr"]):
+                yield "table", None, body
+        elif tag == "p":
+            text = _words(x)
+            style = next((v for s in x.iter() if _tag(s) == "pStyle" for v in s.attrib.values()), "")
+            m = re.match(r"(?:Heading|Title)(\d*)", style)
+            if text and (m or title):
+                yield "heading", int(m[1] or 1) if m else 1, text
+            elif text:
+                yield "list_item" if style.startswith("List") else "paragraph", None, text
+        else:
+            holder = next((p for p in x.iter() if _tag(p) == "ph"), None) if tag == "sp" else None
+            yield from _blocks(x, title or (holder is not None and holder.get("type") in ("title", "ctrTitle")))
+
+
+def figure(x: str | None) -> str:
+    """A number with thousands marks and at most two places; other text as it is."""
+    try:
+        return f"{float(x):,.2f}".rstrip("0").rstrip(".")
+    except (TypeError, ValueError):
+        return x or ""
+
+
+def chart(root) -> str | None:
+    """A chart part as a Markdown table: a row for each category, a column for each series."""
+    points = lambda e, kind: {int(p.get("idx")): next((v.text for v in p if _tag(v) == "v"), None) for k in e if _tag(k) == kind for p in k.iter() if _tag(p) == "pt"}
+    series = [(points(s, "tx").get(0) or f"Series {i}", points(s, "cat"), points(s, "val")) for i, s in enumerate((s for s in root.iter() if _tag(s) == "ser"), 1)]
+    if not series:
+        return None
+    categories = max((c for _, c, _ in series), key=len)
+    return markdown_table([["Category", *(n for n, _, _ in series)], *([categories[k], *(figure(v.get(k)) for _, _, v in series)] for k in sorted(categories))])
 
 
 def delimited(data: bytes, name: str) -> tuple[str, str, str]:

@@ -9,6 +9,7 @@ from docloom.engine import Engine
 from docloom.operators import answers, numbering
 from docloom.plans import evaluation, guard, planner
 from docloom.queries import REGISTRY
+from docloom.sources import files
 from docloom.streaming import jobs
 
 
@@ -122,3 +123,16 @@ def test_session_memory(spark, tmp_path):
     want = {r.conv_id: (r.ctx, r.n) for r in REGISTRY["session_context"][0](spark, "/root/testdata/sf0.001").collect()}
     assert {r.conv_id: (r.context, min(4, r.context.count(" | ") + 1)) for r in spark.table("memory").collect()}.keys() == want.keys()
     assert all(want[r.conv_id][0] == r.context for r in spark.table("memory").collect())
+
+
+def test_office_tables_and_charts():
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:body><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:t>a</w:t></w:p></w:tc><w:tc><w:p><w:t>b|c</w:t></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:t>1</w:t></w:p></w:tc><w:tc/></w:tr></w:tbl><w:p><w:t>after</w:t></w:p></w:body></w:document>')
+    assert list(files.parse_office(buf.getvalue())) == [("heading", 1, "Top"), ("table", None, "| a | b\\|c |\n| 1 |  |"), ("paragraph", None, "after")]
+    deck = io.BytesIO()
+    with zipfile.ZipFile(deck, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", '<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:nvPr><p:ph type="title"/></p:nvPr><p:txBody><a:p><a:r><a:t>Sales</a:t></a:r></a:p></p:txBody></p:sp><p:sp><p:txBody><a:p><a:t>body</a:t></a:p></p:txBody></p:sp></p:sld>')
+        z.writestr("ppt/slides/_rels/slide1.xml.rels", '<Relationships><Relationship Id="r" Target="../charts/chart1.xml"/></Relationships>')
+        z.writestr("ppt/charts/chart1.xml", '<c xmlns:c="c"><c:ser xmlns:c="c"><c:tx><c:pt idx="0"><c:v>Rev</c:v></c:pt></c:tx><c:cat><c:pt idx="0"><c:v>Enterprise</c:v></c:pt></c:cat><c:val><c:pt idx="0"><c:v>1276800</c:v></c:pt></c:val></c:ser></c>')
+    assert list(files.parse_office(deck.getvalue())) == [("heading", 1, "Sales"), ("paragraph", None, "body"), ("table", None, "| Category | Rev |\n| Enterprise | 1,276,800 |")]
