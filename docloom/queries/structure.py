@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, layout, numbering
+from ..operators import answers, layout, numbering, pages
 from ..plans import evaluation
 from ..sources import files
+from . import textual
 from .base import Registry
 from .textual import documents
 from .textual import literal as _literal
@@ -15,8 +16,6 @@ REGISTRY = R = Registry()
 
 
 def literal(name, columns, rows, spark_sql, duck_sql=None):
-    from . import textual
-
     _literal(name, columns, rows, spark_sql, duck_sql)
     R[name] = textual.REGISTRY.pop(name)
 
@@ -87,3 +86,15 @@ R["sniff_kind"] = (lambda s, d: files.sniffed(documents(s, d).select("doc_id", F
 R["parse_text_elements"] = (lambda s, d: files.elements(s.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("page"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content"))), None)
 R["csv_tables"] = (lambda s, d: files.elements(s.createDataFrame([("a.csv", bytearray("\ufeffx;y\n1;2\nragged\n3;4\n".encode())), ("b.tsv", bytearray(b"p\tq\n\xe9\t|\n"))], "path string, content binary")).select("path", "text"), "SELECT * FROM (VALUES ('a.csv', '| x | y |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 | 4 |'), ('b.tsv', '| p | q |' || chr(10) || '| é | \\| |')) AS t(path, text)")
 R["eval_report"] = (lambda s, d: evaluation.report(s.sql("SELECT * FROM VALUES ('q1', 'doc', true, 0.9, 10.0), ('q2', 'none', true, 0.0, 30.0), ('q3', 'doc', false, 0.5, 20.0) AS t(q, kind, ok, confidence, seconds)")), "SELECT * FROM (VALUES ('doc', 1, 2, 0.7::DOUBLE, 15.0::DOUBLE), ('none', 1, 1, 0.0::DOUBLE, 30.0::DOUBLE)) AS t(kind, passed, n, confidence, median_seconds)")
+
+
+def on_operator(name: str, spark_rows: str, columns: str, apply) -> None:
+    """A query over literal rows goes through its operator; DuckDB keeps its SQL."""
+    known = R if name in R else textual.REGISTRY
+    known[name] = (lambda s, d: apply(s.sql(f"SELECT * FROM VALUES {spark_rows} AS t({columns})")), known[name][1])
+
+
+on_operator("reading_order", "(1, 1, 1, 50.0D, 10.0D, 40.0D), (1, 1, 2, 5.0D, 12.0D, 42.0D), (1, 1, 3, 5.0D, 60.0D, 90.0D), (1, 1, 4, 70.0D, 65.0D, 95.0D), (1, 1, 5, 30.0D, 61.0D, 91.0D)", "doc_id, page, id, x0, y0, y1", lambda x: pages.reading_order(x).select("id", "pos"))
+on_operator("synthetic_ordinals", "(1, 1, false, 4), (1, 2, false, 30), (1, 3, true, NULL), (1, 4, true, NULL)", "doc_id, seq, part, ordinal", lambda x: pages.number_parts(x).select(F.col("seq").alias("id"), "ordinal"))
+on_operator("heading_level_buckets", "(1, 20.0D, 10.0D), (2, 14.0D, 10.0D), (3, 12.0D, 10.0D), (4, 10.5D, 10.0D)", "id, size, body", lambda x: x.select("id", pages.heading_level(F.col("size"), F.col("body")).alias("level")))
+on_operator("eval_summary", "('a', 'doc', true, 0.9D, 10.0D), ('b', 'doc', false, 0.5D, 30.0D), ('c', 'table', true, 0.95D, 20.0D)", "q, kind, ok, confidence, seconds", lambda x: evaluation.report(x).withColumnsRenamed({"confidence": "conf", "median_seconds": "med"}))
