@@ -99,3 +99,20 @@ def verify(drafts: DataFrame, citations: DataFrame) -> DataFrame:
     answer = F.when(F.col("verdict") == "refuse", REFUSAL).when(F.col("verdict") == "chitchat", F.col("draft")).when(F.col("verdict") == "hedge", F.concat(F.lit(HEDGE), tx.strip(kept_text))).otherwise(tx.strip(kept_text))
     none = F.array().cast("array<int>")
     return x.select("answer_id", "verdict", answer.alias("answer"), F.when(refused, 0.0).when(F.col("chitchat"), 1.0).otherwise(F.col("_c")).alias("confidence"), "support_ratio", "cite_coverage", F.when(F.col("verdict").isin("refuse", "chitchat"), none).otherwise(F.col("kept")).alias("kept"))
+
+
+def answer_key(reply: Column) -> Column:
+    """What a reply's line "Final answer: ..." says: an option's letter, a number, CANT, or its first 40 characters; null without one."""
+    a = F.lower(F.regexp_extract(reply, r"(?im)final answer:\s*(.+?)\s*$", 1))
+    number = F.regexp_extract(a, r"^([-+]?\d+(?:\.\d+)?)", 1)
+    return F.when(a == "", None).when(a.startswith("cannot determine"), "CANT").when(a.rlike("^[a-d][.)]"), F.substring(a, 1, 1)).when(number != "", number).otherwise(F.substring(a, 1, 40))
+
+
+def majority(votes: DataFrame) -> DataFrame:
+    """votes (item, k) to item, verdict: the key with most votes if it has two, the lesser on ties; else CANT if any
+    vote says so, else inconsistent. Null keys are no votes."""
+    counted = votes.groupBy("item", "k").agg(F.count("k").alias("n"))
+    real = F.col("k").isNotNull() & (F.col("k") != "CANT") & (F.col("n") >= 2)
+    best = F.min(F.when(real, F.struct((-F.col("n")).alias("n"), "k")))["k"]
+    cant = F.max(F.coalesce(F.col("k") == "CANT", F.lit(False)))
+    return counted.groupBy("item").agg(F.coalesce(best, F.when(cant, "CANT").otherwise("inconsistent")).alias("verdict"))

@@ -98,3 +98,5 @@ on_operator("reading_order", "(1, 1, 1, 50.0D, 10.0D, 40.0D), (1, 1, 2, 5.0D, 12
 on_operator("synthetic_ordinals", "(1, 1, false, 4), (1, 2, false, 30), (1, 3, true, NULL), (1, 4, true, NULL)", "doc_id, seq, part, ordinal", lambda x: pages.number_parts(x).select(F.col("seq").alias("id"), "ordinal"))
 on_operator("heading_level_buckets", "(1, 20.0D, 10.0D), (2, 14.0D, 10.0D), (3, 12.0D, 10.0D), (4, 10.5D, 10.0D)", "id, size, body", lambda x: x.select("id", pages.heading_level(F.col("size"), F.col("body")).alias("level")))
 on_operator("eval_summary", "('a', 'doc', true, 0.9D, 10.0D), ('b', 'doc', false, 0.5D, 30.0D), ('c', 'table', true, 0.95D, 20.0D)", "q, kind, ok, confidence, seconds", lambda x: evaluation.report(x).withColumnsRenamed({"confidence": "conf", "median_seconds": "med"}))
+on_operator("majority_vote", "(1, 'c'), (1, 'c'), (1, 'a'), (2, 'a'), (2, 'b'), (2, 'd'), (3, 'CANT'), (3, 'CANT'), (3, 'b')", "item, k", answers.majority)
+on_operator("answer_key", "(1, 'x\nFinal answer: c) 12'), (2, 'Final answer: 42.5 apples'), (3, 'no line'), (4, 'final answer: Cannot determine it'), (5, 'Final Answer: blue whale')", "id, reply", lambda x: x.select("id", answers.answer_key(F.col("reply")).alias("key")))

@@ -136,3 +136,17 @@ def test_office_tables_and_charts():
         z.writestr("ppt/slides/_rels/slide1.xml.rels", '<Relationships><Relationship Id="r" Target="../charts/chart1.xml"/></Relationships>')
         z.writestr("ppt/charts/chart1.xml", '<c xmlns:c="c"><c:ser xmlns:c="c"><c:tx><c:pt idx="0"><c:v>Rev</c:v></c:pt></c:tx><c:cat><c:pt idx="0"><c:v>Enterprise</c:v></c:pt></c:cat><c:val><c:pt idx="0"><c:v>1276800</c:v></c:pt></c:val></c:ser></c>')
     assert list(files.parse_office(deck.getvalue())) == [("heading", 1, "Sales"), ("paragraph", None, "body"), ("table", None, "| Category | Rev |\n| Enterprise | 1,276,800 |")]
+
+
+def test_preambles_move(spark):
+    body = {1: "One.", 2: "Two is long enough.\nAnswer Questions 4-5 from the table.\n10 20", 3: "Three. For Question 1 look back.", 4: "Four.", 5: "Five."}
+    found = numbering.items(spark.createDataFrame([(1, "\n".join(f"{n}. {t}" for n, t in body.items()))], "doc_id int, text string"))
+    got = {r.ordinal: r.text for r in numbering.relocate_preambles(found).collect()}
+    assert got[2] == "2. Two is long enough." and got[4] == "Answer Questions 4-5 from the table.\n10 20\n\n4. Four."
+    assert got[3] == "3. Three. For Question 1 look back." and got[1] == "1. One." and len(got) == 5
+
+
+def test_majority(spark):
+    rows = [(1, "b"), (1, "b"), (1, "a"), (1, "a"), (2, None), (2, None), (3, "CANT"), (3, "x"), (4, "CANT"), (4, "CANT"), (4, "d"), (4, "d")]
+    got = {r.item: r.verdict for r in answers.majority(spark.createDataFrame(rows, "item int, k string")).collect()}
+    assert got == {1: "a", 2: "inconsistent", 3: "CANT", 4: "d"}
