@@ -343,8 +343,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "v")
         now = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(small.select(F.col("m").alias("u"), "v")).where("u < v").distinct()
         now = materialize(now, "stars")
-        if now.select(F.col("u").alias("x")).join(now.select(F.col("v").alias("x")), "x", "left_semi").isEmpty():
-            return now.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node")
+        # stars alone are left when no node hangs under two others, or under one while others hang under it
+        ends = now.select(F.col("v").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(now.select(F.col("u").alias("x"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        ends = ends.groupBy("x").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        if ends.where("above > 1 OR above = 1 AND below = 1").isEmpty():
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:

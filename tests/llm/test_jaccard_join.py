@@ -74,3 +74,36 @@ def test_odd_and_empty(spark, odd):
     assert jj.keep_one(odd.where("doc_id > 5")).count() == 3
     assert jj.keep_one(odd).columns == odd.columns
     assert F.col is not None
+
+
+def rooted(edges):
+    """(node, root) of the nodes that are not their component's smallest, by union-find."""
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return sorted((i, root(i)) for i in up if root(i) != i)
+
+
+def random_tree(rng, n, path):
+    ids = rng.sample(range(1000), n)
+    return [tuple(sorted((ids[i], ids[i - 1 if path else rng.randrange(i)]))) for i in range(1, n)]
+
+
+def test_components(spark):
+    import random
+
+    rng = random.Random(5)
+    # after one round of the first, 5 hangs under both 1 and 2
+    graphs = [[(1, 5), (5, 6), (6, 7), (2, 7)]] + [random_tree(rng, n, path) for n in (5, 6, 8, 10, 40) for path in (True, False)]
+    graphs.append([(g * 1000 + a, g * 1000 + b) for g in range(200) for a, b in random_tree(rng, rng.choice((5, 6, 8, 10)), g % 2 == 0)])
+    for edges in graphs:
+        got = jj.components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == rooted(edges)
+    assert jj.components(spark.createDataFrame([], "a long, b long")).count() == 0
