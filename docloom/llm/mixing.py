@@ -9,8 +9,8 @@ Only the cell table is iterated. It is bounded by the product of the category co
 to LOCAL_CELLS cells are raked in one task without a shuffle, more are shuffled by category.
 
 A target is a mapping of shares (categories that it leaves out share what is left of 1, in proportion to
-their tokens) or a power: shares in proportion to tokens ** power. Shares are rescaled over the categories
-that occur. A null category is the category '(null)'; null or empty texts have 0 tokens, and count as one
+their tokens; if nothing is left, they keep their share of all tokens and the mapping is scaled to the rest)
+or a power: shares in proportion to tokens ** power. Shares are rescaled over the categories that occur. A null category is the category '(null)'; null or empty texts have 0 tokens, and count as one
 token here so that every document has a probability. Rows with the same id are drawn together. An empty
 table gives an empty result.
 """
@@ -56,11 +56,14 @@ def _goal(dim: str, target: Mapping[str, float] | float) -> Column:
         return F.pow(own, F.lit(float(target)))
     listed = F.col(dim).isin(list(target))
     total = F.sum(F.when(~listed, F.col("tokens"))).over(Window.partitionBy(F.lit(1)))
-    rest = F.lit(max(0.0, 1.0 - sum(target.values()))) * own / total
+    left = max(0.0, 1.0 - sum(target.values()))
     share = F.lit(None).cast("double")
     for k, v in target.items():
         share = F.when(F.col(dim) == k, F.lit(float(v))).otherwise(share)
-    return F.coalesce(share, rest, F.lit(0.0))
+    if left < 1e-9:  # nothing is left for others: they keep their part of the tokens
+        every = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+        return F.coalesce(share * (F.lit(1.0) - F.coalesce(total, F.lit(0)) / every), own / every)
+    return F.coalesce(share, F.lit(left) * own / total, F.lit(0.0))
 
 
 def rake(cells: DataFrame, dims=DIMS, targets=TARGETS, iterations: int = ITERATIONS) -> DataFrame:
@@ -79,7 +82,7 @@ def rake(cells: DataFrame, dims=DIMS, targets=TARGETS, iterations: int = ITERATI
             now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_goal_{d}"), F.sum("weight").over(Window.partitionBy(d))), F.lit(0.0)))
         now = materialize(now, "raked")
     now = one(now)
-    return now.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))).select(*dims, "tokens", "weight")
+    return now.withColumn("weight", F.try_divide("weight", F.sum("weight").over(Window.partitionBy(F.lit(1))))).select(*dims, "tokens", "weight")
 
 
 def calibrate(raked: DataFrame, fraction: float) -> DataFrame:

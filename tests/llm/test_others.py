@@ -73,6 +73,18 @@ def test_raking_meets_targets(spark):
     assert drawn.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] == pytest.approx(0.5 * 109)
 
 
+def test_mixing_unlisted(spark):
+    rows = [(i, f"w{i} " * 50, lang, "s") for i, lang in enumerate(["en", "de", "fr", "es", None, "EN", "en-US", "it"] * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weight = {r.lang: r.w for r in mixing.mix_sources(docs).groupBy("lang").agg(F.sum(F.col("weight") / 25).alias("w")).collect()}
+    assert weight == pytest.approx({"en": 0.25, "de": 0.1, "fr": 0.075, "es": 0.075} | dict.fromkeys(["(null)", "EN", "en-US", "it"], 0.125), abs=1e-6)
+    assert {r.lang for r in mixing.sample(docs).collect()} == {"en", "de", "fr", "es", None, "EN", "en-US", "it"}
+    alone = mixing.mix_sources(docs.where("lang IS NULL OR lang = 'it'")).collect()
+    assert len(alone) == 50 and {r.probability for r in alone} == {0.5}
+    cells = spark.createDataFrame([("a", "x", 5)], "source string, lang string, tokens long")
+    assert [r.weight for r in mixing.rake(cells, ("source", "lang"), {"source": 0.5, "lang": {"x": 0.0, "y": 1.0}}).collect()] == [None]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "bye"), (None, None, None, "x"), (2, 0, "system", "alone")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(7)).withColumn("perspective", F.lit("no"))
