@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._io import n_parts
 from ._words import bundle, flat, grams, mix, pack, pack_sorted, unbundle, unpack, unpack_sorted, words
 
-ORDER = 2
+ORDER = 3
 #: Text bytes of a part: a task holds some twenty numbers for each token.
 PART = 10 << 20
 K = 5

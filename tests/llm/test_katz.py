@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import katz
+from docloom.llm import katz, registry
 
 
 def tokens(text):
@@ -81,3 +81,15 @@ def test_better_than_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = katz.score(docs, katz.in_training()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
+
+
+def test_query_order(spark, tmp_path):
+    """The registered query is the trigram model."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).withColumn("text", F.substring("text", 1, 400))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.score for r in registry.op2_katz(spark, str(tmp_path)).collect()}
+    p, _ = model([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for i, t in rows:
+        seq = ["^", *tokens(t)]
+        assert got[i] == pytest.approx(sum(math.log10(p(min(3, j + 1), tuple(seq[max(0, j - 2) : j]), seq[j])) for j in range(1, len(seq))), rel=1e-9), i
