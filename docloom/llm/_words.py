@@ -71,11 +71,11 @@ def flat(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(b: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Prefix sums c with hash of b[i:j] = mix((c[j] - c[i]) * inverse_power[i])."""
+    """Prefix sums c with hash of b[i:j] = mix((c[j] - c[i]) * inverse_power[i]); b: bytes, or hashes of words."""
     p, _ = powers(len(b) + 1)
     c = np.empty(len(b) + 1, np.uint64)
     c[0] = 0
-    np.cumsum((_LOWER if lower else _TABLE)[b] * p[: len(b)], out=c[1:])
+    np.cumsum((b if b.dtype == np.uint64 else (_LOWER if lower else _TABLE)[b]) * p[: len(b)], out=c[1:])
     return c
 
 

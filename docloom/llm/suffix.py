@@ -14,15 +14,22 @@ positions would be many times the input, so only suffixes that can matter are so
    length doubles up to SPAN. Suffixes that are alone in their bucket leave at once.
    Anchors with more than WIDE contexts do not gather in one task: their windows are grouped by hash instead.
 
-Matches stay within a text. All spans are judged on the input. Null counts as empty. A repeated row is a copy
+In the same passes the same method runs over words ([^\\x20\\x09-\\x0D]+ as they stand) in place of bytes, with
+windows of WORDS.span words: a passage of more than 50 words that another document has too is reported
+(n_shared_words, n_passages), whatever its length in bytes and its white space. Nothing is removed for it, and
+a passage that only its own document repeats does not count.
+
+Byte matches stay within a text. All spans are judged on the input. Null counts as empty. A repeated row is a copy
 like any other. Rows are identified by a 64-bit hash of id and text. Other columns are not read. An empty
-table gives an empty result. Texts are UTF-8 bytes; a character may be cut.
+table gives an empty result. Texts are UTF-8 bytes; a character may be cut. Texts of any length are read in
+pieces of _PIECE symbols; a text's own spans are gathered with it in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +37,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import materialize, n_parts
-from ._words import flat, mix, powers, prefix
+from ._words import flat, mix, powers, prefix, words
 
 SPAN, Q, STEP = 400, 32, 25
 WIDE = 4096
+
+
+class Grain(NamedTuple):
+    """Symbols of a window, of an anchor, and of the first buckets."""
+
+    span: int
+    q: int
+    step: int
+
+
+#: More than 50 words.
+WORDS = Grain(51, 8, 4)
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(b: np.ndarray, span: int = SPAN, q: int = Q):
-    """Anchors of a text: first and last window start, key and context hash."""
+    """Anchors of a text's bytes or word hashes: first and last window start, key and context hash."""
     found = []
     for at in range(0, max(0, len(b) - span + 1), _PIECE):
         piece = b[at : at + _PIECE + span - 1]
@@ -62,8 +81,11 @@ def anchors(b: np.ndarray, span: int = SPAN, q: int = Q):
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
-def refine(data: np.ndarray, off: np.ndarray, inside: np.ndarray, span: int = SPAN, step: int = STEP) -> np.ndarray:
-    """Positions marked in `inside` whose span bytes (within their row of off) occur at another marked position."""
+def refine(data: np.ndarray, off: np.ndarray, inside: np.ndarray, span: int = SPAN, step: int = STEP, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Positions marked in `inside` whose span symbols (within their row of off) occur at another marked position.
+
+    With low and high, numbers of each row, only where the least low and the greatest high of equal ones differ.
+    """
     if len(data) < span:
         return np.zeros(0, np.int64)
     left = np.repeat(off[1:], np.diff(off)) - np.arange(len(data))  # bytes from here to the row's end
@@ -82,6 +104,7 @@ def refine(data: np.ndarray, off: np.ndarray, inside: np.ndarray, span: int = SP
     length = step
     at, ids = _shared(at, h[at])
     bucket[at] = ids
+    label = None if low is None else (np.repeat(low, np.diff(off)), np.repeat(high, np.diff(off)))
     while length < span:
         more = min(length, span - length)
         at = at[left[at] >= length + more]
@@ -89,110 +112,162 @@ def refine(data: np.ndarray, off: np.ndarray, inside: np.ndarray, span: int = SP
             at = at[inside[at]]
         at = at[bucket[at + more] > 0]
         pointer = (bucket[at].astype(np.uint64) << np.uint64(32)) | bucket[at + more].astype(np.uint64)
-        at, ids = _shared(at, pointer)
+        at, ids = _shared(at, pointer, label if length + more == span else None)
         bucket = np.zeros(len(data), np.int64)
         bucket[at] = ids
         length += more
     return at
 
 
-def _shared(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions whose key another has too, and their new bucket numbers from 1."""
+def _shared(at: np.ndarray, key: np.ndarray, label: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The positions whose key another (of another label) has too, and their new bucket numbers from 1."""
     if not len(at):
         return at, np.zeros(0, np.int64)
     order = np.argsort(key, kind="stable")
     k = key[order]
     first = np.concatenate([[True], k[1:] != k[:-1]])
     run = np.cumsum(first)
-    many = (np.bincount(run)[run] > 1)[np.argsort(order, kind="stable")]
+    if label is None:
+        some = np.bincount(run)[run] > 1
+    else:
+        heads = np.flatnonzero(first)
+        some = (np.minimum.reduceat(label[0][at[order]], heads) != np.maximum.reduceat(label[1][at[order]], heads))[run - 1]
     number = np.empty(len(at), np.int64)
     number[order] = run
+    many = np.empty(len(at), bool)
+    many[order] = some
     return at[many], number[many]
 
 
-_ANCHOR = "row long, lo int, hi int, key long, context long, n long"
-
-
-def _anchor_rows(span: int, q: int):
-    """Anchors; of equal contexts in a batch one with their number, and for the others, with n = 0, only the spans."""
+_ANCHOR = "words boolean, row long, lo int, hi int, more array<int>, key long, context long, n long"
+_MULT = np.uint64(0xC6A4A7935BD1E995)
+
+
+def _anchor_rows(of_bytes: Grain, of_words: Grain):
+    """Anchors; of equal contexts in a batch one with their number, and for the others, with n = 0, only the spans.
+
+    Of words, equal contexts of one text are one row, with their other places in `more`, so n counts texts.
+    """
+
+    def rows(symbols: np.ndarray, off: np.ndarray, ids: np.ndarray, grain: Grain, of_text: bool):
+        got = [(i, a) for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)) if e - s >= grain.span and (a := anchors(symbols[s:e], grain.span, grain.q))]
+        if not got:
+            return
+        lo, hi, key, context = (np.concatenate([a[k] for _, a in got]) for k in range(4))
+        text = np.repeat(np.array([i for i, _ in got]), [len(a[0]) for _, a in got])
+        same = mix(key + context * _MULT)
+        more, ends = np.zeros(0, np.int32), np.zeros(len(lo) + 1, np.int32)
+        if of_text:
+            _, one, place = np.unique(mix(same + text.astype(np.uint64) * _MULT), return_index=True, return_inverse=True)
+            other = np.flatnonzero(one[place] != np.arange(len(place)))
+            other = other[np.argsort(place[other], kind="stable")]
+            more = lo[other].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(place[other], minlength=len(one)))]).astype(np.int32)
+            lo, hi, key, context, text, same = (x[one] for x in (lo, hi, key, context, text, same))
+        _, one, place, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        count = np.where(one[place] == np.arange(len(place)), n[place], 0)
+        yield pa.RecordBatch.from_pydict({
+            "words": np.full(len(lo), of_text), "row": ids[text], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "more": pa.ListArray.from_arrays(pa.array(ends), pa.array(more)),
+            "key": key.view(np.int64), "context": context.view(np.int64), "n": count.astype(np.int64),
+        })
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat(b.column(1))
-            rows = b.column(0).to_numpy(zero_copy_only=False)
-            got = [(r, a) for r, s, e in zip(rows, off[:-1].tolist(), off[1:].tolist(), strict=True) if (a := anchors(data[s:e], span, q))]
-            if got:
-                lo, hi, key, context = (np.concatenate([a[i] for _, a in got]) for i in range(4))
-                row = np.repeat(np.array([r for r, _ in got]), [len(a[0]) for _, a in got])
-                _, first, place, n = np.unique(mix(key + context * np.uint64(0xC6A4A7935BD1E995)), return_index=True, return_inverse=True, return_counts=True)
-                count = np.where(first[place] == np.arange(len(place)), n[place], 0)
-                yield pa.RecordBatch.from_pydict({"row": row, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64), "n": count.astype(np.int64)})
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield from rows(data, off, ids, of_bytes, False)
+            _, _, h, first = words(data, off, lower=False)
+            yield from rows(h, first, ids, of_words, True)
 
     return apply
 
 
-_REP = "key long, n long, row long, lo int, hi int, wide boolean, bytes binary"
+_REP = "words boolean, key long, n long, row long, lo int, hi int, more array<int>, wide boolean, symbols binary"
 
 
-def _cut(span: int):
-    """Bytes of the contexts that are asked for."""
+def _cut(of_bytes: Grain, of_words: Grain):
+    """Bytes, or word hashes, of the contexts that are asked for."""
+    fields = ("words", "key", "n", "lo", "hi", "more", "wide")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {"key": [], "n": [], "row": [], "lo": [], "hi": [], "wide": [], "bytes": []}
+            out: dict[str, list] = {k: [] for k in (*fields, "row", "symbols")}
             data, off = flat(b.column("_text"))
-            for row, s, asked in zip(b.column("_row").to_pylist(), off.tolist(), b.column("_asked").to_pylist(), strict=False):
-                for x in asked:
-                    for k in ("key", "n", "lo", "hi", "wide"):
+            asked = b.column("_asked").to_pylist()
+            h = first = None
+            if any(x["words"] for xs in asked for x in xs):
+                _, _, h, first = words(data, off, lower=False)
+            for i, row in enumerate(b.column("_row").to_pylist()):
+                for x in asked[i]:
+                    for k in fields:
                         out[k].append(x[k])
                     out["row"].append(row)
-                    out["bytes"].append(data[s + x["lo"] : s + x["hi"] + span].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["row"], pa.int64()), pa.array(out["lo"], pa.int32()), pa.array(out["hi"], pa.int32()), pa.array(out["wide"], pa.bool_()), pa.array(out["bytes"], pa.binary())], list(out))
+                    source, at, span = (h, first[i], of_words.span) if x["words"] else (data, off[i], of_bytes.span)
+                    out["symbols"].append(source[at + x["lo"] : at + x["hi"] + span].tobytes())
+            kinds = {"words": pa.bool_(), "key": pa.int64(), "n": pa.int64(), "row": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "more": pa.list_(pa.int32()), "wide": pa.bool_(), "symbols": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
     return apply
 
 
-def _refined(span: int, step: int):
+_SPANS = pa.schema([("words", pa.bool_()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("more", pa.list_(pa.int32()))])
+_SPANS_DDL = "words boolean, row long, start int, stop int, more array<int>"
+
+
+def _refined(of_bytes: Grain, of_words: Grain):
     def apply(table: pa.Table) -> pa.Table:
-        parts = [bytes(x) for x in table.column("bytes").to_pylist()]
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-        mark = np.zeros(len(data) + 1, np.int64)
-        np.add.at(mark, off[:-1], 1)
-        np.add.at(mark, off[:-1] + (hi - lo) + 1, -1)
-        hit = refine(data, off, np.cumsum(mark)[:-1] > 0, span, step)
-        part = np.searchsorted(off, hit, "right") - 1
-        alone = table.column("n").to_numpy()[part] == 1
-        hit, part = hit[alone], part[alone]
-        start = lo[part] + hit - off[part]
-        return _runs(table.column("row").to_numpy()[part], start, span)
+        flag = table.column("words").to_numpy(zero_copy_only=False).astype(bool)
+        return pa.concat_tables(_refined_part(table.filter(pa.array(flag == kind)), grain, kind) for kind, grain in ((False, of_bytes), (True, of_words)))
 
     return apply
 
 
-def _runs(row: np.ndarray, start: np.ndarray, span: int) -> pa.Table:
-    """Stretches covered by windows at consecutive starts."""
-    if not len(row):
-        return pa.table({"row": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "stop": pa.array([], pa.int32())})
-    new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(start) != 1)])
+def _refined_part(table: pa.Table, grain: Grain, of_words: bool) -> pa.Table:
+    if not table.num_rows:
+        return _SPANS.empty_table()
+    parts = [bytes(x) for x in table.column("symbols").to_pylist()]
+    data = np.frombuffer(b"".join(parts), np.uint64 if of_words else np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) // data.itemsize for x in parts])]).astype(np.int64)
+    lo, hi, row, n = (table.column(c).to_numpy() for c in ("lo", "hi", "row", "n"))
+    mark = np.zeros(len(data) + 1, np.int64)
+    np.add.at(mark, off[:-1], 1)
+    np.add.at(mark, off[:-1] + (hi - lo) + 1, -1)
+    low = high = None
+    if of_words:  # what another text has too: a context of several texts differs from itself
+        low = np.unique(row, return_inverse=True)[1] * 2
+        high = low + (n > 1)
+    hit = refine(data, off, np.cumsum(mark)[:-1] > 0, grain.span, grain.step, low, high)
+    part = np.searchsorted(off, hit, "right") - 1
+    alone = n[part] == 1  # contexts that occur twice are settled
+    hit, part = hit[alone], part[alone]
+    return _runs(part, hit - off[part], lo, row, table.column("more").to_pylist(), grain.span, of_words)
+
+
+def _runs(part: np.ndarray, start: np.ndarray, lo: np.ndarray, row: np.ndarray, more: list, span: int, of_words: bool) -> pa.Table:
+    """Stretches covered by windows at consecutive starts within a context, at all its places in the text."""
+    if not len(part):
+        return _SPANS.empty_table()
+    new = np.concatenate([[True], (np.diff(part) != 0) | (np.diff(start) != 1)])
     last = np.concatenate([new[1:], [True]])
-    return pa.table({"row": pa.array(row[new], pa.int64()), "start": pa.array(start[new], pa.int32()), "stop": pa.array(start[last] + span, pa.int32())})
+    part, first, stop = part[new], start[new], start[last] + span
+    others = [[m + int(f) for m in more[p]] for p, f in zip(part, first, strict=True)]
+    return pa.Table.from_arrays([pa.array(np.full(len(part), of_words)), pa.array(row[part]), pa.array((lo[part] + first).astype(np.int32)), pa.array((lo[part] + stop).astype(np.int32)), pa.array(others, pa.list_(pa.int32()))], schema=_SPANS)
 
 
-def _window_hashes(span: int):
+def _window_hashes(of_bytes: Grain, of_words: Grain):
     """Each window of wide anchors' contexts as a row with two hashes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, row, lo, x in zip(*(b.column(c).to_pylist() for c in ("n", "row", "lo", "bytes")), strict=True):
-                text = np.frombuffer(bytes(x), np.uint8)
+            for kind, n, row, lo, more, x in zip(*(b.column(c).to_pylist() for c in ("words", "n", "row", "lo", "more", "symbols")), strict=True):
+                text = np.frombuffer(bytes(x), np.uint64 if kind else np.uint8)
+                span = (of_words if kind else of_bytes).span
                 m = len(text) - span + 1
                 hashes = []
-                for t in (text, 255 - text):
+                for t in (text, mix(text) if kind else 255 - text):
                     c = prefix(t)
                     hashes.append(mix((c[span:] - c[:-span]) * powers(len(t) + 1)[1][:m]).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"h1": hashes[0], "h2": hashes[1], "n": np.full(m, n), "row": np.full(m, row), "start": np.arange(lo, lo + m, dtype=np.int32)})
+                yield pa.RecordBatch.from_pydict({"words": np.full(m, kind), "h1": hashes[0], "h2": hashes[1], "n": np.full(m, n), "row": np.full(m, row), "start": np.arange(lo, lo + m, dtype=np.int32), "more": pa.array([[y + k for y in more] for k in range(m)], pa.list_(pa.int32()))})
 
     return apply
 
@@ -203,54 +278,65 @@ def _result(kind: str, id_col: str):
             data, off = flat(b.column("_text"))
             out = []
             for s, e, spans in zip(off[:-1].tolist(), off[1:].tolist(), b.column("_spans").to_pylist(), strict=True):
-                gone = removed(e - s, spans or [])
-                out.append((e - s, int(gone.sum()), int(gone[:1].sum() + (np.diff(gone.astype(np.int8)) == 1).sum()), hashlib.sha256(data[s:e][~gone].tobytes()).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                spans = spans or []
+                gone = removed(e - s, [x for x in spans if not x["words"]])
+                shared = [x for x in spans if x["words"]]
+                passage = removed(max((max([x["start"], *x["more"]]) + x["stop"] - x["start"] for x in shared), default=0), shared)
+                out.append((e - s, int(gone.sum()), _stretches(gone), hashlib.sha256(data[s:e][~gone].tobytes()).hexdigest(), int(passage.sum()), _stretches(passage)))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            longs = lambda *at: [pa.array(cols[c], pa.int64()) for c in at]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *longs(0, 1, 2), pa.array(cols[3], pa.string()), *longs(4, 5)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "n_passages"])
 
     return apply
 
 
+def _stretches(mask: np.ndarray) -> int:
+    return int(mask[:1].sum() + (np.diff(mask.astype(np.int8)) == 1).sum())
+
+
 def removed(n: int, spans: list) -> np.ndarray:
-    """Which of n bytes lie in any of the spans."""
+    """Which of n symbols lie in any of the spans, or of their other places."""
     edge = np.zeros(n + 1, np.int64)
     for x in spans:
-        edge[x["start"]] += 1
-        edge[x["stop"]] -= 1
+        for at in (x["start"], *(x["more"] or ())):
+            edge[at] += 1
+            edge[at + x["stop"] - x["start"]] -= 1
     return np.cumsum(edge)[:n] > 0
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
-    """Spans (row, start, stop) of repeated bytes, which may overlap. docs: (_row, _id, _text); texts: the same, dealt by _row."""
-    found = materialize(docs.select("_row", "_text").mapInArrow(_anchor_rows(span, q), _ANCHOR), "anchors")
-    key, context = Window.partitionBy("key"), Window.partitionBy("key", "context")
-    one = Window.partitionBy("key", "context").orderBy("row", "lo")
+def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, of_bytes: Grain, of_words: Grain, wide: int = WIDE) -> DataFrame:
+    """Spans (words, row, start, stop, more) of repeated symbols, which may overlap. docs: (_row, _id, _text); texts: the same, dealt by _row."""
+    found = materialize(docs.select("_row", "_text").mapInArrow(_anchor_rows(of_bytes, of_words), _ANCHOR), "anchors")
+    key, context = Window.partitionBy("words", "key"), Window.partitionBy("words", "key", "context")
+    one = context.orderBy("row", "lo")
     counted = found.where("n > 0").withColumn("total", F.sum("n").over(context)).withColumn("place", F.row_number().over(one))
     counted = counted.withColumn("classes", F.sum((F.col("place") == 1).cast("long")).over(key)).withColumn("fewest", F.min("total").over(key))
     classes = materialize(counted.where("total > 1 OR classes > 1").drop("n", "context"), "contexts")
-    spans = F.col("row"), F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop")
+    span = F.when(F.col("words"), of_words.span).otherwise(of_bytes.span)
+    spans = "words", "row", F.col("lo").alias("start"), (F.col("hi") + span).cast("int").alias("stop"), "more"
     settled = classes.where("total > 1").select(*spans).unionByName(found.where("n = 0").select(*spans))
-    asked = classes.where("place = 1 AND classes > 1 AND fewest = 1").select("row", F.struct("key", F.col("total").alias("n"), "lo", "hi", (F.col("classes") > wide).alias("wide")).alias("x"))
+    asked = classes.where("place = 1 AND classes > 1 AND fewest = 1").select("row", F.struct("words", "key", F.col("total").alias("n"), "lo", "hi", "more", (F.col("classes") > wide).alias("wide")).alias("x"))
     # as many partitions as the texts have, so that those are not dealt again
     asked = asked.repartition(parts, "row").groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
-    reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(span), _REP)
-    out = "row long, start int, stop int"
-    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("bucket").applyInArrow(_refined(span, step), out)
+    reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(of_bytes, of_words), _REP)
+    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("bucket").applyInArrow(_refined(of_bytes, of_words), _SPANS_DDL)
     if classes.where(F.col("classes") > wide).isEmpty():
         return settled.unionByName(narrow)
-    windows = reps.where("wide").mapInArrow(_window_hashes(span), "h1 long, h2 long, n long, row long, start int")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    loose = windows.where("n = 1").join(twice, ["h1", "h2"]).select("row", "start", (F.col("start") + span).cast("int").alias("stop"))
+    windows = reps.where("wide").mapInArrow(_window_hashes(of_bytes, of_words), "words boolean, h1 long, h2 long, n long, row long, start int, more array<int>")
+    same = ["words", "h1", "h2"]
+    twice = windows.groupBy(*same).agg(F.count("*").alias("_times"), F.min("row").alias("_least"), F.max("row").alias("_most"), F.max("n").alias("_n"))
+    twice = twice.where("IF(words, _least != _most OR _n > 1, _times > 1)").select(*same)
+    loose = windows.where("n = 1").join(twice, same).select("words", "row", "start", (F.col("start") + span).cast("int").alias("stop"), "more")
     return settled.unionByName(narrow).unionByName(loose)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE) -> DataFrame:
-    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, q: int = Q, step: int = STEP, wide: int = WIDE, passages: Grain = WORDS) -> DataFrame:
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, n_passages."""
     parts = n_parts(docs, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
     dealt = texts.repartition(parts, "_row")  # shuffled once, for the contexts and for the result
-    spans = repeated_spans(texts, dealt, parts, span, q, step, wide)
-    per_row = spans.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))  # a text's own spans
+    spans = repeated_spans(texts, dealt, parts, Grain(span, q, step), passages, wide)
+    per_row = spans.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("words", "start", "stop", "more")).alias("_spans"))  # a text's own spans
     kind = docs.schema[id_col].dataType.simpleString()
     joined = dealt.join(per_row, dealt["_row"] == per_row["row"], "left").select("_row", "_id", "_text", "_spans")
-    return joined.mapInArrow(_result(kind, id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(_result(kind, id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, n_passages long")
