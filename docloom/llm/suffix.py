@@ -33,11 +33,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import materialize, n_parts
-from ._words import flat, mix, powers, prefix, words
+from ._words import flat, mix, powers, prefix, slices, words
 
 SPAN, Q, STEP = 400, 32, 25
 WIDE = 4096
@@ -57,11 +58,14 @@ _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def anchors(b: np.ndarray, span: int = SPAN, q: int = Q):
-    """Anchors of a text's bytes or word hashes: first and last window start, key and context hash."""
+def anchors(b: np.ndarray, span: int = SPAN, q: int = Q, off: np.ndarray | None = None):
+    """Anchors of bytes or word hashes: first and last window start, key and context hash.
+
+    b is one text, or with off several texts, none over _PIECE; windows never cross texts.
+    """
     found = []
-    for at in range(0, max(0, len(b) - span + 1), _PIECE):
-        piece = b[at : at + _PIECE + span - 1]
+    for at in range(0, max(0, len(b) - span + 1), _PIECE if off is None else len(b)):
+        piece = b if off is not None else b[at : at + _PIECE + span - 1]
         c = prefix(piece)
         _, inv = powers(len(piece) + 1)
         m = len(piece) - q + 1
@@ -74,13 +78,34 @@ def anchors(b: np.ndarray, span: int = SPAN, q: int = Q):
         back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         n = m - width + 1
         place = (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
-        lo = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        hi = np.concatenate([lo[1:] - 1, [n - 1]])
+        start = np.arange(n)
+        if off is not None:
+            start = start[np.repeat(off[1:] - span, np.diff(off))[:n] >= start]  # windows that end within their text
+            place = place[start]
+            if not len(start):
+                continue
+        # windows of one anchor follow each other
+        cut = np.flatnonzero(np.diff(place)) + 1
+        lo, hi = start[np.concatenate([[0], cut])], start[np.concatenate([cut - 1, [len(start) - 1]])]
         context = mix((c[hi + span] - c[lo]) * inv[lo] + (hi - lo).astype(np.uint64))
-        found.append((lo + at, hi + at, h[place[lo]], context))
+        found.append((lo + at, hi + at, h[place[np.concatenate([[0], cut])]], context))
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
+def all_anchors(x: np.ndarray, off: np.ndarray, span: int, q: int):
+    """Anchors of many texts: text, and within it first and last window start, key and context hash."""
+    found, i, n = [], 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + _PIECE, "right")) - 1)
+        part = x[off[i] : off[j]]
+        a = anchors(part, span, q, off[i : j + 1] - off[i] if len(part) <= _PIECE else None) if len(part) >= span else None
+        if a:
+            text = np.searchsorted(off, a[0] + off[i], "right") - 1
+            found.append((text, a[0] + off[i] - off[text], a[1] + off[i] - off[text], *a[2:]))
+        i = j
+    return [np.concatenate(y) for y in zip(*found, strict=True)] if found else None
+
+
 def refine(data: np.ndarray, off: np.ndarray, inside: np.ndarray, span: int = SPAN, step: int = STEP, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
     """Positions marked in `inside` whose span symbols (within their row of off) occur at another marked position.
 
@@ -141,6 +166,7 @@ def _shared(at: np.ndarray, key: np.ndarray, label: tuple[np.ndarray, np.ndarray
 
 _ANCHOR = "words boolean, row long, lo int, hi int, more array<int>, key long, context long, n long"
 _MULT = np.uint64(0xC6A4A7935BD1E995)
+_ROWS = 512
 
 
 def _anchor_rows(of_bytes: Grain, of_words: Grain):
@@ -149,12 +175,10 @@ def _anchor_rows(of_bytes: Grain, of_words: Grain):
     Of words, equal contexts of one text are one row, with their other places in `more`, so n counts texts.
     """
 
-    def rows(symbols: np.ndarray, off: np.ndarray, ids: np.ndarray, grain: Grain, of_text: bool):
-        got = [(i, a) for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)) if e - s >= grain.span and (a := anchors(symbols[s:e], grain.span, grain.q))]
-        if not got:
+    def rows(found: list, ids: np.ndarray, of_text: bool):
+        if not found:
             return
-        lo, hi, key, context = (np.concatenate([a[k] for _, a in got]) for k in range(4))
-        text = np.repeat(np.array([i for i, _ in got]), [len(a[0]) for _, a in got])
+        text, lo, hi, key, context = (np.concatenate(x) for x in zip(*found, strict=True))
         same = mix(key + context * _MULT)
         more, ends = np.zeros(0, np.int32), np.zeros(len(lo) + 1, np.int32)
         if of_text:
@@ -173,43 +197,51 @@ def _anchor_rows(of_bytes: Grain, of_words: Grain):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = flat(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield from rows(data, off, ids, of_bytes, False)
-            _, _, h, first = words(data, off, lower=False)
-            yield from rows(h, first, ids, of_words, True)
+            of = ([], [])
+            for at in range(0, b.num_rows, _ROWS):  # fewer symbols at a time; equal contexts meet in the whole batch
+                data, off = flat(b.column(1).slice(at, _ROWS))
+                _, _, h, first = words(data, off, lower=False)
+                for k, (x, grain, o) in enumerate(((data, of_bytes, off), (h, of_words, first))):
+                    if a := all_anchors(x, o, grain.span, grain.q):
+                        of[k].append((a[0] + at, *a[1:]))
+            yield from rows(of[0], ids, False)
+            yield from rows(of[1], ids, True)
 
     return apply
 
 
+_REP_FIELDS = ("words", "key", "n", "row", "lo", "hi", "more", "wide", "symbols")
 _REP = "words boolean, key long, n long, row long, lo int, hi int, more array<int>, wide boolean, symbols binary"
 
 
 def _cut(of_bytes: Grain, of_words: Grain):
     """Bytes, or word hashes, of the contexts that are asked for."""
-    fields = ("words", "key", "n", "lo", "hi", "more", "wide")
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in (*fields, "row", "symbols")}
+        for b in slices(batches, _ROWS):
             data, off = flat(b.column("_text"))
-            asked = b.column("_asked").to_pylist()
+            text, asked = listed(b.column("_asked"))
+            lo, hi, of_word = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "words"))
             h = first = None
-            if any(x["words"] for xs in asked for x in xs):
+            if of_word.any():
                 _, _, h, first = words(data, off, lower=False)
-            for i, row in enumerate(b.column("_row").to_pylist()):
-                for x in asked[i]:
-                    for k in fields:
-                        out[k].append(x[k])
-                    out["row"].append(row)
-                    source, at, span = (h, first[i], of_words.span) if x["words"] else (data, off[i], of_bytes.span)
-                    out["symbols"].append(source[at + x["lo"] : at + x["hi"] + span].tobytes())
-            kinds = {"words": pa.bool_(), "key": pa.int64(), "n": pa.int64(), "row": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "more": pa.list_(pa.int32()), "wide": pa.bool_(), "symbols": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+            symbols = []
+            for i, a, z, w in zip(text.tolist(), lo.tolist(), hi.tolist(), of_word.tolist(), strict=True):
+                source, at, span = (h, first[i], of_words.span) if w else (data, off[i], of_bytes.span)
+                symbols.append(source[at + a : at + z + span].tobytes())
+            row = b.column("_row").to_numpy(zero_copy_only=False)[text]
+            fields = [pa.array(row) if c == "row" else pa.array(symbols, pa.binary()) if c == "symbols" else asked.field(c) for c in _REP_FIELDS]
+            yield pa.RecordBatch.from_arrays(fields, list(_REP_FIELDS))
 
     return apply
 
 
+def listed(col) -> tuple[np.ndarray, pa.Array]:
+    """Rows of a list column's items, and the items; null counts as empty."""
+    n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(col)), n), col.flatten()
+
+
 _SPANS = pa.schema([("words", pa.bool_()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("more", pa.list_(pa.int32()))])
 _SPANS_DDL = "words boolean, row long, start int, stop int, more array<int>"
 
@@ -272,36 +304,46 @@ def _window_hashes(of_bytes: Grain, of_words: Grain):
     return apply
 
 
-def _result(kind: str, id_col: str):
+def _result(id_col: str):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, _ROWS):
             data, off = flat(b.column("_text"))
-            out = []
-            for s, e, spans in zip(off[:-1].tolist(), off[1:].tolist(), b.column("_spans").to_pylist(), strict=True):
-                spans = spans or []
-                gone = removed(e - s, [x for x in spans if not x["words"]])
-                shared = [x for x in spans if x["words"]]
-                passage = removed(max((max([x["start"], *x["more"]]) + x["stop"] - x["start"] for x in shared), default=0), shared)
-                out.append((e - s, int(gone.sum()), _stretches(gone), hashlib.sha256(data[s:e][~gone].tobytes()).hexdigest(), int(passage.sum()), _stretches(passage)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            longs = lambda *at: [pa.array(cols[c], pa.int64()) for c in at]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *longs(0, 1, 2), pa.array(cols[3], pa.string()), *longs(4, 5)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "n_passages"])
+            data, off = data[off[0] : off[-1]], off - off[0]
+            text, spans = listed(b.column("_spans"))
+            of_word, start, stop = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("words", "start", "stop"))
+            of_word = of_word.astype(bool)
+            gone = covered(off, text[~of_word], start[~of_word], stop[~of_word])
+            text, start, stop = text[of_word], start[of_word], stop[of_word]
+            at, more = listed(spans.field("more").filter(pa.array(of_word)))  # the same stretch at other places
+            other = more.to_numpy(zero_copy_only=False)
+            text, start, stop = np.concatenate([text, text[at]]), np.concatenate([start, other]), np.concatenate([stop, other + stop[at] - start[at]])
+            last = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(last, text, stop)
+            n_words = np.concatenate([[0], np.cumsum(last)])
+            passage = covered(n_words, text, start, stop)
+            hashes = [hashlib.sha256(data[s:e][~gone[s:e]].tobytes()).hexdigest() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            longs = [pa.array(x, pa.int64()) for x in (np.diff(off), *stretches(gone, off), *stretches(passage, n_words))]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *longs[:3], pa.array(hashes, pa.string()), *longs[3:]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "n_passages"])
 
     return apply
 
 
-def _stretches(mask: np.ndarray) -> int:
-    return int(mask[:1].sum() + (np.diff(mask.astype(np.int8)) == 1).sum())
+def covered(off: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which symbols of texts with these offsets lie in any span."""
+    edge = np.zeros(int(off[-1]) + 1, np.int32)
+    np.add.at(edge, off[text] + start, 1)
+    np.add.at(edge, off[text] + stop, -1)
+    return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
-def removed(n: int, spans: list) -> np.ndarray:
-    """Which of n symbols lie in any of the spans, or of their other places."""
-    edge = np.zeros(n + 1, np.int64)
-    for x in spans:
-        for at in (x["start"], *(x["more"] or ())):
-            edge[at] += 1
-            edge[at + x["stop"] - x["start"]] -= 1
-    return np.cumsum(edge)[:n] > 0
+def stretches(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marked symbols and maximal marked runs of each text."""
+    new = mask.copy()
+    new[1:] &= ~mask[:-1]
+    inner = off[:-1][np.diff(off) > 0]
+    new[inner] = mask[inner]
+    each = lambda m: np.diff(np.concatenate([[0], np.cumsum(m, dtype=np.int64)])[off])
+    return each(mask), each(new)
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, of_bytes: Grain, of_words: Grain, wide: int = WIDE) -> DataFrame:
@@ -319,7 +361,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, of_bytes: Grai
     # as many partitions as the texts have, so that those are not dealt again
     asked = asked.repartition(parts, "row").groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
     reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(of_bytes, of_words), _REP)
-    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("bucket").applyInArrow(_refined(of_bytes, of_words), _SPANS_DDL)
+    narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(16 * parts))).groupBy("bucket").applyInArrow(_refined(of_bytes, of_words), _SPANS_DDL)
     if classes.where(F.col("classes") > wide).isEmpty():
         return settled.unionByName(narrow)
     windows = reps.where("wide").mapInArrow(_window_hashes(of_bytes, of_words), "words boolean, h1 long, h2 long, n long, row long, start int, more array<int>")
@@ -339,4 +381,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     per_row = spans.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("words", "start", "stop", "more")).alias("_spans"))  # a text's own spans
     kind = docs.schema[id_col].dataType.simpleString()
     joined = dealt.join(per_row, dealt["_row"] == per_row["row"], "left").select("_row", "_id", "_text", "_spans")
-    return joined.mapInArrow(_result(kind, id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, n_passages long")
+    return joined.mapInArrow(_result(id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, n_passages long")
