@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 SEP = np.zeros(256, bool)

@@ -54,7 +54,7 @@ class Grain(NamedTuple):
 
 #: More than 50 words.
 WORDS = Grain(51, 8, 4)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
 

@@ -163,6 +163,73 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).where("n_matches > 0").isEmpty() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def slow_difference(a, b):
+    """Least edits between a and any stretch of b, by plain dynamic programming."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return min(row)
+
+
+def altered(r, w):
+    """The words with some inserted, deleted or replaced, and how many at most."""
+    w, n = list(w), r.randrange(0, len(w) // 3 + 1)
+    for _ in range(n):
+        at = r.randrange(len(w))
+        w[at : at + r.randrange(2)] = ["other"] * r.randrange(2)
+    return w
+
+
+def test_license_differences():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.randrange(3) for _ in range(r.randrange(1, 9))] for _ in range(2))
+        b = b * r.randrange(1, 4)
+        edits, start, stop = licenses.difference(np.array(a), np.array(b))
+        assert edits == slow_difference(a, b) == slow_difference(a, b[start:stop])
+
+
+def test_licenses_brute_force():
+    """Altered notices in prose: a match exactly where some template is within its allowance, and the nearest template's license."""
+    s, r, exact = licenses.Scanner(), random.Random(11), 0
+    for n in range(400):
+        k = n % len(s.words)
+        text = ["prose"] * 5 + altered(r, s.words[k]) + ["more", "prose"]
+        near = {i: d for i, w in enumerate(s.words) if (d := slow_difference(w, text)) <= s.allowed[i]}
+        found = s.scan(" ".join(text))[1]
+        assert bool(found) == bool(near)
+        if found:
+            assert any(s.names[i] == found[0][0] for i in near)
+        if near.get(k) == 0:
+            assert found == [(s.names[k], found[0][1], 0)] or len(s.words[k]) < max(len(s.words[i]) for i in near)
+            exact += 1
+    assert exact > 50
+
+
+def test_licenses_by_compression(spark, monkeypatch):
+    """With other compressors the results are others: the ranking decides between templates that are all within their allowance."""
+    every = [t for _, t in licenses.TEMPLATES]
+    s = licenses.Scanner()
+    right = [s.scan(t)[1] for t in every]
+    assert [[x[0] for x in f] for f in right] == [[n] for n, _ in licenses.TEMPLATES] and all(f[0][2] == 0 for f in right)
+    s.given = s.given[7:] + s.given[:7]
+    assert sum(s.scan(t)[1] != f for t, f in zip(every, right, strict=True)) > len(every) // 2
+    noise = random.Random(1)
+    s.given = [type("Noise", (), {"compress": lambda self, raw: b"x" * noise.randrange(2 * len(raw))})() for _ in s.given]
+    assert [s.scan(t)[1] for t in every] != right
+
+
+def test_licenses_long(spark):
+    """Texts over 1 MiB: notices one after another, and phrases that are no notice."""
+    notice = "Licensed under CC BY-SA 4.0. Released under the MIT License. "
+    assert licenses.Scanner().scan("some prose " * 100_000 + notice + "more words " * 20_000)[1] == [("CC-BY-SA-4.0", pytest.approx(0.5, abs=0.5), 0), ("MIT", pytest.approx(0.5, abs=0.5), 0)]
+    many = licenses.Scanner().scan(notice * 500)[1]
+    assert Counter(m[0] for m in many) == {"CC-BY-SA-4.0": 500, "MIT": 500}
+    assert licenses.Scanner().scan("terms of the license and more " * 40_000)[1] == []
+
+
 def test_licenses_real(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     plain = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
