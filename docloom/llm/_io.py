@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Python group holds at a time.
 PART_BYTES = 16 << 20
+#: Partitions of a shuffle, at most.
+MOST_TASKS = 20_000
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,23 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it must be set.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own.setdefault(context.applicationId, "")
+        if not root:
+            root = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return f"{root.rstrip('/')}/docloom/{context.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that have not been written elsewhere read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_parts(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
     """Parts of about part_bytes each, and at least the session's shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+
+def n_tasks(parts: int) -> int:
+    """Shuffle partitions for so many parts: a task works off several parts in turn where a driver could not track one for each."""
+    return min(parts, MOST_TASKS)

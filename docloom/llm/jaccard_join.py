@@ -20,7 +20,9 @@ Components come from alternating large and small stars, with each round written
 Points are identified by a 64-bit hash of the shingle set (chance of a clash among n sets: n^2 / 2^65).
 Equal sets are one point, so copies cost one row each. Null, empty and blank texts have no shingles and
 link with nothing. Null ids may not be a component's name unless all its ids are null. Repeated rows are
-copies. Other columns are not read. An empty table gives an empty result.
+copies; rows with one id and different texts are points of their own. Ids may be of any type that has an order.
+Other columns are not read. Texts of any length are whole: a task holds the sets of at most REGION of them, and
+the texts of a batch. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ REGION = 2048
 SLICE = 1024
 HOT = 8
 MOST_HOT = 1_000_000
-_KIND = "row long, doc_id long, n long, node long, bucket int, blob binary"
+_KIND = "row long, doc_id {}, n long, node long, bucket int, blob binary"
 
 
 def shingle_sets(col, n: int = N) -> list[np.ndarray]:
@@ -112,8 +114,8 @@ def _points(docs: DataFrame, buckets: int) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(_hot(docs))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
         for b in batches:
+            schema = pa.schema([("row", pa.int64()), ("doc_id", b.column(1).type), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
             sets = shingle_sets(b.column(2))
             nodes = [node_of(s) for s in sets]
             sizes = [len(s) for s in sets]
@@ -135,9 +137,9 @@ def _points(docs: DataFrame, buckets: int) -> DataFrame:
             name = np.array(list(one), np.int64)
             blobs = [bundle(pack_sorted(cell[a:z]), *_local(which[a:z], name, size), pack(inner[a:z].astype(np.uint8))) for a, z in zip(cuts, cuts[1:], strict=False)]
             gap = pa.nulls(len(blobs), pa.int64())
-            yield pa.RecordBatch.from_arrays([gap, gap, gap, gap, pa.array(at[cuts[:-1]]), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([gap, pa.nulls(len(blobs), b.column(1).type), gap, gap, pa.array(at[cuts[:-1]]), pa.array(blobs, pa.binary())], schema=schema)
 
-    return materialize(docs.select("_row", "_id", "_text").mapInArrow(apply, _KIND), "points")
+    return materialize(docs.select("_row", "_id", "_text").mapInArrow(apply, _KIND.format(docs.schema["_id"].dataType.simpleString())), "points")
 
 
 def _local(which: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -353,8 +355,8 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id."""
     buckets = n_parts(docs, text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.select(F.coalesce("_id", F.xxhash64("_text")).alias("_row"), "_id", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    texts = texts.select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
     points = _points(texts, buckets)
     roots = components(links(texts, points, buckets, region))
     rows = points.where("blob IS NULL").select("doc_id", "n", "node")
@@ -367,5 +369,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their component: one document of each group, with all columns."""
-    kept = join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kid")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kid"]), "left_semi")
+    kept = join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(kept, rows["id"].eqNullSafe(kept["id"]), "left_semi").select("row.*")

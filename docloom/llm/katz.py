@@ -18,7 +18,9 @@ in which they were asked, so no key travels back; the part then evaluates the re
 tokens. A word of any frequency is one entry from each part.
 
 Null texts are empty: one end token. Repeated rows are scored and counted as often as they occur. Without
-training rows all words are unknown (c = 0, N = 0, V = 0), with probability 1.
+training rows all words are unknown (c = 0, N = 0, V = 0), with probability 1. Words and contexts are 64-bit
+hashes, and a word within its context 48 bits of one: k-grams clash with a chance of about n^2 / 2^65 for n
+contexts, and m^2 / 2^49 for the m words of one. Texts of any length are whole; a part holds at least one.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import n_parts
+from ._io import n_parts, n_tasks
 from ._words import bundle, flat, grams, mix, pack, pack_sorted, unbundle, unpack, unpack_sorted, words
 
 ORDER = 3
@@ -313,7 +315,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     buckets = parts
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    texts = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int")).repartition(parts, "_part")
+    texts = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int")).repartition(n_tasks(parts), "_part")
     by_part = texts.groupBy("_part")
 
     def ask_words(table: pa.Table) -> pa.Table:
@@ -331,7 +333,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
         return ask
 
-    requests = by_part.applyInArrow(ask_words, _BLOB).repartition(buckets, "bucket")
+    requests = by_part.applyInArrow(ask_words, _BLOB).repartition(n_tasks(buckets), "bucket")
     stats, answers, level = None, None, 1
     while True:
         count, answer = (_count_words, _answer_words) if level == 1 else (_count_grams, _answer_grams(level))
@@ -344,12 +346,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         given = requests if level == 1 else requests.crossJoin(F.broadcast(row))
         new = given.groupBy("bucket").applyInArrow(answer, _BLOB).withColumn("level", F.lit(level))
         answers = new if answers is None else answers.unionByName(new)
-        told = answers.repartition(parts, "part").crossJoin(F.broadcast(stats))
+        told = answers.repartition(n_tasks(parts), "part").crossJoin(F.broadcast(stats))
         cogroup = by_part.cogroup(told.groupBy("part"))
         if level == order:
             break
         level += 1
-        requests = cogroup.applyInArrow(ask_grams(level), _BLOB).repartition(buckets, "bucket")
+        requests = cogroup.applyInArrow(ask_grams(level), _BLOB).repartition(n_tasks(buckets), "bucket")
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         part = _replay(table, told, buckets, share, order)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import materialize, n_parts
+from ._io import materialize, n_parts, n_tasks
 from ._words import flat, mix, powers, prefix, slices, words
 
 SPAN, Q, STEP = 400, 32, 25
@@ -359,7 +359,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, parts: int, of_bytes: Grai
     settled = classes.where("total > 1").select(*spans).unionByName(found.where("n = 0").select(*spans))
     asked = classes.where("place = 1 AND classes > 1 AND fewest = 1").select("row", F.struct("words", "key", F.col("total").alias("n"), "lo", "hi", "more", (F.col("classes") > wide).alias("wide")).alias("x"))
     # as many partitions as the texts have, so that those are not dealt again
-    asked = asked.repartition(parts, "row").groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
+    asked = asked.repartition(n_tasks(parts), "row").groupBy("row").agg(F.collect_list("x").alias("_asked"))  # a text's own anchors
     reps = texts.join(asked, texts["_row"] == asked["row"]).select("_row", "_id", "_text", "_asked").mapInArrow(_cut(of_bytes, of_words), _REP)
     narrow = reps.where("NOT wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(16 * parts))).groupBy("bucket").applyInArrow(_refined(of_bytes, of_words), _SPANS_DDL)
     if classes.where(F.col("classes") > wide).isEmpty():
@@ -376,9 +376,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, n_passages."""
     parts = n_parts(docs, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
-    dealt = texts.repartition(parts, "_row")  # shuffled once, for the contexts and for the result
+    dealt = texts.repartition(n_tasks(parts), "_row")  # shuffled once, for the contexts and for the result
     spans = repeated_spans(texts, dealt, parts, Grain(span, q, step), passages, wide)
-    per_row = spans.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("words", "start", "stop", "more")).alias("_spans"))  # a text's own spans
+    per_row = spans.repartition(n_tasks(parts), "row").groupBy("row").agg(F.collect_list(F.struct("words", "start", "stop", "more")).alias("_spans"))  # a text's own spans
     kind = docs.schema[id_col].dataType.simpleString()
     joined = dealt.join(per_row, dealt["_row"] == per_row["row"], "left").select("_row", "_id", "_text", "_spans")
     return joined.mapInArrow(_result(id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, n_passages long")

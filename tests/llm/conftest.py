@@ -21,4 +21,5 @@ def odd(spark):
     long = " ".join(f"w{i % 97}" for i in range(4000))
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "a b"), (4, "a b"), (5, "a  b"), (None, "a b"), (None, None), (6, long), (7, long), (8, "é" * 50), (9, "x " * 300)]
     df = spark.createDataFrame([(i, t, None if i == 4 else "en", "s", len(t or "")) for i, t in rows], TEXT)
-    return df.selectExpr("*", "1 AS kept", "'z' AS _text", "2 AS part", "3 AS `_id`")
+    clashing = ["row", "key", "id", "sha", "_sha", "_src", "_lng", "_cnt", "_top", "_row", "words", "source_target", "weight", "score", "node", "n"]
+    return df.selectExpr("*", "1 AS kept", "'z' AS _text", "2 AS part", "3 AS `_id`", *[f"{k} AS `{c}`" for k, c in enumerate(clashing)])

@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, exact_dedup, licenses, mixing, quality, shards
+from docloom.llm import bpe, chat, exact_dedup, jaccard_join, licenses, mixing, quality, shards, suffix
 from docloom.llm._words import flat, grams, words
 from docloom.llm.registry import public_tokenizer
 
@@ -54,6 +55,39 @@ def test_exact(spark, odd):
     assert exact_dedup.groups(odd.limit(0)).count() == 0
 
 
+def test_columns_stay(spark, odd):
+    """Rows that stay are rows of the input, whatever the names of their columns."""
+    every = {tuple(r) for r in odd.collect()}
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for kept in (exact_dedup.keep_first(odd), mixing.sample(odd), jaccard_join.keep_one(odd), quality.keep_good(odd, labels)):
+        assert kept.columns == odd.columns and {tuple(r) for r in kept.collect()} <= every
+
+
+def test_string_ids(spark, odd):
+    """Ids of another type than the labels' and no numbers."""
+    docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (exact_dedup.groups, mixing.mix_sources, jaccard_join.join, suffix.dedup, licenses.scan, shards.shard, lambda d: quality.assess(d, labels), lambda d: bpe.digest(d, public_tokenizer())):
+        assert sorted(str(r.doc_id) for r in f(docs).collect()) == sorted(str(r.doc_id) for r in docs.collect())
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}["d7"] == "d6"
+
+
+def test_exact_digest_clash(spark, odd):
+    """Texts that share a digest are told apart by their content."""
+    want = Counter(map(tuple, exact_dedup.groups(odd).collect()))
+    for digest in (lambda n: F.unhex(F.lit("00")), lambda n: F.unhex(F.format_string("%02x", F.length(n) % 2))):
+        assert Counter(map(tuple, exact_dedup.groups(odd, digest=digest).collect())) == want
+
+
+def test_shards_split_like_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got, want = shards.shard(docs, limit=60_000), con.sql(shards.oracle(60_000))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+    assert got.select("shard_id").distinct().count() > 30
+
+
 def test_mixing(spark, odd):
     got = mixing.mix_sources(odd)
     assert got.count() == odd.count() and got.where("probability < 0 OR probability > 1 OR probability IS NULL").isEmpty()
@@ -145,7 +179,8 @@ def test_quality(spark, odd):
     t, u = sum(target.values()), sum(raw.values())
     got = {r.doc_id: r.score for r in quality.assess(docs, labels, slots=d).collect()}
     for i, f in feats.items():
-        want = sum(n * (np.log((target[slot[g]] + 1) / (t + d)) - np.log((raw[slot[g]] + 1) / (u + d))) for g, n in f.items()) / max(1, sum(f.values()))
+        p = {g: (raw[slot[g]] + 1) / (u + d) for g in f}
+        want = sum(n * (np.log((target[slot[g]] + quality.SMOOTHING * p[g]) / (t + quality.SMOOTHING)) - np.log(p[g])) for g, n in f.items()) / max(1, sum(f.values()))
         assert got[i] == pytest.approx(want)
     assert quality.keep_good(odd, labels).columns == odd.columns
     assert quality.assess(odd.limit(0), labels).count() == 0
@@ -163,6 +198,18 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).where("n_matches > 0").isEmpty() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_quality_held_out(spark):
+    """The threshold lets through good rows that the model has not seen, and stops rows of other words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where("doc_id % 3 > 0")
+    unseen = quality.assess(docs, seen).where("NOT base_failed").join(labels.where("doc_id % 3 = 0"), "doc_id")
+    good, bad = (unseen.where(f"{w}(quality = 1 AND toxic = 0)").agg(F.avg(F.col("kept").cast("int"))).first()[0] for w in ("", "NOT "))
+    assert good > 0.95 and bad < good - 0.2
+    weight, threshold = quality.fit(docs, labels)
+    again, same = quality.fit(docs.repartition(7), labels)
+    assert threshold == pytest.approx(same) and np.allclose(weight, again)
+
+
 def slow_difference(a, b):
     """Least edits between a and any stretch of b, by plain dynamic programming."""
     row = [0] * (len(b) + 1)
