@@ -53,7 +53,7 @@ def sentences(text: Column) -> Column:
     raw = F.filter(F.split(strip(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
 
     def attach(acc: Column, s: Column) -> Column:
-        marks = F.regexp_extract(s, r"^((?:\[\d+\]\s*)+)", 1)
+        marks = F.regexp_extract(s, r"^(?:\[[0-9]+\]\s*)+", 0)
         rest = F.substring(s, F.length(marks) + 1, F.length(s))
         head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         joined = F.when((marks != "") & (F.size(acc) > 0), F.concat(head, F.array(F.concat(F.element_at(acc, -1), F.lit(" "), F.trim(marks))))).otherwise(acc)
@@ -65,7 +65,7 @@ def sentences(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Numbers as doubles: as written and scaled by a suffix."""
-    pattern = r"(?i)([\d,]+\.?\d*)\s*(million|billion|thousand|[mkb])?\b"
+    pattern = rf"(?i)(\d[\d,]*(?:\.\d*)?)\s*({'|'.join(SCALES)})?\b"
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     suffix = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.lower)
     value = F.transform(raw, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
@@ -91,3 +91,43 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return dot(a, b) / F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+
+
+def citations(text: Column) -> Column:
+    """The numbers of a text's markers [n], in order, repeated ones included."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int"))
+
+
+def breadcrumb(title: Column, path: Column) -> Column:
+    """Title and path, each part once; blank parts of the path are left out."""
+    parts = F.filter(path, lambda p: p.isNotNull() & (p != ""))
+    return F.array_join(F.array_distinct(F.concat(F.array(title), parts)), " > ")
+
+
+def chunk_text(label: Column, ordinal: Column, body: Column) -> Column:
+    """A body under its label in brackets; a numbered item's label ends with its number."""
+    item = F.concat(F.lit("item "), ordinal.cast("string"))
+    whole = F.when(ordinal.isNull(), label).when(F.coalesce(label, F.lit("")) == "", item).otherwise(F.concat(label, F.lit(" \u00b7 "), item))
+    return F.when(F.coalesce(whole, F.lit("")) == "", body).otherwise(F.concat(F.lit("["), whole, F.lit("]\n"), body))
+
+
+def citation_label(source: Column, page: Column, path: Column) -> Column:
+    """file (p.N), else the section path, else start."""
+    trail = F.array_join(path, " > ")
+    place = F.when(page.isNotNull(), F.concat(F.lit("p."), page.cast("string"))).when(F.coalesce(trail, F.lit("")) != "", trail).otherwise(F.lit("start"))
+    return F.concat(source, F.lit(" ("), place, F.lit(")"))
+
+
+def truncated(text: Column, tokens: int, mark: str) -> Column:
+    """A text of more than so many tokens is cut there and marked."""
+    return F.when(token_estimate(text) > tokens, F.concat(F.regexp_replace(F.substring(text, 1, tokens * 4), r"\s+$", ""), F.lit(mark))).otherwise(text)
+
+
+def expanded(parent: Column, body: Column) -> Column:
+    """The enclosing section where it is longer than the passage."""
+    return F.when(F.length(F.coalesce(parent, F.lit(""))) > F.length(body), parent).otherwise(body)
+
+
+def markdown_row(cells: list[Column]) -> Column:
+    """One line of a Markdown table; nulls are empty, pipes escaped."""
+    return F.concat(F.lit("| "), F.array_join(F.array(*[F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in cells]), " | "), F.lit(" |"))

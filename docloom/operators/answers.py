@@ -73,6 +73,15 @@ def surviving(supported: DataFrame, sents: DataFrame) -> DataFrame:
     return held.join(saved, ["answer_id", "n"], "left").where("_keep OR _saved").select("answer_id", "n", "support")
 
 
+def ratios(checks: DataFrame) -> DataFrame:
+    """checks (answer_id, needs, supported, cited) to answer_id, needing, support_ratio, cite_coverage: of the sentences
+    that need support, how many have it (1 if none needs any), and how many cite something (0 if none needs any)."""
+    need = F.col("needs").cast("int")
+    per = checks.groupBy("answer_id").agg(F.sum(need).alias("needing"), F.sum(need * F.col("supported").cast("int")).alias("_sup"), F.sum(need * (F.size("cited") > 0).cast("int")).alias("_cov"))
+    share = lambda c, other: F.when(F.col("needing") > 0, F.col(c) / F.col("needing")).otherwise(other)
+    return per.select("answer_id", "needing", share("_sup", 1.0).alias("support_ratio"), share("_cov", 0.0).alias("cite_coverage"))
+
+
 def confidence(ratio: Column, coverage: Column, signal: Column) -> Column:
     return F.round(F.least(F.lit(0.95), 0.55 * ratio + 0.20 * coverage + 0.25 * F.coalesce(signal, F.lit(NO_SIGNAL))), 2)
 
@@ -83,12 +92,10 @@ def verify(drafts: DataFrame, citations: DataFrame) -> DataFrame:
     scores = pair_scores(sents, citations)
     best = scores.groupBy("answer_id", "s").agg(F.max("score").alias("best"))
     checks = sents.join(best, ["answer_id", "s"], "left").withColumn("supported", F.coalesce(F.col("best") >= SUPPORT, F.lit(False)))
-    need = F.col("needs").cast("int")
-    per = checks.groupBy("answer_id").agg(F.sum(need).alias("needing"), F.sum(need * F.col("supported").cast("int")).alias("_sup"), F.sum(need * (F.size("cited") > 0).cast("int")).alias("_cov"))
     kept = surviving(support(citations, scores), sents).groupBy("answer_id").agg(F.array_sort(F.collect_list("n")).alias("kept"))  # an answer's own citations
-    x = drafts.join(per, "answer_id", "left").join(kept, "answer_id", "left")
+    x = drafts.join(ratios(checks), "answer_id", "left").join(kept, "answer_id", "left")
     x = x.withColumn("needing", F.coalesce("needing", F.lit(0))).withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    x = x.withColumn("support_ratio", F.when(F.col("needing") > 0, F.col("_sup") / F.col("needing")).otherwise(1.0)).withColumn("cite_coverage", F.when(F.col("needing") > 0, F.col("_cov") / F.col("needing")).otherwise(0.0))
+    x = x.withColumn("support_ratio", F.coalesce("support_ratio", F.lit(1.0))).withColumn("cite_coverage", F.coalesce("cite_coverage", F.lit(0.0)))
     x = x.withColumn("_c", confidence(F.col("support_ratio"), F.col("cite_coverage"), F.col("signal")))
     bare = F.rtrim(tx.strip(F.coalesce("draft", F.lit(""))))
     refused = (bare == "") | (F.regexp_replace(bare, r"\.+$", "") == REFUSAL.rstrip("."))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGIN, MAX_FURNITURE = 0.12, 90
-PAGE_NUMBER = r"^(?:page)?\d{1,4}(?:of\d{1,4})?$"
+#: Without blanks: 7, page7, 7of10, 7|page.
+PAGE_NUMBER = r"^(page)?\d{1,4}(\|?page)?(of\d{1,4})?$"
 
 
 def heading_level(size: Column, body: Column) -> Column:
@@ -23,6 +24,10 @@ def normal_line(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", ""), r"\d+", "#")
 
 
+def is_page_number(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"\s+", "").rlike(PAGE_NUMBER)
+
+
 def furniture(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page, at, text; at is the height on the page from 0 to 1) with is_furniture: margin lines that
     are page numbers or stand on at least three pages and three in five of the document's."""
@@ -31,7 +36,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     total = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
     often = x.where("_margin").groupBy("doc_id", "_norm").agg(F.count_distinct("page").alias("_n")).join(total, "doc_id")
     often = often.where(F.col("_n") >= F.greatest(F.lit(3), F.round(0.6 * F.col("_pages")))).select("doc_id", "_norm", F.lit(True).alias("_often"))
-    number = F.regexp_replace(F.lower("text"), r"\s+", "").rlike(PAGE_NUMBER)
+    number = is_page_number(F.col("text"))
     return x.join(often, ["doc_id", "_norm"], "left").withColumn("is_furniture", F.col("_margin") & (F.coalesce("_often", F.lit(False)) | F.coalesce(number, F.lit(False)))).drop("_norm", "_margin", "_often")
 
 
@@ -81,3 +86,15 @@ def number_parts(elements: DataFrame) -> DataFrame:
     part = F.col("part") & F.col("ordinal").isNull()
     x = elements.withColumn("_max", F.max("ordinal").over(doc)).withColumn("_many", F.sum(part.cast("int")).over(doc)).withColumn("_k", F.sum(part.cast("int")).over(doc.orderBy("seq")))
     return x.withColumn("ordinal", F.when(part & (F.col("_many") >= 2), F.col("_max") + F.col("_k")).otherwise(F.col("ordinal")).cast("int")).drop("_max", "_many", "_k")
+
+
+def body_sizes(spans: DataFrame) -> DataFrame:
+    """doc_id, median, upper of the spans' sizes (doc_id, size): the mean of the middle two, and the greater of them."""
+    return spans.groupBy("doc_id").agg(F.median(F.col("size").cast("double")).alias("median"), upper_middle(F.collect_list(F.col("size").cast("double"))).alias("upper"))  # a document's own spans
+
+
+def best_passes(passes: DataFrame) -> DataFrame:
+    """passes (id, scale, n, confidence, text) to id, text, scale: of the readings of an image the one with most
+    detections, then the greatest confidence, then the least scale."""
+    best = F.max(F.struct("n", "confidence", (-F.col("scale")).alias("_s"), "text"))
+    return passes.groupBy("id").agg(best.alias("_b")).select("id", "_b.text", (-F.col("_b._s")).alias("scale"))

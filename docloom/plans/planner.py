@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from ..queries.textual import BROAD
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Ordinal words, and cues of small talk and of tables.
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
@@ -13,6 +14,26 @@ NOUN = r"(?:question|item|problem|section|step|exercise)s?"
 SMALL_TALK = re.compile(r"(?i)^\s*(?:hi|hello|hey|thanks|thank you|good (?:morning|evening))\b[^?]{0,40}$")
 TABLES = re.compile(r"(?i)\b(?:total|sum|average|mean|how many|how much|highest|lowest|per (?:month|quarter|region)|by (?:month|quarter|region))\b")
 LAST = -1
+#: What a question about a whole document asks for.
+BROAD = "|".join((
+    r"\b(?:what|which) (?:topics|subjects|themes)\b", r"\b(?:list|name|show) (?:all|each|every)\b", r"\bevery (?:item|question|section)\b", r"\bsummar(?:i[sz]e|y)", r"\boverview\b",
+    r"\bhow many [^.?!]{1,25} (?:are|is)\b", r"\bwhich (?:items|parts|questions|sections) (?:[^.?!]{1,25} )?(?:are|about)\b",
+))
+
+
+def is_broad(question: Column) -> Column:
+    return F.lower(question).rlike(BROAD)
+
+
+def remapped(ordinals: Column, subset: Column) -> Column:
+    """Positions in the items shown before become their numbers; numbers that were shown, or are no position, stay."""
+
+    def one(n: Column) -> Column:
+        last = (n == LAST) & (F.size(subset) > 0)
+        return F.when(last, F.element_at(subset, -1)).when((n >= 1) & (n <= F.size(subset)) & ~F.array_contains(subset, n), F.get(subset, n - 1)).otherwise(n)
+
+    return F.transform(F.coalesce(ordinals, F.array().cast("array<int>")), one)
+
 
 
 @dataclass
@@ -40,4 +61,4 @@ def plan(question: str, subset: list[int] | None = None) -> Plan:
     # a question about an item is never small talk, and a plan has always a query
     intent = "chitchat" if SMALL_TALK.match(question) and not named else "table" if TABLES.search(question) else "document"
     parts = [p.strip() for p in re.split(r"(?<=\?)\s+", question) if p.strip()]
-    return Plan(intent, parts or [question], named, bool(re.search(BROAD, question)), intent == "table")
+    return Plan(intent, parts or [question], named, bool(re.search(BROAD, question.lower())), intent == "table")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,24 @@ def tidy(df: DataFrame) -> DataFrame:
 def card(df: DataFrame, name: str, source: str) -> str:
     cols = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in df.schema.fields)
     return f"Table {name} from {source}: {df.count()} rows. Columns: {cols}"
+
+
+class Description(NamedTuple):
+    columns: list[tuple[str, str]]
+    rows: int
+    preview: str
+
+
+def markdown(df: DataFrame, limit: int = 20) -> str:
+    """The first rows as a Markdown table, and how many more there are. Nulls are empty."""
+    if not df.columns:
+        return "_no result_"
+    head = df.limit(limit).collect()
+    more = df.count() - len(head)
+    rows = [df.columns, ["---"] * len(df.columns), *(["" if c is None else str(c) for c in r] for r in head)]
+    return "\n".join(["| " + " | ".join(r) + " |" for r in rows] + ([f"_({more} more rows)_"] if more else []))
+
+
+def describe(df: DataFrame, limit: int = 15) -> Description:
+    """Columns with types, the number of rows, and the first ones as Markdown."""
+    return Description([(f.name, f.dataType.simpleString().upper()) for f in df.schema.fields], df.count(), markdown(df, limit))

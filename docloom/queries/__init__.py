@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pipeline, relational, retrieval, structure, textual
+from . import applied, pipeline, relational, retrieval, structure, textual
 
 REGISTRY = {}
-for _m in (relational, textual, retrieval, structure, pipeline):
+for _m in (relational, textual, retrieval, structure, pipeline, applied):
     REGISTRY.update(_m.REGISTRY)

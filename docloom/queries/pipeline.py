@@ -23,7 +23,6 @@ R["sql_limit_guard"] = (_guarded(LIMITED, ["orders"]), LIMITED + " LIMIT 200")
 CTE = "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM t ORDER BY s DESC, o_custkey LIMIT 5"
 R["guarded_cte"] = (_guarded(CTE, ["orders"]), CTE)
 R["drop_all_null"] = (lambda s, d: registry.tidy(s.sql("SELECT * FROM VALUES (1, CAST(NULL AS INT), 'a'), (NULL, NULL, NULL), (2, NULL, 'b') AS t(`Unit Sold`, `Empty`, `2026`)")), "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(unit_sold, c_2026)")
-R["describe_table"] = (lambda s, d: (lambda df: s.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "name string, type string"))(s.read.parquet(f"{d}/nation.parquet")), "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS t(name, type)")
 R["table_card"] = (lambda s, d: s.createDataFrame([(registry.card(s.read.parquet(f"{d}/region.parquet"), "region", "r.csv"),)], "card string"), "SELECT 'Table region from r.csv: ' || count(*) || ' rows. Columns: r_regionkey INT, r_name STRING' AS card FROM region")
 R["clean_columns"] = (lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(registry.clean_columns(["Q3 Budget", "Q3 budget", "", "Unnamed: 3", "2026"]))], "pos int, name string"), "SELECT * FROM (VALUES (0, 'q3_budget'), (1, 'q3_budget_1'), (2, 'col_2'), (3, 'col_3'), (4, 'c_2026')) AS t(pos, name)")
 R["incremental_ingest"] = (

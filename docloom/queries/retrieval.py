@@ -62,6 +62,31 @@ R["rrf_payload"] = (
     lambda s, d: docs(s, d).join(F.broadcast(op.hybrid(docs(s, d), vectors(s, d), query(s, d), query_vector(s, d))), F.col("doc_id") == F.col("id")).select("doc_id", "lang", "source", "score"),
     BASE + "SELECT doc_id, lang, source, score FROM documents JOIN (SELECT id, score FROM fu ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 8) t ON id = doc_id",
 )
+MANY = (
+    BASE.replace("q AS (SELECT term, count(*) AS qn FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) GROUP BY term)", "q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL)")
+    .replace("sc AS (SELECT p.id, round", "sc AS (SELECT item_id, p.id, round").replace("GROUP BY p.id HAVING", "GROUP BY item_id, p.id HAVING").replace("sp AS (SELECT id, score, row_number() OVER (ORDER", "sp AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER")
+    .split("dn0 AS")[0]
+    + """dn AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE {w} QUALIFY rank <= 40)
+"""
+)
+
+
+def all_questions(s, d):
+    return s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+
+
+def question_vectors(s, d):
+    return vectors(s, d).join(all_questions(s, d).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qv"))
+
+
+R["bm25_batch"] = (lambda s, d: op.sparse_many(op.Bm25Index(docs(s, d)), all_questions(s, d)).select("query_id", "id", "score", "rank"), MANY.format(w="true") + "SELECT item_id AS query_id, id, score, rank::INT AS rank FROM sp")
+R["dense_batch"] = (lambda s, d: op.dense_many(vectors(s, d), vectors(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))), MANY.format(w="a.vec_id % 100 = 0") + "SELECT query_id, id, score, rank::INT AS rank FROM dn")
+R["hybrid_batch"] = (
+    lambda s, d: op.fuse_many(op.dense_many(vectors(s, d), question_vectors(s, d)), op.sparse_many(op.Bm25Index(docs(s, d)), all_questions(s, d))),
+    MANY.format(w="a.vec_id IN (SELECT item_id FROM benchmark)")
+    + """, fu AS (SELECT coalesce(dn.query_id, sp.item_id) AS query_id, coalesce(dn.id, sp.id) AS id, dn.rank AS dense_rank, sp.rank AS sparse_rank, round(coalesce(1.0 / (60 + dn.rank), 0) + coalesce(1.0 / (60 + sp.rank), 0), 9) AS score FROM dn FULL OUTER JOIN sp ON dn.query_id = sp.item_id AND dn.id = sp.id)
+SELECT query_id, id, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) <= 8""",
+)
 SCOPE = "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src4') AND lang IN ('en', 'fr')"
 R.sql("scope_filter", SCOPE)
 R.sql("scope_semi", f"SELECT l.doc_id, l.quality FROM labels l SEMI JOIN ({SCOPE}) s ON l.doc_id = s.doc_id")
@@ -82,7 +107,6 @@ R["dominant_source"] = (
     BASE + "SELECT source, count(*) AS n FROM documents JOIN sp ON id = doc_id GROUP BY source ORDER BY n DESC, source LIMIT 1",
 )
 HITS = "SELECT * FROM VALUES (1, 10, 0.5), (1, 11, 0.4), (2, 10, 0.5), (2, 11, 0.9), (2, 12, 0.4), (3, 13, 0.1) AS t(query_no, id, score)"
-R["multi_query_merge"] = (lambda s, d: op.merge_sub_queries(s.sql(HITS), 3), "WITH t AS (SELECT * FROM (VALUES (1, 10, 0.5), (1, 11, 0.4), (2, 10, 0.5), (2, 11, 0.9), (2, 12, 0.4), (3, 13, 0.1)) AS t(query_no, id, score)) SELECT * FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, query_no) = 1) ORDER BY score DESC, query_no, id LIMIT 3")
 R["broad_budget"] = (
     lambda s, d: op.within_budget(docs(s, d).select("source", "doc_id", F.floor(F.length("text") / 4).alias("tokens")), "tokens", ["doc_id"], 6000, ["source"]).select("source", "doc_id"),
     "SELECT source, doc_id FROM (SELECT source, doc_id, sum(length(text) // 4) OVER w AS c, row_number() OVER w AS rn FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE c <= 6000 OR rn = 1",
@@ -97,9 +121,6 @@ R.sql("upsert_new_chunks", "SELECT doc_id FROM documents ANTI JOIN labels USING
 R.sql("delete_doc", "SELECT doc_id, source FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)")
 R.sql("union_cards_chunks", "SELECT 'card' AS kind, n_name AS body FROM nation UNION ALL SELECT 'chunk', text FROM documents")
 R.sql("distinct_sets", "SELECT lang, count(DISTINCT source) AS sources, min(doc_id) AS first_id FROM documents GROUP BY lang")
-R.sql("pin_and_pad", """
-WITH h AS (SELECT doc_id AS id, source, CASE WHEN n_chars = max(n_chars) OVER (PARTITION BY lang) THEN 0 ELSE 1 END AS pri, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS dense_rank FROM documents)
-SELECT id, source, pri FROM h WHERE pri = 0 OR dense_rank <= 5""")
 R["rerank_seam"] = (
     lambda s, d: op.rerank(fused(s, d), docs(s, d), query(s, d), 8),
     BASE.replace("WITH tok", "WITH qt AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS qw FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), tok")

@@ -1,79 +1,33 @@
-"""Layout, numbering, matching and answer checking, on documents and on literal rows."""
+"""Layout, parsing and answer checking on documents and pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, layout, numbering, pages
-from ..plans import evaluation
+from ..operators import answers, layout, numbering
 from ..sources import files
-from . import textual
 from .base import Registry
 from .textual import documents
-from .textual import literal as _literal
 
 REGISTRY = R = Registry()
 
 
-def literal(name, columns, rows, spark_sql, duck_sql=None):
-    _literal(name, columns, rows, spark_sql, duck_sql)
-    R[name] = textual.REGISTRY.pop(name)
-
-
-R["pack_chunks"] = (lambda s, d: layout.chunks(documents(s, d)).drop("body"), None)
-R["section_paths"] = (
-    lambda s, d: s.sql("SELECT * FROM VALUES (1, array(1, 3, 3, 2), array('A', 'B', 'C', 'D')) AS t(id, lv, tx)").select("id", F.posexplode(layout.section_path(F.col("lv"), F.col("tx"))).alias("pos", "p")).select("id", "pos", F.array_join("p", " > ").alias("path")),
-    "SELECT * FROM (VALUES (1, 0, 'A'), (1, 1, 'A > B'), (1, 2, 'A > B > C'), (1, 3, 'A > D')) AS t(id, pos, path)",
-)
-ELEMENTS = "(1, 'paragraph', 'x', 0), (2, 'heading', 'H1', 0), (3, 'paragraph', 'a', 0), (4, 'table', 'T', 1), (5, 'paragraph', 'b', 0), (6, 'heading', 'H2', 0), (7, 'code', 'c', 1), (8, 'paragraph', 'd', 0)"
-COLS = "seq, kind, txt, atomic"
-literal("sections", COLS, ELEMENTS, "SELECT seq, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS section FROM {t}")
-literal("chunk_runs", COLS, ELEMENTS, "SELECT seq, sum(atomic) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - atomic AS run, atomic FROM {t}")
-literal("flow_runs", COLS, ELEMENTS, "SELECT seq, sum(CASE WHEN kind IN ('table', 'code', 'heading') THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM {t} WHERE kind NOT IN ('table', 'code', 'heading') OR seq = 1")
-literal("section_text", COLS, ELEMENTS, "SELECT section, string_agg(txt, ' ') WITHIN GROUP (ORDER BY seq) AS body FROM (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS section FROM {t}) GROUP BY section", "SELECT section, string_agg(txt, ' ' ORDER BY seq) AS body FROM (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS section FROM {t}) GROUP BY section")
-literal("longest_run", "pos, n", "(1, 7), (2, 1), (3, 2), (4, 3), (5, 5), (6, 50), (7, 51), (8, 52)", """
-SELECT run, count(*) AS len, min(n) AS lo, max(n) AS hi FROM (SELECT *, sum(brk) OVER (ORDER BY pos) AS run FROM (SELECT *, CASE WHEN n - lag(n) OVER (ORDER BY pos) BETWEEN 0 AND 4 THEN 0 ELSE 1 END AS brk FROM {t}) a) b
-GROUP BY run HAVING count(*) >= 4 ORDER BY len DESC, run LIMIT 1""")
-literal("reading_order", "id, x0, y0", "(1, 50.0, 10.0), (2, 5.0, 12.0), (3, 5.0, 60.0), (4, 70.0, 65.0), (5, 30.0, 61.0)", """
-SELECT id, row_number() OVER (ORDER BY band, x0) AS pos FROM (SELECT *, sum(CASE WHEN y0 - prev > 20 THEN 1 ELSE 0 END) OVER (ORDER BY y0, id) AS band FROM (SELECT *, lag(y0) OVER (ORDER BY y0, id) AS prev FROM {t}) a) b""")
-literal("synthetic_ordinals", "id, ordinal", "(1, 4), (2, 30), (3, NULL), (4, NULL)", "SELECT id, coalesce(ordinal, (max(ordinal) OVER ()) + sum(CASE WHEN ordinal IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY id)) AS ordinal FROM {t}")
-literal("range_join_sets", "id, ordinal", "(1, 23), (2, 24), (3, 28), (4, 29)", "SELECT t.id, t.ordinal, CASE WHEN p.lo IS NULL THEN 'none' ELSE 'shared' END AS ctx FROM {t} t LEFT JOIN (SELECT 24 AS lo, 28 AS hi) p ON t.ordinal BETWEEN p.lo AND p.hi")
-literal("relocate_preambles", "seq, kind, target", "(1, 'item', 23), (2, 'pre', 24), (3, 'item', 22), (4, 'item', 24), (5, 'pre', 23)", "SELECT p.seq, t.seq AS target_seq FROM {t} p JOIN {t} t ON t.kind = 'item' AND t.target = p.target AND t.seq > p.seq WHERE p.kind = 'pre'")
-literal("attach_page_figures", "id, page, fig", "(1, 1, NULL), (2, 1, 'f1'), (3, 2, 'f2'), (4, 2, 'f3'), (5, 2, NULL)", "SELECT t.id, coalesce(t.fig, f.only_fig) AS fig FROM {t} t LEFT JOIN (SELECT page, max(fig) AS only_fig FROM {t} WHERE fig IS NOT NULL GROUP BY page HAVING count(*) = 1) f ON t.page = f.page")
-literal("bbox_anti_join", "id, x0, y0, x1, y1", "(1, 0, 0, 10, 10), (2, 20, 20, 30, 30), (3, 50, 50, 60, 60)", "SELECT b.id FROM {t} b WHERE NOT EXISTS (SELECT 1 FROM (SELECT 5 AS tx0, 5 AS ty0, 25 AS tx1, 25 AS ty1) k WHERE b.x0 < k.tx1 AND b.x1 > k.tx0 AND b.y0 < k.ty1 AND b.y1 > k.ty0)")
-literal("bar_chart_geometry", "x, w, h, bottom", "(0, 10, 30, 100), (15, 10, 50, 100), (30, 11, 20, 99), (45, 10, 70, 100)", """
-SELECT count(*) >= 4 AND max(h) - min(h) > 2 AND max(bottom) - min(bottom) <= 8 AND max(gap) <= 3 * avg(gap) AS is_chart FROM (SELECT *, lead(x) OVER (ORDER BY x) - x AS gap FROM {t}) g""")
-literal("ocr_best_scale", "scale, n, conf, txt", "(1, 3, 0.9, 'a'), (2, 5, 0.7, 'b'), (3, 5, 0.8, 'c')", "SELECT max_by(txt, struct(n, conf)) AS best FROM {t}", "SELECT arg_max(txt, n * 1000 + conf) AS best FROM {t}")
-literal("median_styles", "id, size", "(1, 10.0), (2, 12.0), (3, 12.0), (4, 20.0)", "SELECT CAST(median(size) AS DOUBLE) AS true_median, CAST(max(CASE WHEN rn = 3 THEN size END) AS DOUBLE) AS upper_middle FROM (SELECT *, row_number() OVER (ORDER BY size, id) AS rn FROM {t}) r")
-literal("chart_pivot", "cat, series, v", "('Q1', 'a', 10.0), ('Q1', 'b', 12.5), ('Q2', 'a', 11.0), ('Q2', 'b', 14.0)", "SELECT cat, max(CASE WHEN series = 'a' THEN v END) AS a, max(CASE WHEN series = 'b' THEN v END) AS b FROM {t} GROUP BY cat")
-literal("md_table", "pos, a, b", "(1, 'h1', 'h2'), (2, 'x|y', NULL), (3, '', '')", "SELECT pos, concat('| ', replace(coalesce(a, ''), '|', '\\\\|'), ' | ', coalesce(b, ''), ' |') AS line FROM {t} WHERE coalesce(a, '') <> '' OR coalesce(b, '') <> ''", "SELECT pos, '| ' || replace(coalesce(a, ''), '|', '\\|') || ' | ' || coalesce(b, '') || ' |' AS line FROM {t} WHERE coalesce(a, '') <> '' OR coalesce(b, '') <> ''")
-literal("code_segments", "n, line", "(1, 'import x'), (2, 'def a():'), (3, '  pass'), (4, 'class B:'), (5, '  y = 1')", "SELECT seg, min(n) AS first_line, count(*) AS lines FROM (SELECT *, sum(CASE WHEN line LIKE 'def %' OR line LIKE 'class %' OR line LIKE 'func %' THEN 1 ELSE 0 END) OVER (ORDER BY n) AS seg FROM {t}) s GROUP BY seg")
-literal("support_scores", "s, n, cos, recall, trusted", "(1, 1, 0.8, 0.5, 0), (1, 2, 0.2, 0.1, 0), (2, 3, 0.1, 0.0, 1)", "SELECT s, round(max(sc), 3) AS best, max(sc) >= 0.52 AS supported FROM (SELECT *, CASE WHEN trusted = 1 THEN 0.80 ELSE 0.55 * cos + 0.45 * recall END AS sc FROM {t}) x GROUP BY s")
-literal("attach_support", "n, sc", "(1, 0.8), (1, 0.9), (3, 0.4)", "SELECT c.n, round(coalesce(max(t.sc), 0), 2) AS support FROM (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) c LEFT JOIN {t} t ON c.n = t.n GROUP BY c.n")
-literal("support_ratio", "s, needs, supported, cited", "(1, 1, 1, 1), (2, 1, 0, 1), (3, 0, 0, 0)", "SELECT round(coalesce(avg(CASE WHEN needs = 1 THEN CAST(supported AS DOUBLE) END), 1.0), 6) AS support_ratio, round(coalesce(avg(CASE WHEN needs = 1 THEN CAST(cited AS DOUBLE) END), 0.0), 6) AS cite_coverage FROM {t}")
-literal("confidence", "sr, cc, rs", "(1.0, 1.0, 1.0), (0.5, 0.8, 0.3)", "SELECT CAST(round(least(0.95, 0.55 * sr + 0.20 * cc + 0.25 * rs), 2) AS DOUBLE) AS confidence FROM {t}")
-literal("prune_weak", "n, support", "(1, 0.70), (2, 0.45), (3, 0.52)", "SELECT n FROM (SELECT n, support, max(support) OVER () AS best FROM {t}) x WHERE support >= CASE WHEN best >= 0.65 THEN 0.50 ELSE 0.38 END OR support = best ORDER BY support DESC")
-literal("backfill_citations", "s, n, overlap", "(1, 1, 0.4), (1, 2, 0.4), (2, 1, 0.2), (2, 3, 0.35)", "SELECT s, n FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY overlap DESC, n DESC) AS r FROM {t}) x WHERE r = 1 AND overlap >= 0.30")
-literal("kw_overlap_filter", "id, kw", "(1, 'refund policy days'), (2, 'refund only'), (3, 'policy days late')", "SELECT id FROM {t} WHERE size(array_intersect(split(kw, ' '), array('refund', 'policy', 'days'))) >= 2", "SELECT id FROM {t} WHERE len(list_intersect(string_split(kw, ' '), ['refund', 'policy', 'days'])) >= 2")
-literal("foreign_chart_filter", "id, src, score, chart", "(1, 'a', 0.9, 0), (2, 'b', 0.5, 1), (3, 'a', 0.4, 1)", "SELECT id FROM (SELECT *, first_value(src) OVER (ORDER BY score DESC) AS main FROM {t}) x WHERE chart = 0 OR src = main")
-literal("context_blocks", "id, score", "(1, 0.9), (2, 0.8), (3, 0.7), (4, 0.6), (5, 0.5), (6, 0.4), (7, 0.3)", "SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n FROM {t} ORDER BY score DESC, id LIMIT 6")
-literal("majority_vote", "item, k", "(1, 'c'), (1, 'c'), (1, 'a'), (2, 'a'), (2, 'b'), (2, 'd'), (3, 'CANT'), (3, 'CANT'), (3, 'b')", """
-SELECT i.item, coalesce(m.k, CASE WHEN i.cant > 0 THEN 'CANT' ELSE 'inconsistent' END) AS verdict FROM (SELECT item, sum(CASE WHEN k = 'CANT' THEN 1 ELSE 0 END) AS cant FROM {t} GROUP BY item) i
-LEFT JOIN (SELECT item, k FROM (SELECT item, k, row_number() OVER (PARTITION BY item ORDER BY count(*) DESC, k) AS r, count(*) AS n FROM {t} WHERE k <> 'CANT' GROUP BY item, k) x WHERE r = 1 AND n >= 2) m ON i.item = m.item""")
-literal("eval_correct", "q, kind, ans, want, refused", "(1, 'doc', 'It is 14 days', '14 days', 0), (2, 'table', 'none', '119', 0), (3, 'none', '', '', 1)", "SELECT q, kind, CASE WHEN kind = 'none' THEN refused = 1 ELSE contains(lower(ans), lower(want)) AND refused = 0 END AS ok FROM {t}")
-literal("eval_summary", "kind, ok, conf, secs", "('doc', 1, 0.9, 10.0), ('doc', 0, 0.5, 30.0), ('table', 1, 0.95, 20.0)", "SELECT kind, sum(ok) AS passed, count(*) AS n, CAST(round(avg(conf), 4) AS DOUBLE) AS conf, CAST(median(secs) AS DOUBLE) AS med FROM {t} GROUP BY kind")
+#: Each document's pieces of at most 480 tokens: the text, else its lines, else their sentences packed.
+PIECES = r"""WITH x AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '') AS lines FROM documents),
+y AS (SELECT doc_id, CASE WHEN greatest(1, length(text) // 4) <= 480 OR len(lines) = 0 THEN [text] ELSE flatten(list_transform(lines, lambda l: CASE WHEN greatest(1, length(l) // 4) <= 480 THEN [l] ELSE
+  list_reduce(list_transform(string_split(regexp_replace(l, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: [s]),
+    lambda a, s: CASE WHEN greatest(1, length(a[-1] || ' ' || s[1]) // 4) > 480 THEN list_concat(a, s) ELSE list_concat(a[:-2], [a[-1] || ' ' || s[1]]) END) END)) END AS pieces FROM x)"""
+PACKED = PIECES.replace("WITH x", "WITH RECURSIVE x") + """, z AS (SELECT doc_id, list_transform(list_filter(pieces, lambda p: trim(p) <> ''), lambda p: greatest(1, length(p) // 4)) AS sizes FROM y),
+r AS (SELECT doc_id, sizes, 0 AS i, 0 AS first, 0::BIGINT AS total, 0 AS done_first, -1 AS done_last FROM z WHERE len(sizes) > 0
+  UNION ALL SELECT doc_id, sizes, i + 1, CASE WHEN is_full THEN back ELSE first END, sizes[i + 1] + CASE WHEN is_full THEN coalesce(list_sum(sizes[back + 1 : i]), 0) ELSE total END, first, CASE WHEN is_full THEN i - 1 ELSE -1 END
+  FROM (SELECT *, total > 0 AND total + sizes[i + 1] > 480 AS is_full, greatest(i - coalesce(list_min(list_filter(range(1, i + 1), lambda n: list_sum(sizes[i - n + 1 : i]) >= 64)), i), first + 1) AS back FROM r WHERE i < len(sizes))),
+c AS (SELECT doc_id, sizes, done_first AS first, done_last AS last FROM r WHERE done_last >= 0 UNION ALL SELECT doc_id, sizes, first, i - 1 FROM r WHERE i = len(sizes))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS chunk_no, first::INT AS first, last::INT AS last, list_sum(sizes[first + 1 : last + 1])::BIGINT AS n_tokens FROM c"""
+R["pack_chunks"] = (lambda s, d: layout.chunks(documents(s, d)).drop("body"), PACKED)
 R.sql("session_context", """
 SELECT conv_id, string_agg(concat(role, ': ', text), ' | ') WITHIN GROUP (ORDER BY turn) AS ctx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r <= 4 GROUP BY conv_id""", """
 SELECT conv_id, string_agg(concat(role, ': ', text), ' | ' ORDER BY turn) AS ctx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r <= 4 GROUP BY conv_id""")
-QUIZ = "Read all of this with care.\n1. One a) x b) y c) z\n2) Two is R(a,b) c. p a. q d. s b. r\n3. Three\nmore\n4. Four of Company B.\nb. k a. j c. l\n9. Nine"
-R["enumerate_items"] = (
-    lambda s, d: numbering.items(s.createDataFrame([(1, QUIZ), (2, "1. a\n2. b\nno run"), (3, None)], "doc_id int, text string")),
-    """SELECT * FROM (VALUES (1, 0, 'paragraph', NULL, 'Read all of this with care.'), (1, 1, 'list_item', 1, '1. One a) x b) y c) z'), (1, 2, 'list_item', 2, '2) Two is R(a,b)' || chr(10) || 'a. q' || chr(10) || 'b. r' || chr(10) || 'c. p' || chr(10) || 'd. s'),
-(1, 3, 'list_item', 3, '3. Three' || chr(10) || 'more'), (1, 4, 'list_item', 4, '4. Four of Company B.' || chr(10) || 'a. j' || chr(10) || 'b. k' || chr(10) || 'c. l'), (2, 0, 'paragraph', NULL, '1. a' || chr(10) || '2. b' || chr(10) || 'no run')) AS t(doc_id, seq, kind, ordinal, text)""",
-)
-R["enumerate_documents"] = (lambda s, d: numbering.share_preambles(numbering.items(documents(s, d))), None)
-R["reorder_options"] = (lambda s, d: documents(s, d).select("doc_id", numbering.reorder_options(F.col("text")).alias("text")), None)
-R["explode_long"] = (lambda s, d: documents(s, d).select("doc_id", F.posexplode(numbering.explode_long(F.col("text"))).alias("pos", "piece")), None)
+R["explode_long"] = (lambda s, d: documents(s, d).select("doc_id", F.posexplode(numbering.explode_long(F.col("text"))).alias("pos", "piece")), PIECES + " SELECT doc_id, unnest(range(0, len(pieces)))::INT AS pos, unnest(pieces) AS piece FROM y")
 R["verify_answers"] = (
     lambda s, d: answers.verify(
         s.sql("SELECT * FROM VALUES (1, 'Refunds take 14 days after the return. [1] It costs 1,200 dollars. [2]', 1.0, false, true), (2, 'Nothing here is cited at all.', 0.9, false, false), (3, 'Hello!', CAST(NULL AS DOUBLE), true, false), (4, '', 0.5, false, false) AS t(answer_id, draft, signal, chitchat, has_tables)"),
@@ -82,21 +36,5 @@ R["verify_answers"] = (
     "SELECT * FROM (VALUES (1, 'ship', 0.95::DOUBLE, '1,2'), (2, 'refuse', 0.23::DOUBLE, ''), (3, 'chitchat', 1.0::DOUBLE, ''), (4, 'refuse', 0.0::DOUBLE, '')) AS t(answer_id, verdict, confidence, kept)",
 )
 R["guard_sizes"] = (lambda s, d: documents(s, d).select("doc_id", files.guard_column(F.octet_length("text"), 1 << 14).alias("error")), "SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'empty file' WHEN strlen(text) > 16384 THEN 'larger than 16384 bytes' END AS error FROM documents")
-R["sniff_kind"] = (lambda s, d: files.sniffed(documents(s, d).select("doc_id", F.encode("text", "utf-8").alias("content")), "doc_id"), None)
 R["parse_text_elements"] = (lambda s, d: files.elements(s.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("page"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content"))), None)
 R["csv_tables"] = (lambda s, d: files.elements(s.createDataFrame([("a.csv", bytearray("\ufeffx;y\n1;2\nragged\n3;4\n".encode())), ("b.tsv", bytearray(b"p\tq\n\xe9\t|\n"))], "path string, content binary")).select("path", "text"), "SELECT * FROM (VALUES ('a.csv', '| x | y |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 | 4 |'), ('b.tsv', '| p | q |' || chr(10) || '| é | \\| |')) AS t(path, text)")
-R["eval_report"] = (lambda s, d: evaluation.report(s.sql("SELECT * FROM VALUES ('q1', 'doc', true, 0.9, 10.0), ('q2', 'none', true, 0.0, 30.0), ('q3', 'doc', false, 0.5, 20.0) AS t(q, kind, ok, confidence, seconds)")), "SELECT * FROM (VALUES ('doc', 1, 2, 0.7::DOUBLE, 15.0::DOUBLE), ('none', 1, 1, 0.0::DOUBLE, 30.0::DOUBLE)) AS t(kind, passed, n, confidence, median_seconds)")
-
-
-def on_operator(name: str, spark_rows: str, columns: str, apply) -> None:
-    """A query over literal rows goes through its operator; DuckDB keeps its SQL."""
-    known = R if name in R else textual.REGISTRY
-    known[name] = (lambda s, d: apply(s.sql(f"SELECT * FROM VALUES {spark_rows} AS t({columns})")), known[name][1])
-
-
-on_operator("reading_order", "(1, 1, 1, 50.0D, 10.0D, 40.0D), (1, 1, 2, 5.0D, 12.0D, 42.0D), (1, 1, 3, 5.0D, 60.0D, 90.0D), (1, 1, 4, 70.0D, 65.0D, 95.0D), (1, 1, 5, 30.0D, 61.0D, 91.0D)", "doc_id, page, id, x0, y0, y1", lambda x: pages.reading_order(x).select("id", "pos"))
-on_operator("synthetic_ordinals", "(1, 1, false, 4), (1, 2, false, 30), (1, 3, true, NULL), (1, 4, true, NULL)", "doc_id, seq, part, ordinal", lambda x: pages.number_parts(x).select(F.col("seq").alias("id"), "ordinal"))
-on_operator("heading_level_buckets", "(1, 20.0D, 10.0D), (2, 14.0D, 10.0D), (3, 12.0D, 10.0D), (4, 10.5D, 10.0D)", "id, size, body", lambda x: x.select("id", pages.heading_level(F.col("size"), F.col("body")).alias("level")))
-on_operator("eval_summary", "('a', 'doc', true, 0.9D, 10.0D), ('b', 'doc', false, 0.5D, 30.0D), ('c', 'table', true, 0.95D, 20.0D)", "q, kind, ok, confidence, seconds", lambda x: evaluation.report(x).withColumnsRenamed({"confidence": "conf", "median_seconds": "med"}))
-on_operator("majority_vote", "(1, 'c'), (1, 'c'), (1, 'a'), (2, 'a'), (2, 'b'), (2, 'd'), (3, 'CANT'), (3, 'CANT'), (3, 'b')", "item, k", answers.majority)
-on_operator("answer_key", "(1, 'x\nFinal answer: c) 12'), (2, 'Final answer: 42.5 apples'), (3, 'no line'), (4, 'final answer: Cannot determine it'), (5, 'Final Answer: blue whale')", "id, reply", lambda x: x.select("id", answers.answer_key(F.col("reply")).alias("key")))

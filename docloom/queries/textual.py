@@ -1,10 +1,11 @@
-"""Text primitives, predicates and per-document scalars, over documents, pages and literal rows."""
+"""Text primitives, predicates and per-document scalars, over documents and pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.files import CODE, IMAGE, SHEET, TEXTLIKE
 from .base import Registry
 
 REGISTRY = R = Registry()
@@ -45,59 +46,19 @@ R["sentence_split"] = (
     lambda s, d: documents(s, d).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")),
     r"SELECT doc_id, (unnest(range(0, len(x))))::INT AS pos, unnest(x) AS sentence FROM (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda w: w <> '') AS x FROM documents)",
 )
-R["numbers_norm"] = (lambda s, d: s.sql("SELECT * FROM VALUES (1, 'rose to 2.46M from 1,200 and 3 billion'), (2, ', none'), (3, '15 items') AS t(id, text)").select("id", F.array_join(F.transform(F.array_sort(tx.numbers(F.col("text"))), lambda x: x.cast("string")), " ").alias("nums")), None)
-literal("md_strip", "id, text", "(1, '**bold** and `code`'), (2, '# head _x_'), (3, 'plain')", "SELECT id, regexp_replace(text, '[*_`#]+', '') AS s FROM {t}", "SELECT id, regexp_replace(text, '[*_`#]+', '', 'g') AS s FROM {t}")
 R["cosine_pairs"] = (
-    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").alias("a").join(s.read.parquet(f"{d}/embeddings.parquet").alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("b.vec_id") == F.col("a.vec_id") + 10)).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(tx.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("cos")),
-    "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10",
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").alias("b").crossJoin(F.broadcast(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0")).alias("a")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(tx.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("cos")),
+    "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0",
 )
 R["needs_support"] = (lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", tx.needs_support(F.col("text")).alias("needs")), r"SELECT conv_id, turn, length(trim(text, chr(10) || ' ')) >= 15 AND NOT regexp_matches(lower(trim(text, chr(10) || ' ')), '^(in summary|overall|note that|this means|in short)') AS needs FROM conversations")
-literal("cite_markers", "id, text", "(1, 'a [1] b [23].'), (2, 'none [x]')", r"SELECT id, array_join(regexp_extract_all(text, r'\[(\d+)\]', 1), ',') AS marks FROM {t}", r"SELECT id, array_to_string(regexp_extract_all(text, '\[(\d+)\]', 1), ',') AS marks FROM {t}")
-literal("breadcrumb", "id, title, a, b", "(1, 'Doc', 'Doc', 'Refunds'), (2, 'Guide', 'Intro', 'Intro'), (3, 'X', '', 'Y')", "SELECT id, array_join(array_distinct(filter(array(title, a, b), x -> x <> '')), ' > ') AS crumb FROM {t}", """
-SELECT id, CASE WHEN a = '' OR a = title THEN title ELSE title || ' > ' || a END || CASE WHEN b = '' OR b = title OR b = a THEN '' ELSE ' > ' || b END AS crumb FROM {t}""")
-literal("chunk_text", "label, ordinal, body", "('Doc > A', 3, 'text'), ('Doc', NULL, 'more')", "SELECT concat('[', label, coalesce(concat(' · item ', ordinal), ''), ']\\n', body) AS chunk FROM {t}", "SELECT '[' || label || coalesce(' · item ' || ordinal, '') || ']' || chr(10) || body AS chunk FROM {t}")
-R.sql("truncate_context", "SELECT doc_id, CASE WHEN length(text) > 6400 THEN concat(rtrim(substring(text, 1, 6400)), ' …') ELSE text END AS ctx FROM documents")
-literal("answer_key", "id, reply", "(1, 'x\nFinal answer: c) 12'), (2, 'Final answer: 42.5 apples'), (3, 'no line'), (4, 'final answer: Cannot determine it'), (5, 'Final Answer: blue whale')", r"""
-SELECT id, CASE WHEN a = '' THEN NULL WHEN a LIKE 'cannot determine%' THEN 'CANT' WHEN a RLIKE '^[a-d][.)]' THEN substring(a, 1, 1) WHEN a RLIKE r'^[-+]?\d' THEN regexp_extract(a, r'^([-+]?\d+(?:\.\d+)?)', 1) ELSE substring(a, 1, 40) END AS key
-FROM (SELECT id, lower(regexp_extract(reply, r'(?im)final answer:\s*(.+?)\s*$', 1)) AS a FROM {t})""", r"""
-SELECT id, CASE WHEN a = '' THEN NULL WHEN a LIKE 'cannot determine%' THEN 'CANT' WHEN regexp_matches(a, '^[a-d][.)]') THEN substring(a, 1, 1) WHEN regexp_matches(a, '^[-+]?\d') THEN regexp_extract(a, '^([-+]?\d+(?:\.\d+)?)', 1) ELSE substring(a, 1, 40) END AS key
-FROM (SELECT id, lower(regexp_extract(reply, '(?im)final answer:\s*(.+?)\s*$', 1)) AS a FROM {t})""")
-literal("subset_ordinals", "id, pos", "(1, 1), (2, 3), (3, 9)", "SELECT id, coalesce(try_element_at(array(24, 25, 28), pos), pos) AS ordinal FROM {t}", "SELECT id, coalesce(([24, 25, 28])[pos], pos) AS ordinal FROM {t}")
-literal("number_hit", "id, a, b", "(1, 'rev 1200 and 3', 'was 3'), (2, 'rev 12', 'was 13')", r"SELECT id, arrays_overlap(regexp_extract_all(a, r'(\d+)', 1), regexp_extract_all(b, r'(\d+)', 1)) AS hit FROM {t}", r"SELECT id, list_has_any(regexp_extract_all(a, '\d+'), regexp_extract_all(b, '\d+')) AS hit FROM {t}")
-literal("usage_cost", "model, tin, tout", "('small', 1000, 200), ('small', 500, 50), ('large', 3000, 900)", "SELECT model, sum(tin) AS input_tokens, sum(tout) AS output_tokens, count(*) AS calls, round(sum(CASE model WHEN 'large' THEN tin * 3.0 + tout * 15.0 ELSE tin * 0.8 + tout * 4.0 END) / 1000000, 8) AS cost FROM {t} GROUP BY model")
-literal("result_markdown", "a, b", "(1, 'x'), (2, NULL)", "SELECT concat('| ', array_join(array(coalesce(cast(a AS string), ''), coalesce(b, '')), ' | '), ' |') AS line FROM {t}", "SELECT '| ' || coalesce(a::VARCHAR, '') || ' | ' || coalesce(b, '') || ' |' AS line FROM {t}")
-R.sql("citation_label", "SELECT doc_id, concat(source, CASE WHEN doc_id % 3 = 0 THEN concat(' (p.', doc_id, ')') WHEN doc_id % 3 = 1 THEN concat(' (', lang, ' > ', source, ')') ELSE ' (start)' END) AS label FROM documents")
-R.sql("context_text", "SELECT conv_id, turn, CASE WHEN length(coalesce(prev, '')) > length(text) THEN prev ELSE text END AS ctx FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) t")
 R.sql("snippets", "SELECT doc_id, trim(substring(text, 1, 280)) AS snippet, substring(text, 1, 400) AS sql_snippet FROM documents")
 R.sql("eval_filter", "SELECT item_id FROM benchmark WHERE lower(text) LIKE '%the%' ORDER BY item_id LIMIT 10")
 EXT = "lower(regexp_extract(name, '(\\\\.[^./]+)$', 1))"
 FILES = "(1, 'a.PDF', 'text'), (2, 'b.py', 'image'), (3, 'c.html', 'text'), (4, 'd.bin', 'zip'), (5, 'e.csv', 'text'), (6, 'f.zzz', 'none'), (7, 'g.md', 'pdf'), (8, 'h.jpeg', 'text'), (9, 'i.docx', 'zip')"
-# Extensions by kind.
-TEXTLIKE = ".txt .md .markdown .rst .log .text".split()
-IMAGE = ".png .jpg .jpeg .bmp .tiff .webp".split()
-CODE = ".py .js .ts .tsx .java .go .rs .c .h .cpp .cc .cs .rb .php .sh .sql .scala .kt .swift .r .m .lua".split()
-SHEET = ".csv .xlsx .xls .tsv".split()
 KIND = f"""CASE WHEN sniff = 'pdf' THEN 'pdf' WHEN sniff = 'image' AND ext NOT IN ({_in(CODE)}) THEN 'image' WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.docx' THEN 'docx' WHEN ext = '.pptx' THEN 'pptx'
 WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN ({_in(TEXTLIKE)}) THEN 'text' WHEN ext IN ({_in(IMAGE)}) THEN 'image' WHEN ext IN ({_in(CODE)}) THEN 'code' WHEN sniff = 'zip' THEN 'docx' WHEN sniff = 'text' THEN 'text' ELSE 'error' END"""
-literal("resolve_kind", "id, name, sniff", FILES, f"SELECT id, {KIND} AS kind FROM (SELECT *, {EXT} AS ext FROM {{t}})", f"SELECT id, {KIND} AS kind FROM (SELECT *, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext FROM {{t}})")
-literal("route_by_ext", "id, name, sniff", FILES, f"SELECT id, CASE WHEN ext IN ({_in(SHEET)}) THEN 'spreadsheet' WHEN ext IN ({_in(CODE)}) THEN 'code' WHEN ext IN ({_in(IMAGE)}) THEN 'image' ELSE 'document' END AS route FROM (SELECT *, {EXT} AS ext FROM {{t}})", f"SELECT id, CASE WHEN ext IN ({_in(SHEET)}) THEN 'spreadsheet' WHEN ext IN ({_in(CODE)}) THEN 'code' WHEN ext IN ({_in(IMAGE)}) THEN 'image' ELSE 'document' END AS route FROM (SELECT *, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext FROM {{t}})")
-literal("heading_level_buckets", "id, size, body", "(1, 20.0, 10.0), (2, 14.0, 10.0), (3, 12.0, 10.0), (4, 10.5, 10.0)", "SELECT id, CASE WHEN size / body >= 1.6 THEN 1 WHEN size / body >= 1.35 THEN 2 WHEN size / body >= 1.18 THEN 3 ELSE 4 END AS level FROM {t}")
-literal("norm_furniture", "id, line", "(1, 'Page 3 of 10'), (2, 'Confidential 2024'), (3, '7')", r"SELECT id, regexp_replace(regexp_replace(lower(line), r'\s+', ''), r'\d+', '#') AS norm, regexp_replace(lower(line), r'\s+', '') RLIKE r'^(?:page)?\d{1,4}(?:\|?p\W?a\W?g\W?e)?(?:of\d{1,4})?$' AS is_page FROM {t}", r"SELECT id, regexp_replace(regexp_replace(lower(line), '\s+', '', 'g'), '\d+', '#', 'g') AS norm, regexp_matches(regexp_replace(lower(line), '\s+', '', 'g'), '^(?:page)?\d{1,4}(?:\|?p\W?a\W?g\W?e)?(?:of\d{1,4})?$') AS is_page FROM {t}")
-BROAD = r"(?i)\b(what (?:topics|subjects)|which topics|list (?:all|every)|every (?:question|item|section)|summar(?:y|ize|ise)|overview|how many\b.{0,25}\b(?:are|is)\b|which (?:questions|items|sections|parts)\b.{0,25}\b(?:are|about)\b)"
-literal("broad_flag", "id, q", "(1, 'Summarize this'), (2, 'what is x'), (3, 'which questions here are about C'), (4, 'List all items')", f"SELECT id, q RLIKE r'{BROAD}' AS broad FROM {{t}}", f"SELECT id, regexp_matches(q, '{BROAD}') AS broad FROM {{t}}")
-CUE = r"(?i)\bfor (?:each|all) of the following\b|\beach of the following\b|\bin each of (?:the following|these)\b|\bcomplete (?:the|each) (?:following|sequence)"
-literal("batch_prompt", "id, x", "(1, 'For each of the following, choose:'), (2, '3. Complete the sequence:'), (3, 'Each of the following is true.')", f"SELECT id, length(x) <= 160 AND NOT x RLIKE r'^\\d' AND x RLIKE '[?:]$' AND x RLIKE r'{CUE}' AS batch FROM {{t}}", f"SELECT id, length(x) <= 160 AND NOT regexp_matches(x, '^\\d') AND regexp_matches(x, '[?:]$') AND regexp_matches(x, '{CUE}') AS batch FROM {{t}}")
-literal("mcq_flag", "id, x", "(1, 'pick a) one b) two c) three'), (2, 'a) one only'), (3, 'A. x B. y C. z D. w')", r"SELECT id, regexp_count(x, r'(?i)(?<![A-Za-z0-9])[a-d][.)]\s*') >= 3 AS mcq FROM {t}", r"SELECT id, len(regexp_extract_all(' ' || x, '(?i)[^A-Za-z0-9][a-d][.)]')) >= 3 AS mcq FROM {t}")
-R["data_dump"] = (
-    lambda s, d: documents(s, d).select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", ((F.size("l") >= 6) & (F.size(F.filter("l", lambda x: x.rlike(r"^[\s\d.,|%$-]+$"))) > 0.6 * F.size("l"))).alias("dump")),
-    r"SELECT doc_id, len(l) >= 6 AND len(list_filter(l, lambda x: regexp_matches(x, '^[\s\d.,|%$-]+$'))) > 0.6 * len(l) AS dump FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
-)
 STRIP = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ''{g}), '<[^>]+>', ' '{g}), '[ \t\n]+', ' '{g})"
 R.sql("html_to_text", "SELECT page_id, trim(" + STRIP.replace("{g}", "").replace("'(?is)", "r'(?is)").replace("'[ \\t\\n]", "r'[ \\t\\n]") + ") AS body FROM pages", "SELECT page_id, trim(" + STRIP.replace("{g}", ", 'g'") + ") AS body FROM pages")
 R.sql("html_h1", "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
 R.sql("html_headings", "SELECT page_id, pos, h FROM (SELECT page_id, posexplode(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) AS (pos, h) FROM pages)", "SELECT page_id, unnest(range(0, len(x)))::INT AS pos, unnest(x) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS x FROM pages)")
 R.sql("html_links", "SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
-R.sql("page_furniture", """
-SELECT line, n FROM (SELECT line, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM documents) WHERE length(line) BETWEEN 1 AND 90 GROUP BY line) WHERE n >= 3""", """
-SELECT line, n FROM (SELECT line, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 1 AND 90 GROUP BY line) WHERE n >= 3""")
-R.sql("doc_title", "SELECT doc_id, substring(split(text, '\\n')[0], 1, 80) AS title FROM documents", "SELECT doc_id, substring(string_split(text, chr(10))[1], 1, 80) AS title FROM documents")

@@ -15,11 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..queries.textual import CODE, IMAGE, SHEET, TEXTLIKE
+from . import pdf
 
 MAX_MB = 50
-ELEMENT = "path string, kind string, seq int, element string, level int, text string, section_path array<string>, error string"
-# Magic bytes and definition lines.
+ELEMENT = "path string, kind string, seq int, element string, level int, text string, section_path array<string>, page int, error string"
+# Extensions by kind, the fence names of code where they are not the extension, magic bytes, definition lines.
+TEXTLIKE = ".txt .md .markdown .rst .log .text".split()
+IMAGE = ".png .jpg .jpeg .bmp .tiff .webp".split()
+CODE = ".py .js .ts .tsx .java .go .rs .c .h .cpp .cc .cs .rb .php .sh .sql .scala .kt .swift .r .m .lua".split()
+SHEET = ".csv .xlsx .xls .tsv".split()
+FENCES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".rs": "rust", ".h": "c", ".cc": "cpp", ".cs": "csharp", ".rb": "ruby", ".sh": "bash", ".kt": "kotlin", ".m": "matlab"}
 MAGIC = ((b"%PDF-", "pdf"), (b"\x89PNG\r\n\x1a\n", "image"), (b"\xff\xd8\xff", "image"), (b"GIF8", "image"), (b"BM", "image"), (b"PK\x03\x04", "zip"))
 DEFINES = re.compile(r"^[ \t]*(?:def |class |func |function |public |private |protected |fn |async def |export function |export default function )")
 
@@ -34,8 +39,12 @@ def sniff(head: bytes) -> str:
     return "text" if head and good > 0.85 * len(head) else "none"
 
 
+def extension(name: str) -> str:
+    return "." + name.rpartition(".")[2].lower() if "." in name else ""
+
+
 def kind_of(name: str, head: bytes) -> str | None:
-    ext = "." + name.rpartition(".")[2].lower() if "." in name else ""
+    ext = extension(name)
     seen = sniff(head)
     if seen == "pdf" or (seen == "image" and ext not in CODE):
         return seen
@@ -43,6 +52,24 @@ def kind_of(name: str, head: bytes) -> str | None:
     return by_ext.get(ext) or {"zip": "docx", "text": "text"}.get(seen)
 
 
+def kinds(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """id_col and kind (null: unrecognised) of rows (id_col, name, content), as the readers are chosen."""
+    kind = files.schema[id_col].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [kind_of(n or "", bytes(x or b"")) for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], [id_col, "kind"])
+
+    return files.select(id_col, "name", F.substring("content", 1, 2048).alias("content")).mapInArrow(apply, f"`{id_col}` {kind}, kind string")
+
+
+def route(name: Column) -> Column:
+    """Where a file goes by its extension: spreadsheet, code, image or document."""
+    ext = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    return F.when(ext.isin(SHEET), "spreadsheet").when(ext.isin(CODE), "code").when(ext.isin(IMAGE), "image").otherwise("document")
+
+
 def guard(name: str, size: int, max_mb: int = MAX_MB) -> str | None:
     """Why a file is refused, or None."""
     return "empty file" if not size else f"larger than {max_mb} MB" if size > max_mb << 20 else None
@@ -114,6 +141,7 @@ class _Html(HTMLParser):
         super().__init__()
         self.out: list[str] = []
         self.hidden = 0
+        self.links: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style", "head"):
@@ -122,6 +150,9 @@ class _Html(HTMLParser):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("td", "th"):
             self.out.append(" | ")
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+            self.out.append("[" if self.links[-1] else "")
         elif tag in ("p", "div", "table", "ul", "ol", "article", "nav", "footer", "section", "title"):
             self.out.append("\n\n")
         elif tag in ("tr", "br", "li"):
@@ -130,6 +161,9 @@ class _Html(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
+        elif tag == "a" and self.links:
+            href = self.links.pop()
+            self.out.append(f"]({href})" if href else "")
         elif re.fullmatch("h[1-6]|p|div|table|title", tag):
             self.out.append("\n\n")
 
@@ -218,6 +252,17 @@ def chart(root) -> str | None:
     return markdown_table([["Category", *(n for n, _, _ in series)], *([categories[k], *(figure(v.get(k)) for _, _, v in series)] for k in sorted(categories))])
 
 
+def charts(parts: DataFrame, id_col: str = "id") -> DataFrame:
+    """id_col and text, the Markdown table, of chart parts (id_col, xml)."""
+    kind = parts.schema[id_col].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([chart(ElementTree.fromstring(x)) if x else None for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
+
+    return parts.select(id_col, "xml").mapInArrow(apply, f"`{id_col}` {kind}, text string")
+
+
 def delimited(data: bytes, name: str) -> tuple[str, str, str]:
     """Text, encoding and separator of a delimited file; the first encoding that fits is taken."""
     for coding in ("utf-8-sig", "utf-8", "cp1252", "latin-1"):
@@ -280,7 +325,20 @@ def parse_sheet(data: bytes, name: str) -> Iterator[tuple[str, int | None, str]]
         yield "table", None, body
 
 
-def parse(name: str, data: bytes) -> tuple[str, list[tuple[str, int | None, str]]]:
+def title(name: str, found: list[tuple]) -> str:
+    """The first heading, else the file's name without its extension."""
+    return next((x[2] for x in found if x[0] in ("heading", "title")), name.rpartition(".")[0] or name)
+
+
+def titles(found: DataFrame) -> DataFrame:
+    """path and title of elements: each file's first heading, else its name without the extension."""
+    first = F.min_by("text", F.when(F.col("element").isin("heading", "title"), F.col("seq")))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return found.groupBy("path").agg(first.alias("_first")).select("path", F.coalesce("_first", stem).alias("title"))
+
+
+def parse(name: str, data: bytes) -> tuple[str, list[tuple]]:
+    """Kind and elements (element, level, text, and the page where there are pages)."""
     if why := guard(name, len(data)):
         raise ValueError(why)
     kind = kind_of(name, data)
@@ -290,12 +348,17 @@ def parse(name: str, data: bytes) -> tuple[str, list[tuple[str, int | None, str]
         return kind, list(parse_sheet(data, name))
     if kind in ("docx", "pptx"):
         return kind, list(parse_office(data))
-    if kind in ("pdf", "image"):  # readers for these are not installed
+    if kind == "pdf":  # a page without text, as a scan, is not read
+        return kind, list(pdf.elements(data)) or [("figure", None, f"[{kind}: {name}]", 1)]
+    if kind == "image":  # a reader for images is not installed
         return kind, [("figure", None, f"[{kind}: {name}]")]
     text = data.decode("utf-8", "replace")
     if kind == "html":
         return kind, list(parse_text(html_text(text)))
-    return kind, list(parse_code(text) if kind == "code" else parse_text(text, name.lower().endswith((".md", ".markdown"))))
+    if kind == "code":
+        fence = FENCES.get(extension(name), extension(name)[1:])
+        return kind, [(e, level, f"```{fence}\n{part}\n```") for e, level, part in parse_code(text)]
+    return kind, list(parse_text(text, name.lower().endswith((".md", ".markdown"))))
 
 
 def elements(files: DataFrame) -> DataFrame:
@@ -308,16 +371,19 @@ def elements(files: DataFrame) -> DataFrame:
                 try:
                     kind, found = parse(path.rsplit("/", 1)[-1], bytes(data or b""))
                 except Exception as e:  # a bad file is a row, not a failed job
-                    rows.append((path, None, 0, None, None, None, [], str(e)[:300]))
+                    rows.append((path, None, 0, None, None, None, [], None, str(e)[:300]))
                     continue
                 trail: list[str] = []
-                for i, (element, level, text) in enumerate(found):
+                for i, (element, level, text, *page) in enumerate(found):
                     if element == "heading":
                         trail = [*trail[: level - 1], text]
-                    rows.append((path, kind, i, element, level, text, trail, None))
-            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string())
+                    elif kind == "code":  # a segment's path is the line that defines it
+                        head = text.split("\n")[1]
+                        trail = [head.strip()[:80]] if DEFINES.match(head) else []
+                    rows.append((path, kind, i, element, level, text, trail, page[0] if page else None, None))
+            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
             cols = list(zip(*rows, strict=True)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["path", "kind", "seq", "element", "level", "text", "section_path", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["path", "kind", "seq", "element", "level", "text", "section_path", "page", "error"])
 
     return files.select("path", "content").mapInArrow(apply, ELEMENT)
 
@@ -328,7 +394,7 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     found = elements(files.where(F.col("length") <= MAX_MB << 20))
     large = files.where(F.col("length") > MAX_MB << 20).select("path", F.lit(guard("", (MAX_MB << 20) + 1)).alias("error"))
     refused = large.unionByName(spark.createDataFrame([(p, guard("", 0)) for p in empty_files(spark, path, pattern)], "path string, error string"))
-    rows = refused.selectExpr("path", "CAST(NULL AS STRING) AS kind", "0 AS seq", "CAST(NULL AS STRING) AS element", "CAST(NULL AS INT) AS level", "CAST(NULL AS STRING) AS text", "CAST(array() AS array<string>) AS section_path", "error")
+    rows = refused.selectExpr("path", "CAST(NULL AS STRING) AS kind", "0 AS seq", "CAST(NULL AS STRING) AS element", "CAST(NULL AS INT) AS level", "CAST(NULL AS STRING) AS text", "CAST(array() AS array<string>) AS section_path", "CAST(NULL AS INT) AS page", "error")
     return found.unionByName(rows)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 
 
@@ -31,6 +32,36 @@ def usage_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
 
 
+def usage_costs(calls: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
+    """usage_totals with cost, by prices of a million input and output tokens; 0 for models without a price."""
+    rows = F.create_map(*[x for k, (a, b) in prices.items() for x in (F.lit(k), F.struct(F.lit(a).alias("i"), F.lit(b).alias("o")))])
+    price = F.try_element_at(rows, F.col("model"))
+    cost = (F.col("input_tokens") * price["i"] + F.col("output_tokens") * price["o"]) / 1e6
+    return usage_totals(calls).withColumn("cost", F.round(F.coalesce(cost, F.lit(0.0)), 6))
+
+
+class ProgressLog(StreamingQueryListener):
+    """Rows and seconds of each batch of the session's streaming queries, the last `keep` of them."""
+
+    def __init__(self, keep: int = 1000):
+        self.batches: deque = deque(maxlen=keep)
+        self.failed: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((str(p.id), p.batchId, p.numInputRows, (p.durationMs or {}).get("triggerExecution", 0) / 1000))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed[str(event.id)] = event.exception
+
+
 def session_memory(turns: DataFrame, recent: int = 4) -> DataFrame:
     """conv_id, context, folded: the last turns of each conversation, and how many older ones were folded away.
 
