@@ -92,7 +92,7 @@ def section_texts(elements: DataFrame, doc: str = "doc_id", seq: str = "seq", to
 
 def chunk_elements(elements: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """elements (doc_id, seq, kind, ordinal, text, section_path, title) to chunks in order: doc_id, seq, kind, ordinal,
-    section_path, body, text, parent.
+    section_path, body, text, parent, and at, the seq of the first element.
 
     Headings divide sections. Atomic elements stand alone; runs of the others are packed. The text is the body under
     its breadcrumb; parent is the section, for context, which numbered items do not have.
@@ -112,4 +112,4 @@ def chunk_elements(elements: DataFrame, target: int = TARGET, overlap: int = OVE
     text = tx.chunk_text(tx.breadcrumb(F.coalesce("_title", F.lit("")), F.coalesce("section_path", F.array().cast("array<string>"))), F.col("ordinal"), F.col("body"))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at", "_k")) - 1
     parent = F.when(F.col("ordinal").isNull() & (F.col("_parent") != F.col("body")), F.col("_parent"))
-    return made.select("doc_id", seq.alias("seq"), "kind", "ordinal", "section_path", "body", text.alias("text"), parent.alias("parent"))
+    return made.select("doc_id", seq.alias("seq"), "kind", "ordinal", "section_path", "body", text.alias("text"), parent.alias("parent"), F.col("_at").alias("at"))

@@ -62,3 +62,38 @@ def plan(question: str, subset: list[int] | None = None) -> Plan:
     intent = "chitchat" if SMALL_TALK.match(question) and not named else "table" if TABLES.search(question) else "document"
     parts = [p.strip() for p in re.split(r"(?<=\?)\s+", question) if p.strip()]
     return Plan(intent, parts or [question], named, bool(re.search(BROAD, question.lower())), intent == "table")
+
+
+#: What a question's words make of a column.
+MEASURES = (("avg", r"average|mean"), ("max", r"highest|largest|maximum|most"), ("min", r"lowest|smallest|minimum|least"), ("sum", r"total|sum|how much|overall"), ("count", r"how many|number of|count"))
+NUMERIC = ("int", "bigint", "double", "float", "decimal", "smallint", "tinyint", "long")
+
+
+def table_sql(question: str, tables: dict[str, list[tuple[str, str]]]) -> str:
+    """A statement over the table whose columns a question names best; empty if it names none.
+
+    tables: columns (name, type) by table. The measure comes from the question's words, the groups from what follows
+    by, per or each; without a measure the rows are shown.
+    """
+    words = set(re.findall("[a-z0-9]+", question.lower()))
+    stems = words | {w.rstrip("s") for w in words}
+    named = lambda c: sum(p in stems or p.rstrip("s") in stems for p in c.lower().split("_"))
+    scored = sorted(((sum(named(c) for c, _ in cols), named(t), t) for t, cols in tables.items()), key=lambda x: (-x[0], -x[1], x[2]))
+    if not scored or not scored[0][0] + scored[0][1]:
+        return ""
+    table = scored[0][2]
+    columns = tables[table]
+    after = re.findall(r"\b(?:by|per|each|every)\s+([a-z0-9]+)", question.lower())
+    groups = [c for c, _ in columns if any(p.rstrip("s") in [a.rstrip("s") for a in after] for p in c.lower().split("_"))]
+    measure = next((m for m, cue in MEASURES if re.search(rf"\b(?:{cue})\b", question.lower())), None)
+    numbers = sorted((c for c, t in columns if t.lower().startswith(NUMERIC) and c not in groups and named(c)), key=lambda c: -named(c))
+    quoted = lambda c: f"`{c}`"
+    if measure == "count" or (measure and not numbers):
+        what = numbers and f"sum({quoted(numbers[0])}) AS {quoted('total_' + numbers[0])}" or "count(*) AS `n`"
+    elif measure:
+        what = f"{measure}({quoted(numbers[0])}) AS {quoted(measure + '_' + numbers[0])}"
+    else:
+        shown = [quoted(c) for c, _ in columns if named(c)] or ["*"]
+        return f"SELECT {', '.join(shown)} FROM {quoted(table)}"
+    keys = ", ".join(map(quoted, groups))
+    return f"SELECT {keys}, {what} FROM {quoted(table)} GROUP BY {keys} ORDER BY {keys}" if groups else f"SELECT {what} FROM {quoted(table)}"

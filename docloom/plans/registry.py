@@ -63,10 +63,19 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Without rows and columns that are all null, with clean names."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    kept = df.select(*[f"`{c}`" for c, n in zip(df.columns, counts, strict=True) if n])
-    return kept.na.drop("all").toDF(*clean_columns(kept.columns)).limit(MAX_TABLE_ROWS)
+    """Without rows and columns that are all null, with clean names: at most MAX_TABLE_ROWS rows, and total_rows says of how many."""
+    any_value = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)], F.count(any_value).alias("rows")).first()
+    kept = df.select(*[f"`{c}`" for c, n in zip(df.columns, counts, strict=False) if n])
+    out = kept.na.drop("all").toDF(*clean_columns(kept.columns))
+    out = out.limit(MAX_TABLE_ROWS) if counts["rows"] > MAX_TABLE_ROWS else out
+    out.total_rows = counts["rows"]
+    return out
+
+
+def total_rows(tidied: DataFrame) -> int | None:
+    """Rows before the cap of a table that tidy gave, or None where it has not said."""
+    return getattr(tidied, "total_rows", None)
 
 
 def card(df: DataFrame, name: str, source: str) -> str:

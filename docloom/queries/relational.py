@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .base import Registry, sql_query
 
 REGISTRY = R = Registry()
@@ -70,6 +72,12 @@ R.sql("win_session", "SELECT user_id, session_window.start AS start_ts, count(*)
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start_ts, count(*) AS n FROM s GROUP BY user_id, sid""")
 R.sql("json_props", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+R.sql("json_schema", "SELECT event_id, from_json(props, 'k INT').k AS k FROM events", "SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+R.sql("map_merge", "SELECT n_nationkey, m['a'] AS a, m['b'] AS b, size(m) AS n FROM (SELECT n_nationkey, map_concat(map('a', n_nationkey), map('b', n_regionkey)) AS m FROM nation)", "SELECT n_nationkey, m['a'] AS a, m['b'] AS b, cardinality(m)::INT AS n FROM (SELECT n_nationkey, map_concat(MAP {'a': n_nationkey}, MAP {'b': n_regionkey}) AS m FROM nation)")
+R["struct_fields"] = (
+    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.struct("n_name", "n_regionkey").alias("x")).select("n_nationkey", F.col("x").withField("n_regionkey", F.col("x.n_regionkey") + 1).withField("flag", F.lit(True)).dropFields("n_name").alias("x")).select("n_nationkey", "x.*"),
+    "SELECT n_nationkey, n_regionkey + 1 AS n_regionkey, true AS flag FROM nation",
+)
 R.sql("str_funcs", "SELECT c_custkey, upper(substring(c_name, 1, 5)) AS u, replace(c_name, '#', '-') AS r, length(c_name) AS n, lower(c_mktsegment) AS l, concat(c_mktsegment, '/', CAST(c_nationkey AS STRING)) AS c FROM customer", "SELECT c_custkey, upper(substring(c_name, 1, 5)) AS u, replace(c_name, '#', '-') AS r, length(c_name) AS n, lower(c_mktsegment) AS l, concat(c_mktsegment, '/', CAST(c_nationkey AS VARCHAR)) AS c FROM customer")
 R.sql("math_funcs", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS s, floor(p_retailprice) AS f, p_size % 7 AS m, round(ln(p_retailprice), 6) AS l, greatest(p_size, 10) AS g FROM part")
 R.sql("case_cast", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CAST(o_totalprice AS BIGINT) - CAST(o_totalprice AS BIGINT) AS z, coalesce(nullif(o_orderstatus, 'F'), '-') AS st FROM orders")

@@ -398,14 +398,21 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.unionByName(rows)
 
 
-def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
-    """Files without bytes, which Spark's file sources leave out of their scans; names only, listed as Spark lists them."""
+def _listing(spark: SparkSession, path: str, pattern: str) -> Iterator[tuple[str, int]]:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    out = []
-    while listing.hasNext():
-        f = listing.next()
-        if not f.getLen() and fnmatch(f.getPath().getName(), pattern):
-            out.append(f.getPath().toString())
-    return out
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    while found.hasNext():
+        f = found.next()
+        if fnmatch(f.getPath().getName(), pattern):
+            yield f.getPath().toString(), f.getLen()
+
+
+def listed(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Names of the files below a folder."""
+    return [name for name, _ in _listing(spark, path, pattern)]
+
+
+def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Files without bytes, which Spark's file sources leave out of their scans; names only."""
+    return [name for name, size in _listing(spark, path, pattern) if not size]

@@ -1,15 +1,16 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.__main__ import main
 from docloom.engine import Engine
-from docloom.operators import answers, numbering
-from docloom.plans import evaluation, guard, planner
+from docloom.operators import answers, numbering, retrieval
+from docloom.plans import evaluation, guard, planner, structured
 from docloom.queries import REGISTRY
-from docloom.sources import files
+from docloom.sources import files, pdf
 from docloom.streaming import jobs
 
 
@@ -150,3 +151,111 @@ def test_majority(spark):
     rows = [(1, "b"), (1, "b"), (1, "a"), (1, "a"), (2, None), (2, None), (3, "CANT"), (3, "x"), (4, "CANT"), (4, "CANT"), (4, "d"), (4, "d")]
     got = {r.item: r.verdict for r in answers.majority(spark.createDataFrame(rows, "item int, k string")).collect()}
     assert got == {1: "a", 2: "inconsistent", 3: "CANT", 4: "d"}
+
+
+def test_changed_files_are_replaced(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "refunds.md").write_text("# Billing\nRefunds are paid within 14 days.\n")
+    e = Engine(spark, f"file://{tmp_path}/home")
+    e.ingest(f"file://{tmp_path}/in")
+    (tmp_path / "in" / "refunds.md").write_text("# Billing\nRefunds are paid within 30 days.\n")
+    e.ingest(f"file://{tmp_path}/in")
+    assert [r.body for r in e.chunks().collect()] == ["Refunds are paid within 30 days."]
+    assert "30 days" in e.ask("When are refunds paid?").text
+    assert e.delete("refunds.md") == 1 and e.stats() == (0, 0) and e.search("refunds").count() == 0
+
+
+def test_table_questions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sales.csv").write_text("region,revenue usd\neast,10\nwest,20\neast,5\n")
+    (tmp_path / "in" / "note.md").write_text("# Sales\nThe revenue of a region is booked monthly.\n")
+    e = Engine(spark, f"file://{tmp_path}/home")
+    assert e.ingest(f"file://{tmp_path}/in").count() == 0
+    assert e.tables() == ["sales"] and e.registry().first().rows == 3
+    got = e.ask("What is the total revenue by region?")
+    assert got.verdict == "ship" and "east, 15" in got.text and "west, 20" in got.text and got.citations == [(1, "spreadsheet query")]
+    tries = []
+
+    def propose(question, tables, error):
+        tries.append(error)
+        return ("SELECT nope FROM sales", "DROP TABLE sales", "SELECT sum(revenue_usd) AS total FROM sales")[len(tries) - 1]
+
+    assert "35" in e.ask("What is the total revenue?", propose=propose).text and len(tries) == 3 and tries[0] is None
+    assert "spreadsheet query" not in str(e.ask("What is the total revenue by region?", sources=["note.md"]).citations)
+    e.delete("sales.csv")
+    assert e.tables() == [] and e.search("revenue").where("kind = 'table_card'").isEmpty()
+
+
+QUIZ = "# Exam\nRead all of this with care before you begin.\n1. Which one is blue? a) sky b) grass c) coal d) sun\n2. Name the second planet.\n3. What is three times three?\n4. Last item of the exam?\n"
+
+
+def test_items_pins_broad_and_solver(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "exam.md").write_text(QUIZ)
+    (tmp_path / "in" / "code.py").write_text("import x\n\ndef planet():\n    return 2\n")
+    e = Engine(spark, f"file://{tmp_path}/home")
+    e.ingest(f"file://{tmp_path}/in")
+    chunks = {r.ordinal: r for r in e.chunks().where("source = 'exam.md' AND ordinal IS NOT NULL").collect()}
+    assert sorted(chunks) == [1, 2, 3, 4] and chunks[2].text == "[Exam \u00b7 item 2]\n2. Name the second planet." and chunks[2].parent is None
+    code = e.chunks().where("source = 'code.py'").orderBy("seq").collect()
+    assert [c.section_path for c in code] == [[], ["def planet():"]] and code[1].body.startswith("```python\ndef planet")
+    rows, _ = e.passages(planner.plan("What is question 3 about?"), "What is question 3 about?")
+    assert rows[0].ordinal == 3 and len(rows) <= 3
+    rows, _ = e.passages(planner.plan("Summarize the exam"), "Summarize the exam")
+    assert len(rows) == 5 and {r.source for r in rows} == {"exam.md"}
+    replies = iter(["so Final answer: a) sky", "Final answer: b) grass", "hm\nFinal answer: a."])
+    assert e.ask("question 1", solve=lambda task: next(replies)).text.endswith("Question 1: a")
+
+
+def test_flows_and_stimulus(spark):
+    text = ["1. One is here", "2. Two is here", "3. Three is here", "4. Four is here", "For each of the following, choose:", "a picture", "Loose text"]
+    df = spark.createDataFrame([(1, i, "paragraph", t) for i, t in enumerate(text)] + [(1, 7, "table", "| x |"), (1, 8, "paragraph", "after")], "doc_id int, seq int, kind string, text string")
+    got = numbering.items_of_elements(df).orderBy("seq").collect()
+    assert [(r.kind, r.ordinal, r.origin) for r in got] == [("list_item", n, 0) for n in (1, 2, 3, 4)] + [("paragraph", None, k) for k in (4, 5, 6)] + [("table", None, 7), ("paragraph", None, 8)]
+    rows = [(0, None, "Figure 1: sales by month", "f.png"), (1, 3, "Answer Questions 4-5 based on the graph.\n3. Three", None), (2, 4, "4. Four", None), (3, 5, "5. Five", None), (4, 6, "6. Six", None)]
+    df = spark.createDataFrame([(1, s, "list_item" if o else "paragraph", o, t, i) for s, o, t, i in rows], "doc_id int, seq int, kind string, ordinal int, text string, image_ref string")
+    got = {r.ordinal: r.shared_context for r in numbering.share_stimulus(df).collect()}
+    assert got[4] == got[5] == "Answer Questions 4-5 based on the graph.\n\nFigure 1: sales by month\n\nAll questions in this set:\n[Q4] 4. Four\n\n[Q5] 5. Five" and got[6] is None and got[3] is None
+
+
+def test_structured_replies(spark):
+    fields = {"sql": str, "ordinals": list}
+    assert structured.parse('```json\n{"properties": {"sql": "x", "ordinals": null}}\n```', fields) == {"sql": "x", "ordinals": []}
+    assert structured.parse("no json", fields) is None and structured.parse('{"sql": 3}', fields) is None
+    asked = []
+    replies = iter(["sorry", 'here: {"sql": "y", "ordinals": [1]} ok'])
+    assert structured.ask(lambda p: asked.append(p) or next(replies), "q", fields) == {"sql": "y", "ordinals": [1]} and "sorry" in asked[1]
+    assert structured.ask(lambda p: "", "q", fields, {"sql": ""}) == {"sql": ""}
+    with pytest.raises(ValueError, match="sql"):
+        structured.ask(lambda p: "", "q", fields)
+
+
+def make_pdf(pages, flate=True):
+    objs = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(pages))) + b"] /MediaBox [0 0 612 792] >>", b"<< /Type /Font /BaseFont /Helvetica >>", b"<< /Type /Font /BaseFont /Helvetica-Bold >>"]
+    for i, p in enumerate(pages):
+        c = b"BT " + b" ".join(b"/%s %g Tf 1 0 0 1 72 %g Tm (%s) Tj" % (f, size, y, t.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)")) for f, size, y, t in p) + b" ET"
+        z = zlib.compress(c) if flate else c
+        objs.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents %d 0 R >>" % (6 + 2 * i))
+        objs.append(b"<< /Length %d %s>>\nstream\n" % (len(z), b"/Filter /FlateDecode " if flate else b"") + z + b"\nendstream")
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n" % (i + 1) + o + b"\nendobj" for i, o in enumerate(objs))
+
+
+@pytest.mark.parametrize("flate", [True, False])
+def test_pdf(flate):
+    names = "Alpha Beta Gamma Delta".split()
+    pages = [[(b"F1", 9, 770, "Annual Report"), (b"F2", 18, 600, f"Chapter {n}"), (b"F1", 10, 560, f"First line of {n} (x)"), (b"F1", 10, 548, "second line"), (b"F1", 10, 500, f"Other caf\u00e9 {n}"), (b"F1", 9, 20, f"{k} | P a g e")] for k, n in enumerate(names, 1)]
+    got = list(pdf.elements(make_pdf(pages, flate)))
+    assert got[:3] == [("heading", 1, "Chapter Alpha", 1), ("paragraph", None, "First line of Alpha (x)\nsecond line", 1), ("paragraph", None, "Other caf\u00e9 Alpha", 1)] and len(got) == 12
+    assert files.parse("a.pdf", make_pdf(pages, flate))[0] == "pdf"
+    with pytest.raises(ValueError, match="password"):
+        pdf.lines(make_pdf(pages).replace(b"/Type /Catalog", b"/Type /Catalog /Encrypt 9 0 R"))
+
+
+def test_written_index(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = retrieval.Bm25Index(docs)
+    held = index.write(f"file://{tmp_path}/index", 8)
+    text = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    want = {r.id: r.score for r in index.scores(retrieval.query_terms(spark.createDataFrame([(text,)], "text string"))).collect()}
+    assert {r.id: r.score for r in held.scores(text).collect()} == want and want
+    assert held.scores("").count() == 0
