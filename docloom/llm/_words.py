@@ -167,3 +167,28 @@ def unbundle(b: bytes, n: int) -> list[bytes]:
     sizes = np.frombuffer(b[: 8 * n], "<u8")
     ends = 8 * n + np.cumsum(sizes)
     return [b[int(e - s) : int(e)] for s, e in zip(sizes, ends, strict=True)]
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the least width that holds them."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def pack_all(*arrays: np.ndarray) -> bytes:
+    """Numeric arrays in one compressed frame, the bytes of each transposed."""
+    head = b"".join(a.dtype.str.encode() + len(a).to_bytes(5, "little") for a in arrays)
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(bytes([len(arrays)]) + head + raw)
+
+
+def unpack_all(b: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(b)
+    out, at = [], 1 + 8 * data[0]
+    for k in range(data[0]):
+        h = data[1 + 8 * k : 9 + 8 * k]
+        t, n = np.dtype(h[:3].decode()), int.from_bytes(h[3:], "little")
+        raw = np.frombuffer(data, np.uint8, n * t.itemsize, at)
+        out.append(np.ascontiguousarray(raw.reshape(t.itemsize, -1).T).reshape(-1).view(t) if n else np.zeros(0, t))
+        at += n * t.itemsize
+    return out

@@ -11,16 +11,19 @@ and every text ends with an end token.
 
 Texts are dealt to parts of bounded bytes (one shuffle, which all steps share). For each order, a part sends
 its distinct k-grams to the count tables: rows (bucket, part, packed counts), partitioned by the hash of the
-context. A context with more tokens than a bucket's fair share N / buckets, which at most as many contexts
-as there are buckets can have, is divided by word over several buckets, and its few partial sums are joined
-from a table of that bound. The buckets send back counts, context totals and backoff weights in the order
-in which they were asked, so no key travels back; the part then evaluates the recursion for each of its
-tokens. A word of any frequency is one entry from each part.
+context. The tables of order 1 also number the words, frequent ones first, so that k-grams are small numbers.
+The number of a context's training tokens is its own count as a k-gram, which the part knows from the order
+before; what was never seen as a k-gram is not asked for as a context. The lower probabilities that a backoff
+weight needs are sent as the counts that they are made of. A context with more tokens than a bucket's fair share
+N / buckets, which at most as many contexts as there are buckets can have, is divided by word over several
+buckets; its partial sums are added up and sent to those buckets only. The buckets send back counts and backoff
+weights in the order in which they were asked, so no key travels back; the part then evaluates the recursion for
+each of its tokens. A word of any frequency is one entry from each part.
 
 Null texts are empty: one end token. Repeated rows are scored and counted as often as they occur. Without
-training rows all words are unknown (c = 0, N = 0, V = 0), with probability 1. Words and contexts are 64-bit
-hashes, and a word within its context 48 bits of one: k-grams clash with a chance of about n^2 / 2^65 for n
-contexts, and m^2 / 2^49 for the m words of one. Texts of any length are whole; a part holds at least one.
+training rows all words are unknown (c = 0, N = 0, V = 0), with probability 1. Words, and contexts of three words
+or more, are 64-bit hashes: m of them clash with a chance of about m^2 / 2^65. Texts of any length are whole; a
+part holds at least one.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -32,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import n_parts, n_tasks
-from ._words import bundle, flat, grams, mix, pack, pack_sorted, unbundle, unpack, unpack_sorted, words
+from ._words import flat, mix, pack_all, small, unpack_all, words
 
 ORDER = 3
 #: Text bytes of a part: a task holds some twenty numbers for each token.
 PART = 10 << 20
 K = 5
-START, END = np.uint64(0x5107), np.uint64(0xE2D0)
-_LOW48 = np.uint64((1 << 48) - 1)
+END = np.uint64(0xE2D0)
+_32 = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
+_MULT = np.uint64(0xD6E8FEB86659FD93)
 _BLOB = "bucket int, part int, blob binary"
 
 
@@ -76,8 +81,6 @@ class Part:
         self.begins[self.first] = True
         self.train = table.column("_train").to_numpy(zero_copy_only=False).astype(bool)[self.row]
         self.buckets = buckets
-        self.context = np.zeros(0, np.uint64)
-        self.low = self.unigrams = None
 
     def ask_words(self):
         """Distinct words by bucket, training counts, and each token's place among them."""
@@ -86,57 +89,63 @@ class Part:
         bucket = ((u >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
         return _sorted_by(bucket, (u, count), place)
 
-    def with_words(self, seen: np.ndarray, place: np.ndarray, stats) -> None:
-        self.unigrams = seen[place]
-        d = discounts(stats["n"])
-        total = int(stats["total"])
-        p, left = unknown(stats)
-        p = discounted(self.unigrams, d) * p
-        self.low = np.where(self.unigrams > 0, p, left)
-        self.total = total
-        self.context_count = np.concatenate([[0], self.unigrams[:-1]])
-        # the start mark is seen as often as the end token
+    def with_words(self, count: np.ndarray, number: np.ndarray, place: np.ndarray, stats) -> None:
+        """Takes the counts and numbers (0: unseen) of the distinct words."""
+        self.unigrams, self.number = count[place], number[place]
+        weight, left = unknown(stats)
+        self.low = np.where(self.unigrams > 0, discounted(self.unigrams, discounts(stats["n"])) * weight, left)
+        self.exact = int(stats["ranks"]) * self.buckets < (1 << 32) - 1  # two words fit 64 bits
+        before = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
+        self.before = before
+        # the start mark is number 0 as a context, and seen as often as the end token
+        self.context = np.where(self.begins, np.uint64(0), before(self.number))
         ends = np.flatnonzero(self.token == END)
-        self.context_count[self.begins] = self.unigrams[ends[0]] if len(ends) else 0
-        self.context = np.concatenate([[START], self.token[:-1]])
-        self.context[self.begins] = START
+        self.total = np.where(self.begins, self.unigrams[ends[0]] if len(ends) else 0, before(self.unigrams))
+        self.r, self.base = self.unigrams, np.zeros(len(self.token), np.int64)
         self.valid = np.ones(len(self.token), bool)
 
     def ask(self, share: int):
-        """Distinct k-grams (context, word) by bucket: packed fields, and each token's place."""
-        v, w = self.context[self.valid], mix(self.token[self.valid]) & _LOW48
-        key = (v & ~np.uint64(0xFFFFFFFF)) | (w >> np.uint64(16))
-        order = np.argsort(key)
-        a, b, k = v[order], w[order], key[order]
+        """Distinct k-grams (context, word) of seen contexts by bucket, and each asked token's place.
+
+        Fields: context, word, training count here, count of the word after the shorter context, that one's tokens, whether divided.
+        """
+        self.asked = np.flatnonzero(self.valid & (self.total > 0))
+        at = self.asked
+        v, w = self.context[at], self.number[at]
+        order = np.lexsort((w, v))
+        a, b = v[order], w[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        if (new[1:] & (k[1:] == k[:-1])).any():  # the order must not depend on the order of rows
-            order = np.lexsort((w, v))
-            a, b = v[order], w[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         one = order[new]
-        count = np.bincount(place, self.train[self.valid], len(one)).astype(np.int64)
-        v, w, low, c = v[one], w[one], self.low[self.valid][one], self.context_count[self.valid][one]
+        count = np.bincount(place, self.train[at], len(one)).astype(np.int64)
+        v, w, r, base, c = v[one], w[one], self.r[at][one], self.base[at][one], self.total[at][one]
         pieces = np.maximum(1, -(-c // share)).astype(np.uint64)
-        bucket = (((v >> np.uint64(20)) + w % pieces) % np.uint64(self.buckets)).astype(np.int64)
-        return _sorted_by(bucket, (v, w, low, count, pieces > 1), place)
+        bucket = _home(v, pieces, w, self.buckets)
+        return _sorted_by(bucket, (v, w, count, np.where(count > 0, r, 0), base, pieces), place)
 
-    def apply(self, r: np.ndarray, total: np.ndarray, alpha: np.ndarray, place: np.ndarray, n) -> None:
+    def apply(self, r: np.ndarray, alpha: np.ndarray, short: np.ndarray, place: np.ndarray, n) -> None:
         """One step of the recursion; then contexts one word longer."""
-        r, total, alpha = r[place], total[place], alpha[place]
-        p = self.low.copy()
-        own = self.low[self.valid]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p[self.valid] = np.where(r > 0, discounted(r, discounts(n)) / total, np.where(total > 0, alpha * own, own))
-        self.low = p
-        full = np.zeros(len(self.token), np.int64)
-        full[self.valid] = r
-        longer = mix(self.context * np.uint64(0xD6E8FEB86659FD93) + self.token)
-        self.context = np.concatenate([[START], longer[:-1]])
-        self.context_count = np.concatenate([[0], full[:-1]])
-        before = np.concatenate([[False], self.valid[:-1]])
-        self.valid = before & ~self.begins
+        at = self.asked
+        r, alpha, total = r[place], alpha[place], self.total[at] + short[place]
+        own = self.low[at]
+        self.low = self.low.copy()
+        self.low[at] = np.where(r > 0, discounted(r, discounts(n)) / total, alpha * own)
+        seen, base = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
+        seen[at], base[at] = r, total
+        pairs = self.exact and not self.long
+        longer = (self.context << _32) | self.number if pairs else mix(self.context * _MULT + self.number)
+        self.long = True
+        self.r, self.base = seen, base
+        self.valid = self.before(self.valid) & ~self.begins
+        self.context, self.total = np.where(self.valid, self.before(longer), np.uint64(0)), np.where(self.valid, self.before(seen), 0)
+
+    long = False  # contexts have more than one word
+
+
+def _home(v: np.ndarray, pieces: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a k-gram: one of as many as its context has pieces."""
+    return (((mix(v) >> np.uint64(20)) + mix(w) % pieces) % np.uint64(buckets)).astype(np.int64)
 
 
 def unknown(stats) -> tuple[float, float]:
@@ -158,28 +167,36 @@ def _sorted_by(bucket: np.ndarray, fields: tuple, place: np.ndarray):
     return bucket, cuts, tuple(f[order] for f in fields), inverse[place]
 
 
-def _answers(table: pa.Table, level: int) -> list[bytes]:
+def _answers(table: pa.Table, level: int) -> list[tuple[int, list[np.ndarray]]]:
     rows = [(b, bytes(x)) for lv, b, x in zip(*(table.column(c).to_pylist() for c in ("level", "bucket", "blob")), strict=True) if lv == level]
-    return [x for _, x in sorted(rows)]
+    return [(b, unpack_all(x)) for b, x in sorted(rows)]
+
+
+def _cat(xs: list[np.ndarray], t) -> np.ndarray:
+    return np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+
+
+def _stats(table: pa.Table) -> dict[int, dict]:
+    return {s["level"]: s for s in table.column("stats")[0].as_py()}
 
 
 def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None, upto: int) -> Part:
     """The part's tokens with the recursion evaluated up to order `upto`."""
     part = Part(docs, buckets)
-    stats = {s["level"]: s for s in answers.column("stats")[0].as_py()}
+    stats = _stats(answers)
     *_, place = part.ask_words()
-    part.with_words(np.concatenate([unpack(x) for x in _answers(answers, 1)]), place, stats[1])
+    told = _answers(answers, 1)
+    number = [np.where(rank > 0, (rank.astype(np.uint64) - np.uint64(1)) * np.uint64(buckets) + np.uint64(b + 1), np.uint64(0)) for b, (_, rank) in told]
+    part.with_words(_cat([c for _, (c, _) in told], np.int64), _cat(number, np.uint64), place, stats[1])
     for level in range(2, upto + 1):
-        bucket, cuts, (v, *_), place = part.ask(share or _share(stats[1], buckets))
-        r, total, alpha = [], [], []
-        for x, lo, hi in zip(_answers(answers, level), cuts[:-1], cuts[1:], strict=True):
-            a, b, c = (unpack(y) for y in unbundle(x, 3))
+        _, cuts, (v, *_), place = part.ask(share or _share(stats[1], buckets))
+        r, alpha, short = [], [], []
+        for (_, (a, b, c)), lo, hi in zip(_answers(answers, level), cuts[:-1], cuts[1:], strict=True):
             run = np.cumsum(np.concatenate([[0], (np.diff(v[lo:hi]) != 0).astype(np.int64)]))
             r.append(a)
-            total.append(b[run])
-            alpha.append(c[run])
-        cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        part.apply(cat(r, np.int64), cat(total, np.int64), cat(alpha, float), place, stats[level]["n"])
+            alpha.append(b[run])
+            short.append(c[run])
+        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats[level]["n"])
     return part
 
 
@@ -187,43 +204,73 @@ def _share(stats, buckets: int) -> int:
     return max(1000, int(stats["total"]) // buckets)
 
 
-def _coded(a: np.ndarray) -> tuple[bytes, bytes]:
-    u, code = np.unique(a, return_inverse=True)
-    return pack(u), pack(code.astype(np.uint32))
+def _differences(a: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """a less the one before, where none is new."""
+    return a - np.where(new, np.uint64(0), np.concatenate([a[:1], a[:-1]]))
 
 
-def _read(blob: bytes):
-    """Context runs, contexts, words, lower probabilities, counts, whether divided."""
-    vu, run, gap, lu, lc, count, wide = (y for y in unbundle(blob, 7))
-    heads, run, count = unpack_sorted(vu), unpack(run), unpack(count)
-    first = np.cumsum(run) - run
-    w = np.concatenate([np.zeros(1, np.uint64), np.cumsum(unpack(gap), dtype=np.uint64)])
-    w = w[1:] - np.repeat(w[first], run)
-    low = np.zeros(len(w))
-    low[count > 0] = unpack(lu)[unpack(lc)]
-    return np.repeat(heads, run), w, low, count, unpack(wide).astype(bool)
+def _sums(gap: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What _differences took; first: the place of the last new one."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gap, dtype=np.uint64)])
+    return total[1:] - total[first]
 
 
-def _written(v: np.ndarray, w: np.ndarray, low: np.ndarray, count: np.ndarray, wide: np.ndarray) -> bytes:
-    """What _read reads. Words are differences within a context; unseen k-grams need no lower probability."""
-    new = np.concatenate([[True], v[1:] != v[:-1]])
-    heads = np.flatnonzero(new)
-    gap = w - np.where(new, np.uint64(0), np.concatenate([w[:1], w[:-1]]))
-    run = np.diff(np.concatenate([heads, [len(v)]]))
-    return bundle(pack_sorted(v[heads]), pack(run), pack(gap), *_coded(low[count > 0]), pack(count), pack(wide.astype(np.uint8)))
+def _by_key(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each distinct key, in order."""
+    return value[np.unique(key, return_index=True)[1]]
 
 
-def _merged(table: pa.Table):
-    """All requests of a bucket together: distinct k-grams with context, lower probability, count, whether divided."""
-    each = [(p, _read(bytes(x))) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-    v, w, low, count, wide = (np.concatenate([e[1][i] for e in each]) for i in range(5))
+def _written(v: np.ndarray, w: np.ndarray, count: np.ndarray, r: np.ndarray, base: np.ndarray, pieces: np.ndarray, level: int) -> bytes:
+    """A request: contexts by halves as differences, words as differences within a context, counts.
+
+    In order 2 a word's own count, and in order 3 the tokens of the context's last word, are sent once for each."""
+    new = np.concatenate([[True], v[1:] != v[:-1]])
+    heads = np.flatnonzero(new)
+    high, low = v[heads] >> _32, v[heads] & _LOW
+    fresh = np.concatenate([[True], high[1:] != high[:-1]])
+    if level == 2:
+        seen = count > 0
+        r, base = _by_key(w[seen], r[seen]), base[:0]
+    else:
+        base = _by_key(low, base[heads]) if level == 3 else base[heads]
+    run = np.diff(np.append(heads, len(v))).astype(np.uint64)
+    fields = (_differences(high, np.arange(len(high)) == 0), _differences(low, fresh), run, _differences(w, new), count, r, base, pieces[heads])
+    return pack_all(*(small(np.asarray(x)) for x in fields))
+
+
+def _read(blob: bytes, level: int):
+    """Context, word, count, count after the shorter context, its tokens, pieces of each k-gram."""
+    high, low, run, gap, count, r, base, pieces = unpack_all(blob)
+    high = np.cumsum(high, dtype=np.uint64)
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], high[1:] != high[:-1]]), np.arange(len(high)), 0))
+    low = _sums(low.astype(np.uint64), start)
+    run = run.astype(np.int64)
+    w = _sums(gap.astype(np.uint64), np.repeat(np.cumsum(run) - run, run))
+    count = count.astype(np.int64)
+    if level == 2:
+        every, seen = np.zeros(len(w), np.int64), count > 0
+        every[seen] = r[np.unique(w[seen], return_inverse=True)[1]] if seen.any() else 0
+        r, base = every, np.zeros(len(low), np.int64)
+    elif level == 3:
+        base = base[np.unique(low, return_inverse=True)[1]]
+    return np.repeat((high << _32) | low, run), w, count, r.astype(np.int64), np.repeat(base.astype(np.int64), run), np.repeat(pieces.astype(np.int64), run)
+
+
+def _merged(table: pa.Table, level: int):
+    """All requests of a bucket together: distinct k-grams with context, count, lower probability, pieces."""
+    stats = _stats(table)
+    each = [(p, _read(bytes(x), level)) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
+    v, w, count, r, base, pieces = (np.concatenate([e[1][i] for e in each]) for i in range(6))
     key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
     order = np.lexsort((count == 0, key))  # the first of equal ones knows its lower probability
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     one = order[new]
-    return each, place, v[one], low[one], np.bincount(place, count, len(one)).astype(np.int64), wide[one]
+    d = discounts(stats[level - 1]["n"])
+    low = discounted(r[one], d) * unknown(stats[1])[0] if level == 2 else discounted(r[one], d) / np.maximum(base[one], 1)
+    heads = [(p, e[0]) for p, e in each]
+    return heads, place, v[one], np.bincount(place, count, len(one)).astype(np.int64), low, pieces[one]
 
 
 def _by_context(v: np.ndarray, low: np.ndarray, r: np.ndarray):
@@ -233,31 +280,34 @@ def _by_context(v: np.ndarray, low: np.ndarray, r: np.ndarray):
     return u, at, many, np.bincount(at, np.where(r > 0, low, 0.0), len(u))
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    key, count = _word_counts(table)[1:3]
-    seen = count[count > 0]
-    return pa.table({"n": [np.bincount(np.minimum(seen, K + 2), minlength=K + 2)[: K + 2].tolist()], "total": [int(seen.sum())], "types": [len(seen)], "wide": [[]]}, schema=_STATS)
+_STATS = pa.schema([("n", pa.list_(pa.int64())), ("total", pa.int64()), ("types", pa.int64()), ("ranks", pa.int64()), ("wide", pa.list_(pa.struct([("v", pa.int64()), ("pieces", pa.int64()), ("many", pa.list_(pa.float64())), ("low", pa.float64())])))])
+_STATS_DDL = "n array<long>, total long, types long, ranks long, wide array<struct<v:long,pieces:long,many:array<double>,low:double>>"
+_WIDE = "bucket int, v long, many array<double>, low double"
 
 
-_STATS = pa.schema([("n", pa.list_(pa.int64())), ("total", pa.int64()), ("types", pa.int64()), ("wide", pa.list_(pa.struct([("v", pa.int64()), ("many", pa.list_(pa.float64())), ("low", pa.float64())])))])
-_STATS_DDL = "n array<long>, total long, types long, wide array<struct<v:long,many:array<double>,low:double>>"
+def _count_words(table: pa.Table) -> pa.Table:
+    count = _word_counts(table)[1]
+    seen = count[count > 0]
+    return pa.table({"n": [np.bincount(np.minimum(seen, K + 2), minlength=K + 2)[: K + 2].tolist()], "total": [int(seen.sum())], "types": [len(seen)], "ranks": [len(seen)], "wide": [[]]}, schema=_STATS)
 
 
 def _word_counts(table: pa.Table):
-    each = []
-    for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        k, c = unbundle(bytes(x), 2)
-        each.append((p, unpack_sorted(k), unpack(c)))
-    u, place = np.unique(np.concatenate([e[1] for e in each]), return_inverse=True)
-    return each, u, np.bincount(place, np.concatenate([e[2] for e in each]), len(u)).astype(np.int64), place
+    """What each part asked for (gaps of hashes, counts), and of the distinct words: counts, ranks by count from 1, and places."""
+    each = [(p, *unpack_all(bytes(x))) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
+    u, place = np.unique(np.concatenate([np.cumsum(g, dtype=np.uint64) for _, g, _ in each]), return_inverse=True)
+    count = np.bincount(place, np.concatenate([c for _, _, c in each]), len(u)).astype(np.int64)
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort((u, -count))] = np.arange(1, len(u) + 1)
+    return each, count, np.where(count > 0, rank, 0), place
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
-    each, _, count, place = _word_counts(table)
+    each, count, rank, place = _word_counts(table)
     out, at = [], 0
-    for _, k, _ in each:
-        out.append(pack(count[place[at : at + len(k)]]))
-        at += len(k)
+    for _, g, _ in each:
+        own = place[at : at + len(g)]
+        out.append(pack_all(small(count[own]), small(rank[own])))
+        at += len(g)
     return _blobs(table.column("bucket"), [e[0] for e in each], out)
 
 
@@ -265,42 +315,59 @@ def _blobs(bucket, parts: list, blobs: list) -> pa.Table:
     return pa.table({"bucket": pa.array([bucket[0].as_py()] * len(parts), pa.int32()), "part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _count_grams(table: pa.Table) -> pa.Table:
-    _, _, v, low, r, wide = _merged(table)
-    n = np.bincount(np.minimum(r[r > 0], K + 2), minlength=K + 2)[: K + 2]
-    u, _, many, mass = _by_context(v[wide], low[wide], r[wide])
-    rows = [{"v": int(a), "many": b.tolist(), "low": float(c)} for a, b, c in zip(u.view(np.int64), many, mass, strict=True)]
-    return pa.table({"n": [n.tolist()], "total": [int(r.sum())], "types": [int((r > 0).sum())], "wide": [rows]}, schema=_STATS)
+def _count_grams(level: int):
+    def count(table: pa.Table) -> pa.Table:
+        _, _, v, r, low, pieces = _merged(table, level)
+        n = np.bincount(np.minimum(r[r > 0], K + 2), minlength=K + 2)[: K + 2]
+        wide = pieces > 1
+        u, _, many, mass = _by_context(v[wide], low[wide], r[wide])
+        each = _by_key(v[wide], pieces[wide])
+        rows = [{"v": int(a), "pieces": int(k), "many": b.tolist(), "low": float(c)} for a, k, b, c in zip(u.view(np.int64), each, many, mass, strict=True)]
+        return pa.table({"n": [n.tolist()], "total": [int(r.sum())], "types": [int((r > 0).sum())], "ranks": [0], "wide": [rows]}, schema=_STATS)
+
+    return count
+
+
+def _spread(buckets: int):
+    """Partial sums of divided contexts, added up (v, pieces, many, low), to each of their buckets."""
+
+    def apply(batches):
+        for b in batches:
+            v, pieces = b.column(0).to_numpy(), b.column(1).to_numpy()
+            each = np.repeat(np.arange(len(v)), pieces)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            home = ((mix(v.view(np.uint64)) >> np.uint64(20))[each] + step.astype(np.uint64)) % np.uint64(buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *(b.column(k).take(pa.array(each)) for k in (0, 2, 3))], ["bucket", "v", "many", "low"])
+
+    return apply
 
 
 def _answer_grams(level: int):
-    def answer(table: pa.Table) -> pa.Table:
-        each, place, v, low, r, _ = _merged(table)
-        stats = {s["level"]: s for s in table.column("stats")[0].as_py()}[level]
-        d = discounts(stats["n"])
+    def answer(table: pa.Table, wide: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        each, place, v, r, low, _ = _merged(table, level)
+        d = discounts(_stats(table)[level]["n"])
         u, at, many, mass = _by_context(v, low, r)
-        if stats["wide"]:  # contexts over several buckets: add up their partial sums
-            sums: dict[int, list] = {}
-            for x in stats["wide"]:
-                s = sums.setdefault(x["v"], [np.zeros(K + 1), 0.0])
-                s[0] += np.array(x["many"])
-                s[1] += x["low"]
-            for i in np.flatnonzero(np.isin(u.view(np.int64), np.array(list(sums), np.int64))):
-                many[i], mass[i] = sums[int(u.view(np.int64)[i])]
+        if wide.num_rows:  # contexts over several buckets have their sums from all of them
+            given = wide.column("v").to_numpy().view(np.uint64)
+            row = np.minimum(np.searchsorted(u, given), len(u) - 1)
+            for k, i in enumerate(row.tolist()):
+                if u[i] == given[k]:
+                    many[i], mass[i] = wide.column("many")[k].as_py(), wide.column("low")[k].as_py()
         weights = np.arange(1, K + 1)
         total = (many[:, :K] @ weights + many[:, K]).astype(np.int64)
         used = many[:, :K] @ (weights * d[1:]) + many[:, K]
         short = (total > 0) & (many[:, :K].sum(axis=1) == 0)
-        total = total + short
-        alpha = np.where(total > 0, (1 - used / np.maximum(total, 1)) / np.maximum(1 - mass, 1e-300), 1.0)
+        alpha = np.where(total > 0, (1 - used / np.maximum(total + short, 1)) / np.maximum(1 - mass, 1e-300), 1.0)
         out, p = [], 0
-        for _, (ev, *_rest) in each:
+        for _, ev in each:
             mine = place[p : p + len(ev)]
             p += len(ev)
             heads = np.concatenate([[0], np.flatnonzero(np.diff(ev)) + 1])
             ctx = at[mine[heads]]
             needed = np.minimum.reduceat(r[mine], heads) == 0
-            out.append(bundle(pack(r[mine]), pack(total[ctx]), pack(np.where(needed, alpha[ctx], 0.0))))
+            out.append(pack_all(small(r[mine]), np.where(needed, alpha[ctx], 0.0), short[ctx].astype(np.uint8)))
         return _blobs(table.column("bucket"), [e[0] for e in each], out)
 
     return answer
@@ -318,33 +385,37 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     texts = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int")).repartition(n_tasks(parts), "_part")
     by_part = texts.groupBy("_part")
 
+    def requests_of(table: pa.Table, bucket: np.ndarray, cuts: np.ndarray, blobs: list[bytes]) -> pa.Table:
+        return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
     def ask_words(table: pa.Table) -> pa.Table:
         bucket, cuts, (u, count), _ = Part(table, buckets).ask_words()
-        blobs = [bundle(pack_sorted(u[a:b]), pack(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return requests_of(table, bucket, cuts, [pack_all(np.diff(u[a:b], prepend=np.uint64(0)), small(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def ask_grams(level: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             part = _replay(table, answers, buckets, share, level - 1)
-            stats = {s["level"]: s for s in answers.column("stats")[0].as_py()}
-            bucket, cuts, (v, w, low, count, wide), _ = part.ask(share or _share(stats[1], buckets))
-            blobs = [_written(*(x[a:b] for x in (v, w, low, count, wide))) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            bucket, cuts, fields, _ = part.ask(share or _share(_stats(answers)[1], buckets))
+            return requests_of(table, bucket, cuts, [_written(*(x[a:b] for x in fields), level) for a, b in zip(cuts, cuts[1:], strict=False)])
 
         return ask
 
     requests = by_part.applyInArrow(ask_words, _BLOB).repartition(n_tasks(buckets), "bucket")
     stats, answers, level = None, None, 1
     while True:
-        count, answer = (_count_words, _answer_words) if level == 1 else (_count_grams, _answer_grams(level))
-        found = requests.groupBy("bucket").applyInArrow(count, _STATS_DDL)
-        # one row: counts of counts, and the partial sums of at most `buckets` wide contexts
-        row = found.agg(
-            F.lit(level).alias("level"), F.array(*[F.sum(F.col("n")[i]) for i in range(K + 2)]).alias("n"), F.sum("total").alias("total"), F.sum("types").alias("types"), F.flatten(F.collect_list("wide")).alias("wide")
-        ).select(F.array(F.struct("level", "n", "total", "types", "wide")).alias("stats"))
-        stats = row if stats is None else stats.crossJoin(F.broadcast(row.withColumnRenamed("stats", "_more"))).select(F.concat("stats", "_more").alias("stats"))
-        given = requests if level == 1 else requests.crossJoin(F.broadcast(row))
-        new = given.groupBy("bucket").applyInArrow(answer, _BLOB).withColumn("level", F.lit(level))
+        given = requests if stats is None else requests.crossJoin(F.broadcast(stats))  # one row
+        found = given.groupBy("bucket").applyInArrow(_count_words if level == 1 else _count_grams(level), _STATS_DDL)
+        row = found.agg(F.array(*[F.sum(F.col("n")[i]) for i in range(K + 2)]).alias("n"), F.sum("total").alias("total"), F.sum("types").alias("types"), F.max("ranks").alias("ranks"))
+        row = row.select(F.array(F.struct(F.lit(level).alias("level"), "n", "total", "types", "ranks")).alias("_new"))
+        stats = row.withColumnRenamed("_new", "stats") if stats is None else stats.crossJoin(F.broadcast(row)).select(F.concat("stats", "_new").alias("stats"))
+        if level == 1:
+            new = requests.groupBy("bucket").applyInArrow(_answer_words, _BLOB)
+        else:
+            # at most as many contexts as buckets are divided, so over at most twice as many buckets
+            each = found.select(F.explode("wide").alias("x")).groupBy("x.v").agg(F.max("x.pieces").alias("pieces"), F.array(*[F.sum(F.col("x.many")[i]) for i in range(K + 1)]).alias("many"), F.sum("x.low").alias("low"))
+            wide = each.mapInArrow(_spread(buckets), _WIDE).repartition(n_tasks(buckets), "bucket")
+            new = requests.crossJoin(F.broadcast(stats)).groupBy("bucket").cogroup(wide.groupBy("bucket")).applyInArrow(_answer_grams(level), _BLOB)
+        new = new.withColumn("level", F.lit(level))
         answers = new if answers is None else answers.unionByName(new)
         told = answers.repartition(n_tasks(parts), "part").crossJoin(F.broadcast(stats))
         cogroup = by_part.cogroup(told.groupBy("part"))
@@ -355,7 +426,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         part = _replay(table, told, buckets, share, order)
-        first = {s["level"]: s for s in told.column("stats")[0].as_py()}[1]
+        first = _stats(told)[1]
         n, v = int(first["total"]), int(first["types"])
         base = np.log10((part.unigrams + 1) / (n + v + 1))
         m = len(part.first)
