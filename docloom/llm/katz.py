@@ -16,9 +16,10 @@ The number of a context's training tokens is its own count as a k-gram, which th
 before; what was never seen as a k-gram is not asked for as a context. The lower probabilities that a backoff
 weight needs are sent as the counts that they are made of. A context with more tokens than a bucket's fair share
 N / buckets, which at most as many contexts as there are buckets can have, is divided by word over several
-buckets; its partial sums are added up and sent to those buckets only. The buckets send back counts and backoff
-weights in the order in which they were asked, so no key travels back; the part then evaluates the recursion for
-each of its tokens. A word of any frequency is one entry from each part.
+buckets; its partial sums are added up and sent to those buckets only, and the counts of counts to all. The buckets
+send back counts and backoff weights in the order in which they were asked, so no key travels back, and the counts of
+counts; the part then evaluates the recursion for each of its tokens. A word of any frequency is one entry from each part.
+Texts travel compressed one by one.
 
 Null texts are empty: one end token. Repeated rows are scored and counted as often as they occur. Without
 training rows all words are unknown (c = 0, N = 0, V = 0), with probability 1. Words, and contexts of three words
@@ -29,13 +30,16 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import n_parts, n_tasks
-from ._words import flat, mix, pack_all, small, unpack_all, words
+from ._words import mix, pack_all, small, unpack_all, words
 
 ORDER = 3
 #: Text bytes of a part: a task holds some twenty numbers for each token.
@@ -45,7 +49,9 @@ END = np.uint64(0xE2D0)
 _32 = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
-_BLOB = "bucket int, part int, blob binary"
+_BLOB = "bucket int, part int, blob binary, told array<long>"
+#: Counts of counts (1 to K + 1 at their places), all tokens, distinct ones, words of the fullest bucket.
+_TOLD = K + 5
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -67,8 +73,10 @@ class Part:
     """The tokens of one part's texts."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        data, off = flat(table.column("_text"))
-        _, _, h, first = words(data, off)
+        texts = [zstandard.ZstdDecompressor().decompress(x) if x else b"" for x in table.column("_text").to_pylist()]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        _, _, h, first = words(np.frombuffer(b"".join(texts), np.uint8), off)
+        del texts
         n = np.diff(first)
         rows = len(n)
         at = np.arange(len(h)) + np.repeat(np.arange(rows), n)
@@ -112,9 +120,15 @@ class Part:
         self.asked = np.flatnonzero(self.valid & (self.total > 0))
         at = self.asked
         v, w = self.context[at], self.number[at]
-        order = np.lexsort((w, v))
-        a, b = v[order], w[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        if len(v) and int(w.max()) < 1 << 32:  # contexts by their order and words as one number
+            key = (v if not self.long else np.unique(v, return_inverse=True)[1].astype(np.uint64)) << _32 | w
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+        else:
+            order = np.lexsort((w, v))
+            a, b = v[order], w[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         one = order[new]
@@ -176,8 +190,17 @@ def _cat(xs: list[np.ndarray], t) -> np.ndarray:
     return np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
 
 
+def _known(told: list[int]) -> dict:
+    return {"n": told[: K + 2], "total": told[K + 2], "types": told[K + 3], "ranks": told[K + 4]}
+
+
 def _stats(table: pa.Table) -> dict[int, dict]:
-    return {s["level"]: s for s in table.column("stats")[0].as_py()}
+    """What the answers of each level say of all counts; none where nothing was asked."""
+    levels = table.column("level").to_pylist()
+    return {lv: _known(table.column("told")[levels.index(lv)].as_py()) for lv in set(levels)}
+
+
+_NOTHING = _known([0] * _TOLD)
 
 
 def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None, upto: int) -> Part:
@@ -196,7 +219,7 @@ def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None,
             r.append(a)
             alpha.append(b[run])
             short.append(c[run])
-        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats[level]["n"])
+        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats.get(level, _NOTHING)["n"])
     return part
 
 
@@ -217,7 +240,9 @@ def _sums(gap: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _by_key(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The value of each distinct key, in order."""
-    return value[np.unique(key, return_index=True)[1]]
+    order = np.argsort(key)
+    key = key[order]
+    return value[order[np.concatenate([[True], key[1:] != key[:-1]])]] if len(key) else value[:0]
 
 
 def _written(v: np.ndarray, w: np.ndarray, count: np.ndarray, r: np.ndarray, base: np.ndarray, pieces: np.ndarray, level: int) -> bytes:
@@ -257,38 +282,56 @@ def _read(blob: bytes, level: int):
 
 
 def _merged(table: pa.Table, level: int):
-    """All requests of a bucket together: distinct k-grams with context, count, lower probability, pieces."""
-    stats = _stats(table)
+    """All requests of a bucket together: distinct k-grams with context, count, count after the shorter context, its tokens, pieces."""
     each = [(p, _read(bytes(x), level)) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
     v, w, count, r, base, pieces = (np.concatenate([e[1][i] for e in each]) for i in range(6))
     key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
-    order = np.lexsort((count == 0, key))  # the first of equal ones knows its lower probability
-    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    one = order[new]
-    d = discounts(stats[level - 1]["n"])
-    low = discounted(r[one], d) * unknown(stats[1])[0] if level == 2 else discounted(r[one], d) / np.maximum(base[one], 1)
-    heads = [(p, e[0]) for p, e in each]
-    return heads, place, v[one], np.bincount(place, count, len(one)).astype(np.int64), low, pieces[one]
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    one = order[first]
+    # requests that have not seen a k-gram say 0
+    most = lambda x: np.maximum.reduceat(x[order], first)
+    return [(p, e[0]) for p, e in each], place, v[one], np.add.reduceat(count[order], first), most(r), base[one], pieces[one]
+
 
+def _lower(many: np.ndarray, base: np.ndarray, level: int, before: dict, first: dict) -> np.ndarray:
+    """The lower probabilities of a context's seen words, added up, from how many there are of each count after the shorter one."""
+    d = discounts(before["n"])
+    mass = many[:, :K] @ (np.arange(1, K + 1) * d[1:]) + many[:, K]
+    return mass * unknown(first)[0] if level == 2 else mass / np.maximum(base, 1)
 
-def _by_context(v: np.ndarray, low: np.ndarray, r: np.ndarray):
-    """Distinct contexts, each k-gram's context, and per context: counts of 1..K, sum above K, lower mass seen."""
+
+def _by_context(v: np.ndarray, r: np.ndarray, lower: np.ndarray, base: np.ndarray):
+    """Distinct contexts, each k-gram's context, and per context: how many have counts 1..K and the sum above, the same of
+    the counts after the shorter context of what was seen, and that one's tokens."""
     u, at = np.unique(v, return_inverse=True)
-    many = np.stack([np.bincount(at, r == i, len(u)) for i in range(1, K + 1)] + [np.bincount(at, np.where(r > K, r, 0), len(u))], axis=1)
-    return u, at, many, np.bincount(at, np.where(r > 0, low, 0.0), len(u))
+    table = lambda x: np.stack([np.bincount(at[x == i], minlength=len(u)) for i in range(1, K + 1)] + [np.bincount(at, np.where(x > K, x, 0), len(u)).astype(np.int64)], axis=1)
+    tokens = np.zeros(len(u), np.int64)
+    tokens[at] = base
+    return u, at, table(r), table(np.where(r > 0, lower, 0)), tokens
+
 
+_FOUND = "key long, pieces long, sums array<long>, most long"
+_CONTROL = "bucket int, key long, sums array<long>"
 
-_STATS = pa.schema([("n", pa.list_(pa.int64())), ("total", pa.int64()), ("types", pa.int64()), ("ranks", pa.int64()), ("wide", pa.list_(pa.struct([("v", pa.int64()), ("pieces", pa.int64()), ("many", pa.list_(pa.float64())), ("low", pa.float64())])))])
-_STATS_DDL = "n array<long>, total long, types long, ranks long, wide array<struct<v:long,pieces:long,many:array<double>,low:double>>"
-_WIDE = "bucket int, v long, many array<double>, low double"
+
+def _found(told: list[int], most: int, wide=((), (), ())) -> pa.Table:
+    """Rows to be added up over all buckets: the counts of counts (a null key), and divided contexts."""
+    key, pieces, sums = wide
+    return pa.table({"key": pa.array([None, *key], pa.int64()), "pieces": pa.array([0, *pieces], pa.int64()), "sums": pa.array([told, *sums], pa.list_(pa.int64())), "most": pa.array([most, *([0] * len(key))], pa.int64())})
+
+
+def _of_counts(seen: np.ndarray) -> list[int]:
+    return [*np.bincount(np.minimum(seen, K + 2), minlength=K + 2)[: K + 2].tolist(), int(seen.sum()), len(seen)]
 
 
 def _count_words(table: pa.Table) -> pa.Table:
     count = _word_counts(table)[1]
     seen = count[count > 0]
-    return pa.table({"n": [np.bincount(np.minimum(seen, K + 2), minlength=K + 2)[: K + 2].tolist()], "total": [int(seen.sum())], "types": [len(seen)], "ranks": [len(seen)], "wide": [[]]}, schema=_STATS)
+    return _found(_of_counts(seen) + [0] * K, len(seen))
 
 
 def _word_counts(table: pa.Table):
@@ -301,64 +344,78 @@ def _word_counts(table: pa.Table):
     return each, count, np.where(count > 0, rank, 0), place
 
 
-def _answer_words(table: pa.Table) -> pa.Table:
+def _told(control: pa.Table) -> list[int]:
+    row = control.column("key").to_pylist().index(None)
+    return control.column("sums")[row].as_py()
+
+
+def _answer_words(table: pa.Table, control: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return _blobs(None, [], [], [])
     each, count, rank, place = _word_counts(table)
     out, at = [], 0
     for _, g, _ in each:
         own = place[at : at + len(g)]
         out.append(pack_all(small(count[own]), small(rank[own])))
         at += len(g)
-    return _blobs(table.column("bucket"), [e[0] for e in each], out)
+    return _blobs(table.column("bucket"), [e[0] for e in each], out, _told(control))
 
 
-def _blobs(bucket, parts: list, blobs: list) -> pa.Table:
-    return pa.table({"bucket": pa.array([bucket[0].as_py()] * len(parts), pa.int32()), "part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+def _blobs(bucket, parts: list, blobs: list, told: list) -> pa.Table:
+    n = len(parts)
+    return pa.table({"bucket": pa.array([bucket[0].as_py()] * n if n else [], pa.int32()), "part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary()), "told": pa.array([told[:_TOLD]] * n, pa.list_(pa.int64()))})
 
 
 def _count_grams(level: int):
     def count(table: pa.Table) -> pa.Table:
-        _, _, v, r, low, pieces = _merged(table, level)
-        n = np.bincount(np.minimum(r[r > 0], K + 2), minlength=K + 2)[: K + 2]
+        _, _, v, r, lower, base, pieces = _merged(table, level)
         wide = pieces > 1
-        u, _, many, mass = _by_context(v[wide], low[wide], r[wide])
-        each = _by_key(v[wide], pieces[wide])
-        rows = [{"v": int(a), "pieces": int(k), "many": b.tolist(), "low": float(c)} for a, k, b, c in zip(u.view(np.int64), each, many, mass, strict=True)]
-        return pa.table({"n": [n.tolist()], "total": [int(r.sum())], "types": [int((r > 0).sum())], "ranks": [0], "wide": [rows]}, schema=_STATS)
+        u, _, many, less, tokens = _by_context(v[wide], r[wide], lower[wide], base[wide])
+        sums = np.concatenate([many, less], axis=1).tolist()
+        return _found(_of_counts(r[r > 0]) + [0] * K, 0, (u.view(np.int64).tolist(), _by_key(v[wide], pieces[wide]).tolist(), sums))
 
     return count
 
 
 def _spread(buckets: int):
-    """Partial sums of divided contexts, added up (v, pieces, many, low), to each of their buckets."""
+    """Sums of divided contexts to each of their buckets; the counts of counts (a null key) to all."""
 
-    def apply(batches):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, pieces = b.column(0).to_numpy(), b.column(1).to_numpy()
-            each = np.repeat(np.arange(len(v)), pieces)
-            step = np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            home = ((mix(v.view(np.uint64)) >> np.uint64(20))[each] + step.astype(np.uint64)) % np.uint64(buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *(b.column(k).take(pa.array(each)) for k in (0, 2, 3))], ["bucket", "v", "many", "low"])
+            key = b.column("key").to_numpy(zero_copy_only=False) if not b.column("key").null_count else b.column("key").fill_null(0).to_numpy(zero_copy_only=False)
+            every = b.column("key").is_null().to_numpy(zero_copy_only=False)
+            n = np.where(every, buckets, b.column("pieces").to_numpy())
+            row = np.repeat(np.arange(len(key)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = np.where(every, np.uint64(0), mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(20))
+            home = (start[row] + step.astype(np.uint64)) % np.uint64(buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), b.column("key").take(pa.array(row)), b.column("sums").take(pa.array(row))], ["bucket", "key", "sums"])
 
     return apply
 
 
 def _answer_grams(level: int):
-    def answer(table: pa.Table, wide: pa.Table) -> pa.Table:
+    def answer(table: pa.Table, control: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        each, place, v, r, low, _ = _merged(table, level)
-        d = discounts(_stats(table)[level]["n"])
-        u, at, many, mass = _by_context(v, low, r)
-        if wide.num_rows:  # contexts over several buckets have their sums from all of them
-            given = wide.column("v").to_numpy().view(np.uint64)
-            row = np.minimum(np.searchsorted(u, given), len(u) - 1)
-            for k, i in enumerate(row.tolist()):
-                if u[i] == given[k]:
-                    many[i], mass[i] = wide.column("many")[k].as_py(), wide.column("low")[k].as_py()
+            return _blobs(None, [], [], [])
+        each, place, v, r, lower, base, _ = _merged(table, level)
+        told = _told(control)
+        known = table.column("told")[0].as_py()  # of the orders before, from what the part was told
+        first, before = _known(known[:_TOLD]), _known(known[-_TOLD:])
+        d = discounts(_known(told)["n"])
+        u, at, many, less, tokens = _by_context(v, r, lower, base)
+        given = control.filter(control.column("key").is_valid())
+        if given.num_rows:  # contexts over several buckets have their sums from all of them
+            key = given.column("key").to_numpy().view(np.uint64)
+            row = np.minimum(np.searchsorted(u, key), len(u) - 1)
+            sums = np.array(given.column("sums").to_pylist(), np.int64)
+            mine = u[row] == key
+            many[row[mine]], less[row[mine]] = sums[mine, : K + 1], sums[mine, K + 1 :]
         weights = np.arange(1, K + 1)
-        total = (many[:, :K] @ weights + many[:, K]).astype(np.int64)
+        total = many[:, :K] @ weights + many[:, K]
         used = many[:, :K] @ (weights * d[1:]) + many[:, K]
         short = (total > 0) & (many[:, :K].sum(axis=1) == 0)
+        mass = _lower(less, tokens, level, before, first)
         alpha = np.where(total > 0, (1 - used / np.maximum(total + short, 1)) / np.maximum(1 - mass, 1e-300), 1.0)
         out, p = [], 0
         for _, ev in each:
@@ -368,7 +425,7 @@ def _answer_grams(level: int):
             ctx = at[mine[heads]]
             needed = np.minimum.reduceat(r[mine], heads) == 0
             out.append(pack_all(small(r[mine]), np.where(needed, alpha[ctx], 0.0), short[ctx].astype(np.uint8)))
-        return _blobs(table.column("bucket"), [e[0] for e in each], out)
+        return _blobs(table.column("bucket"), [e[0] for e in each], out, told)
 
     return answer
 
@@ -382,43 +439,47 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     buckets = parts
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    texts = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int")).repartition(n_tasks(parts), "_part")
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.compress(x.encode()) if x else b"" for x in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], b.schema.names)
+
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int"))
+    texts = dealt.mapInArrow(compressed, f"_id {kind}, _text binary, _train boolean, _part int").repartition(n_tasks(parts), "_part")
     by_part = texts.groupBy("_part")
 
-    def requests_of(table: pa.Table, bucket: np.ndarray, cuts: np.ndarray, blobs: list[bytes]) -> pa.Table:
-        return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    def requests_of(table: pa.Table, bucket: np.ndarray, cuts: np.ndarray, blobs: list[bytes], told: list) -> pa.Table:
+        n = len(blobs)
+        return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()), "told": pa.array([told] * n, pa.list_(pa.int64()))})
 
     def ask_words(table: pa.Table) -> pa.Table:
         bucket, cuts, (u, count), _ = Part(table, buckets).ask_words()
-        return requests_of(table, bucket, cuts, [pack_all(np.diff(u[a:b], prepend=np.uint64(0)), small(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return requests_of(table, bucket, cuts, [pack_all(np.diff(u[a:b], prepend=np.uint64(0)), small(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)], [])
 
     def ask_grams(level: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             part = _replay(table, answers, buckets, share, level - 1)
-            bucket, cuts, fields, _ = part.ask(share or _share(_stats(answers)[1], buckets))
-            return requests_of(table, bucket, cuts, [_written(*(x[a:b] for x in fields), level) for a, b in zip(cuts, cuts[1:], strict=False)])
+            stats = _stats(answers)
+            told = [x for lv in (1, level - 1) for s in [stats.get(lv, _NOTHING)] for x in (*s["n"], s["total"], s["types"], s["ranks"])]
+            bucket, cuts, fields, _ = part.ask(share or _share(stats[1], buckets))
+            return requests_of(table, bucket, cuts, [_written(*(x[a:b] for x in fields), level) for a, b in zip(cuts, cuts[1:], strict=False)], told)
 
         return ask
 
     requests = by_part.applyInArrow(ask_words, _BLOB).repartition(n_tasks(buckets), "bucket")
-    stats, answers, level = None, None, 1
+    answers, level = None, 1
+    width = 2 * (K + 1)
     while True:
-        given = requests if stats is None else requests.crossJoin(F.broadcast(stats))  # one row
-        found = given.groupBy("bucket").applyInArrow(_count_words if level == 1 else _count_grams(level), _STATS_DDL)
-        row = found.agg(F.array(*[F.sum(F.col("n")[i]) for i in range(K + 2)]).alias("n"), F.sum("total").alias("total"), F.sum("types").alias("types"), F.max("ranks").alias("ranks"))
-        row = row.select(F.array(F.struct(F.lit(level).alias("level"), "n", "total", "types", "ranks")).alias("_new"))
-        stats = row.withColumnRenamed("_new", "stats") if stats is None else stats.crossJoin(F.broadcast(row)).select(F.concat("stats", "_new").alias("stats"))
-        if level == 1:
-            new = requests.groupBy("bucket").applyInArrow(_answer_words, _BLOB)
-        else:
-            # at most as many contexts as buckets are divided, so over at most twice as many buckets
-            each = found.select(F.explode("wide").alias("x")).groupBy("x.v").agg(F.max("x.pieces").alias("pieces"), F.array(*[F.sum(F.col("x.many")[i]) for i in range(K + 1)]).alias("many"), F.sum("x.low").alias("low"))
-            wide = each.mapInArrow(_spread(buckets), _WIDE).repartition(n_tasks(buckets), "bucket")
-            new = requests.crossJoin(F.broadcast(stats)).groupBy("bucket").cogroup(wide.groupBy("bucket")).applyInArrow(_answer_grams(level), _BLOB)
-        new = new.withColumn("level", F.lit(level))
+        by_bucket = requests.groupBy("bucket")
+        found = by_bucket.applyInArrow(_count_words if level == 1 else _count_grams(level), _FOUND)
+        # at most as many contexts as buckets are divided, so over at most twice as many buckets
+        sums = found.groupBy("key").agg(F.max("pieces").alias("pieces"), F.max("most").alias("most"), F.array(*[F.sum(F.coalesce(F.get("sums", F.lit(i)), F.lit(0))) for i in range(width)]).alias("sums"))
+        ranks = F.when(F.col("key").isNull(), F.concat(F.slice("sums", 1, K + 4), F.array("most"))).otherwise(F.col("sums"))
+        control = sums.select("key", "pieces", ranks.alias("sums")).mapInArrow(_spread(buckets), _CONTROL).repartition(n_tasks(buckets), "bucket")
+        new = by_bucket.cogroup(control.groupBy("bucket")).applyInArrow(_answer_words if level == 1 else _answer_grams(level), _BLOB).withColumn("level", F.lit(level))
+        new = new.repartition(n_tasks(parts), "part")  # each level's answers travel once
         answers = new if answers is None else answers.unionByName(new)
-        told = answers.repartition(n_tasks(parts), "part").crossJoin(F.broadcast(stats))
-        cogroup = by_part.cogroup(told.groupBy("part"))
+        cogroup = by_part.cogroup(answers.groupBy("part"))
         if level == order:
             break
         level += 1
