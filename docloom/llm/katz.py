@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,7 @@ from ._words import mix, pack_all, small, unpack_all, words
 
 ORDER = 3
 #: Text bytes of a part: a task holds some twenty numbers for each token.
-PART = 10 << 20
+PART = 9 << 20
 K = 5
 END = np.uint64(0xE2D0)
 _32 = np.uint64(32)
@@ -84,7 +85,7 @@ class Part:
         self.token[at] = h
         self.first = first[:-1] + np.arange(rows)
         self.size = n + 1
-        self.row = np.repeat(np.arange(rows), self.size)
+        self.row = np.repeat(np.arange(rows, dtype=np.int32), self.size)
         self.begins = np.zeros(len(self.token), bool)
         self.begins[self.first] = True
         self.train = table.column("_train").to_numpy(zero_copy_only=False).astype(bool)[self.row]
@@ -92,10 +93,13 @@ class Part:
 
     def ask_words(self):
         """Distinct words by bucket, training counts, and each token's place among them."""
-        u, place = np.unique(self.token, return_inverse=True)
+        place, u = pd.factorize(self.token)
         count = np.bincount(place, self.train, len(u)).astype(np.int64)
         bucket = ((u >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-        return _sorted_by(bucket, (u, count), place)
+        order = np.argsort(u)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.arange(len(order))
+        return _sorted_by(bucket[order], (u[order], count[order]), inverse[place])
 
     def with_words(self, count: np.ndarray, number: np.ndarray, place: np.ndarray, stats) -> None:
         """Takes the counts and numbers (0: unseen) of the distinct words."""
@@ -159,7 +163,10 @@ class Part:
 
 def _home(v: np.ndarray, pieces: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a k-gram: one of as many as its context has pieces."""
-    return (((mix(v) >> np.uint64(20)) + mix(w) % pieces) % np.uint64(buckets)).astype(np.int64)
+    home = mix(v) >> np.uint64(20)
+    many = pieces > 1
+    home[many] += mix(w[many]) % pieces[many]
+    return (home % np.uint64(buckets)).astype(np.int64)
 
 
 def unknown(stats) -> tuple[float, float]:
