@@ -125,7 +125,7 @@ class Part:
         at = self.asked
         v, w = self.context[at], self.number[at]
         if len(v) and int(w.max()) < 1 << 32:  # contexts by their order and words as one number
-            key = (v if not self.long else np.unique(v, return_inverse=True)[1].astype(np.uint64)) << _32 | w
+            key = (v if not self.long else self.gram[at] if self.pairs else np.unique(v, return_inverse=True)[1].astype(np.uint64)) << _32 | w
             order = np.argsort(key)
             key = key[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -135,6 +135,7 @@ class Part:
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
+        self.place = place
         one = order[new]
         count = np.bincount(place, self.train[at], len(one)).astype(np.int64)
         v, w, r, base, c = v[one], w[one], self.r[at][one], self.base[at][one], self.total[at][one]
@@ -142,17 +143,23 @@ class Part:
         bucket = _home(v, pieces, w, self.buckets)
         return _sorted_by(bucket, (v, w, count, np.where(count > 0, r, 0), base, pieces), place)
 
-    def apply(self, r: np.ndarray, alpha: np.ndarray, short: np.ndarray, place: np.ndarray, n) -> None:
-        """One step of the recursion; then contexts one word longer."""
+    def apply(self, r: np.ndarray, alpha: np.ndarray, short: np.ndarray, place: np.ndarray, n, last: bool) -> None:
+        """One step of the recursion; then, unless it is the last, contexts one word longer."""
         at = self.asked
         r, alpha, total = r[place], alpha[place], self.total[at] + short[place]
         own = self.low[at]
         self.low = self.low.copy()
         self.low[at] = np.where(r > 0, discounted(r, discounts(n)) / total, alpha * own)
+        if last:
+            return
         seen, base = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
         seen[at], base[at] = r, total
-        pairs = self.exact and not self.long
-        longer = (self.context << _32) | self.number if pairs else mix(self.context * _MULT + self.number)
+        self.pairs = self.exact and not self.long
+        longer = (self.context << _32) | self.number if self.pairs else mix(self.context * _MULT + self.number)
+        if self.pairs:  # the places of pairs in order are those of the contexts
+            self.gram = np.zeros(len(self.token), np.uint64)
+            self.gram[at] = self.place
+            self.gram = self.before(self.gram)
         self.long = True
         self.r, self.base = seen, base
         self.valid = self.before(self.valid) & ~self.begins
@@ -210,7 +217,7 @@ def _stats(table: pa.Table) -> dict[int, dict]:
 _NOTHING = _known([0] * _TOLD)
 
 
-def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None, upto: int) -> Part:
+def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None, upto: int, last: int | None = None) -> Part:
     """The part's tokens with the recursion evaluated up to order `upto`."""
     part = Part(docs, buckets)
     stats = _stats(answers)
@@ -226,7 +233,7 @@ def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None,
             r.append(a)
             alpha.append(b[run])
             short.append(c[run])
-        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats.get(level, _NOTHING)["n"])
+        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats.get(level, _NOTHING)["n"], level == last)
     return part
 
 
@@ -288,14 +295,17 @@ def _read(blob: bytes, level: int):
     return np.repeat((high << _32) | low, run), w, count, r.astype(np.int64), np.repeat(base.astype(np.int64), run), np.repeat(pieces.astype(np.int64), run)
 
 
-def _merged(table: pa.Table, level: int):
-    """All requests of a bucket together: distinct k-grams with context, count, count after the shorter context, its tokens, pieces."""
+def _merged(table: pa.Table, level: int, counts: bool = False):
+    """All requests of a bucket together: distinct k-grams with context, count, count after the shorter context, its tokens,
+    pieces. With counts, the last three are left out where no context is divided."""
     each = [(p, _read(bytes(x), level)) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
     v, w, count, r, base, pieces = (np.concatenate([e[1][i] for e in each]) for i in range(6))
     key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    if counts and not (pieces > 1).any():
+        return None, None, None, np.add.reduceat(count[order], first), None, None, None
     place = np.empty(len(order), np.int64)
     place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     one = order[first]
@@ -375,7 +385,9 @@ def _blobs(bucket, parts: list, blobs: list, told: list) -> pa.Table:
 
 def _count_grams(level: int):
     def count(table: pa.Table) -> pa.Table:
-        _, _, v, r, lower, base, pieces = _merged(table, level)
+        _, _, v, r, lower, base, pieces = _merged(table, level, counts=True)
+        if v is None:
+            return _found(_of_counts(r[r > 0]) + [0] * K, 0)
         wide = pieces > 1
         u, _, many, less, tokens = _by_context(v[wide], r[wide], lower[wide], base[wide])
         sums = np.concatenate([many, less], axis=1).tolist()
@@ -493,7 +505,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         requests = cogroup.applyInArrow(ask_grams(level), _BLOB).repartition(n_tasks(buckets), "bucket")
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
-        part = _replay(table, told, buckets, share, order)
+        part = _replay(table, told, buckets, share, order, order)
         first = _stats(told)[1]
         n, v = int(first["total"]), int(first["types"])
         base = np.log10((part.unigrams + 1) / (n + v + 1))
