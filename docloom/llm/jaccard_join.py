@@ -13,7 +13,7 @@ more than DIST can link, so each outside point joins, with the inside points in
 made the same way from shingles that are rare inside, with new pivots, until nothing is outside. Only links
 that change components are kept; pairs are never listed.
 
-Regions of more than REGION points are dealt in chunks, each with the pivot. Points inside the pivot's ball are
+Regions of more than REGION points, or HELD shingles, are dealt in chunks, each with the pivot. Points inside the pivot's ball are
 connected through it; the outside points of such a region meet every chunk in blocks, in a second round.
 Components come from alternating large and small stars, with each round written to the shared folder.
 
@@ -21,8 +21,8 @@ Points are identified by a 64-bit hash of the shingle set (chance of a clash amo
 Equal sets are one point, so copies cost one row each. Null, empty and blank texts have no shingles and
 link with nothing. Null ids may not be a component's name unless all its ids are null. Repeated rows are
 copies; rows with one id and different texts are points of their own. Ids may be of any type that has an order.
-Other columns are not read. Texts of any length are whole: a task holds the sets of at most REGION of them, and
-the texts of a batch. An empty table gives an empty result.
+Other columns are not read. Texts of any length are whole: a task joins about REGION of them, or HELD
+shingles, at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ N = 5
 PERCENT = 80
 DIST = 1 - PERCENT / 100
 REGION = 2048
+#: Shingles of the points that one task joins at a time.
+HELD = 1 << 21
 #: Rows whose words are held at a time.
 SLICE = 1024
 HOT = 8
@@ -310,9 +312,10 @@ def links(docs: DataFrame, points: DataFrame, buckets: int, region: int = REGION
     """Pairs of points (a < b) whose components are those of all links."""
     pairs = points.where("blob IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_cells, "pivot long, node long").groupBy("pivot", "node").agg(F.lit(1).alias("_one"))
     pairs = materialize(pairs.select("pivot", "node"), "regions")
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / region).cast("long").alias("chunks"))
-    rows = points.where("blob IS NULL AND n > 0").groupBy("node").agg(F.min("row").alias("row"))
-    given = pairs.join(sizes, "pivot").join(rows, "node")
+    rows = points.where("blob IS NULL AND n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    known = pairs.join(rows, "node")
+    sizes = known.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / region, F.sum("n") / HELD)).cast("long").alias("chunks"))
+    given = known.drop("n").join(sizes, "pivot")
     all_chunks = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     own = F.array(F.pmod(F.xxhash64("node"), F.col("chunks")))
     dealt = given.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("pivot"), all_chunks).otherwise(own)))
