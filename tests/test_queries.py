@@ -1,7 +1,12 @@
 """Queries over small tables of odd rows, next to their DuckDB SQL."""
 
+import random
+import struct
+
 import duckdb
+from pyspark.sql import functions as F
 
+from docloom.operators import retrieval
 from docloom.queries import REGISTRY
 
 
@@ -23,3 +28,39 @@ def test_titles_with_cut_references(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"<html><h1>{h}</h1><p>t</p></html>") for i, h in enumerate(heads)], "page_id long, html string")
     got, want = rows_of_both(spark, tmp_path, "doc_title", pages=pages)
     assert got == want and ("p1.html", "a & b&amp") in got
+
+
+def odd_vectors(spark):
+    """Random vectors, many copies of one, and vectors with nulls, other lengths, zeros and no numbers."""
+    rng = random.Random(5)
+    rows = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(250)] + [[0.5, 0.5, -0.5, 0.5, 0.1, 0.0]] * 60 + [None, [1.0], [1.0] * 5 + [None], [0.0] * 6, []]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+
+
+def exact(v):
+    return None if v is None else [None if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v]
+
+
+def dot(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    return sum(x * y for x, y in zip(a, b, strict=True))
+
+
+def asked_of(df, every=9):
+    return df.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+def test_dense_many_holds_the_best_in_tasks(spark):
+    rows, df = odd_vectors(spark)
+    found = retrieval.dense_many(df.repartition(3), asked_of(df), k=20, block=10)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # pairs are not rows of a join
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+    for q in range(0, len(rows), 9):
+        scores = [(i, dot(exact(v), exact(rows[q]))) for i, v in enumerate(rows)]
+        scores = [(i, None if s is None else round(s, 6) + 0.0) for i, s in scores]
+        want = sorted(scores, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:20]
+        assert [got[q][n] for n in range(1, 21)] == want
