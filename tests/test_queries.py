@@ -64,3 +64,14 @@ def test_dense_many_holds_the_best_in_tasks(spark):
         scores = [(i, None if s is None else round(s, 6) + 0.0) for i, s in scores]
         want = sorted(scores, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:20]
         assert [got[q][n] for n in range(1, 21)] == want
+
+
+def test_cosine_many(spark):
+    rows, df = odd_vectors(spark)
+    found = retrieval.cosine_many(df.repartition(3), asked_of(df), block=10)
+    got = {(r.query_id, r.id): r.score for r in found.collect()}
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and len(got) == len(rows) * len(range(0, len(rows), 9))
+    for (q, i), score in got.items():
+        a, b = exact(rows[q]), exact(rows[i])
+        want = dot(a, b)
+        assert score == (None if want is None else round(want / ((dot(a, a) * dot(b, b)) ** 0.5 or 1.0), 5) + 0.0)
