@@ -75,3 +75,28 @@ def test_cosine_many(spark):
         a, b = exact(rows[q]), exact(rows[i])
         want = dot(a, b)
         assert score == (None if want is None else round(want / ((dot(a, a) * dot(b, b)) ** 0.5 or 1.0), 5) + 0.0)
+
+
+def odd_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["the", "Of", "É", "KK"]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice([4, 64])] + ["the"] * 9) for _ in range(n))
+    docs = [text(rng.randint(1, 90)) for _ in range(150)] + ["the same copy w1 w2"] * 60 + [None, "", "..."]
+    asked = [text(rng.randint(1, 30)) for _ in range(9)] + [None, "", "unseen", "the the the", "w1 w2 copy"]
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(len(docs))]
+    return {
+        "documents": spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+        "benchmark": spark.createDataFrame(list(enumerate(asked)), "item_id long, text string"),
+        "embeddings": spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>"),
+    }
+
+
+def test_bm25_batch_scores_a_document_in_its_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 64)
+    tables = odd_texts(spark)
+    got, want = rows_of_both(spark, tmp_path, "bm25_batch", **tables)
+    assert got == want and len(got) > 300
+    index = retrieval.Bm25Index(tables["documents"].repartition(3))
+    found = retrieval.sparse_many(index, tables["benchmark"].withColumnRenamed("item_id", "query_id"), block=3)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # occurrences of terms are not rows of a join
+    assert sorted(tuple(r) for r in found.select("query_id", "id", "score", "rank").collect()) == sorted(got)
