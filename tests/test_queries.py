@@ -100,3 +100,11 @@ def test_bm25_batch_scores_a_document_in_its_task(spark, tmp_path, monkeypatch):
     found = retrieval.sparse_many(index, tables["benchmark"].withColumnRenamed("item_id", "query_id"), block=3)
     assert "MapInArrow" in found._jdf.queryExecution().toString()  # occurrences of terms are not rows of a join
     assert sorted(tuple(r) for r in found.select("query_id", "id", "score", "rank").collect()) == sorted(got)
+
+
+def test_hybrid_batch(spark, tmp_path):
+    tables = odd_texts(spark)
+    build, _ = REGISTRY["hybrid_batch"]
+    got, want = rows_of_both(spark, tmp_path, "hybrid_batch", **tables)
+    assert got == want and len(got) == 8 * tables["benchmark"].count()
+    assert build(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
