@@ -7,10 +7,11 @@ log P_target(slot) - log P_raw(slot). A document stays if it passes the base rul
 threshold, the same for every document: the QUANTILE of the scores of trusted rows that pass the base rules, each
 scored by the half of the trusted rows that it is not in.
 
-Trusted rows are a bounded sample: at most MAX_TRUSTED ids, those with the smallest hashes, of the labels
-that call a document good and not toxic; so many ids are broadcast. Raw counts cover all documents. Each task adds
-up its counters and sends them in RANGES pieces; GATHER tasks' pieces are added first, then those sums, so that no
-task merges many. The model that is broadcast has SLOTS numbers at any size of input.
+Trusted rows are all rows whose ids a label calls good and not toxic. A bitmap of MARKS hashes of those ids, of
+the same size at any input, spares most other texts the join on ids that then decides; what the join finds is
+written to the shared folder. The quantile is exact and found by counting in ever narrower ranges. Raw counts cover
+all documents. Each task adds up its counters and sends them in RANGES pieces; GATHER tasks' pieces are added first,
+then those sums, so that no task merges many. The model that is broadcast has SLOTS numbers at any size of input.
 
 Null and empty texts have no words: they fail the base rules. Without trusted rows the scores are 0 and the
 base rules alone decide. Repeated rows count as often as they occur. Ids of labels and documents are compared as
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import materialize
@@ -32,7 +33,9 @@ from ._words import SEP, flat, grams, pack, slices, unpack, words
 
 SLOTS = 1 << 17
 RANGES = 16
-MAX_TRUSTED = 50_000
+MARKS, MARKS_PART = 1 << 26, 1 << 20
+#: Ranges of scores that are counted at a time, and scores that are collected.
+CLASSES, FEW = 4096, 50_000
 SMOOTHING = 1 << 14
 QUANTILE = 0.005
 GATHER = 1024
@@ -51,10 +54,65 @@ def _slots(h: np.ndarray, first: np.ndarray, slots: int) -> tuple[np.ndarray, np
     return at.astype(np.int64), np.concatenate([row, row[:-1][inside]])
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """At most `most` ids (as text) of good rows, those whose hashes are smallest, and the half that each is in."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids (as text) of good rows, and the half that each is in."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("_trusted")).distinct()
-    return materialize(good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most).withColumn("_half", F.pmod(F.crc32("_trusted"), F.lit(2)).cast("int")), "trusted")
+    return materialize(good.withColumn("_half", F.pmod(F.crc32("_trusted"), F.lit(2)).cast("int")), "trusted")
+
+
+def _mark(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS))
+
+
+def _trusted_texts(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(_half, _text) of the rows of texts (_key, _text) whose keys are trusted."""
+
+    def bitmap(table: pa.Table) -> pa.Table:
+        bits = np.zeros(MARKS_PART, bool)
+        bits[table.column("at").to_numpy() % MARKS_PART] = True
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    at = trusted.select(_mark("_trusted").alias("at")).withColumn("part", F.floor(F.col("at") / MARKS_PART))
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for r in at.groupBy("part").applyInArrow(bitmap, "part long, bits binary").toLocalIterator():
+        marks[r.part * MARKS_PART // 8 : (r.part + 1) * MARKS_PART // 8] = np.frombuffer(r.bits, np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy()
+            yield b.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["_key", "_text"])
+
+    some = texts.where("_key IS NOT NULL").select(_mark("_key").alias("_at"), "_key", "_text").mapInArrow(may_be, "_key string, _text string")
+    return materialize(some.join(trusted, F.col("_key") == F.col("_trusted")).select("_half", "_text"), "trusted-texts")
+
+
+def _quantile(scores: DataFrame, q: float) -> float | None:
+    """The q quantile of the column score, between two scores in proportion."""
+    n = scores.count()
+    if not n:
+        return None
+    place = (n - 1) * q
+
+    def nth(k: int) -> float:
+        rows = scores
+        while True:
+            low, high, left = rows.agg(F.min("score"), F.max("score"), F.count("*")).first()
+            if low == high:
+                return low
+            if left <= FEW:
+                return sorted(r[0] for r in rows.collect())[k]
+            step = F.floor((F.col("score") - low) / (high - low) * (CLASSES - 1))
+            for c in sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):
+                if k < c.n:
+                    rows = rows.where(F.col("score").between(c.low, c.high))
+                    break
+                k -= c.n
+
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    a = nth(low)
+    b = a if low == high else nth(high)
+    return a if a == b else (high - place) * a + (place - low) * b
 
 
 def _weight(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarray:
@@ -68,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weight of each slot, log P_target - log P_raw, and the threshold."""
     width = slots // RANGES
     kinds = ("raw", "first", "second")
-    trusted = trusted_ids(labels)
     texts = docs.select(F.col(id_col).cast("string").alias("_key"), F.col(text_col).alias("_text"))
+    own = _trusted_texts(texts, trusted_ids(labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, slots), np.int64)
@@ -77,11 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             data, off = flat(b.column(1))
             _, _, h, first = words(data, off)
             at, row = _slots(h, first, slots)
-            sums[0] += np.bincount(at, minlength=slots)
-            half = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)[row]
-            for k in (0, 1):
-                if (mine := half == k).any():
-                    sums[k + 1] += np.bincount(at[mine], minlength=slots)
+            kind = b.column(0).to_numpy()[row]
+            for k in (0, 1, 2):
+                if (mine := kind == k).any():
+                    sums[k] += np.bincount(at[mine], minlength=slots)
         cut = lambda x: [pack(x[i * width : (i + 1) * width]) for i in range(RANGES)]
         yield pa.RecordBatch.from_pydict({"piece": pa.array(range(RANGES), pa.int32()), **{k: cut(x) for k, x in zip(kinds, sums, strict=True)}})
 
@@ -94,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.table({"piece": table.column("piece")[:1], **{k: [pack(x)] for k, x in total.items()}})
 
     kind = "piece int, raw binary, first binary, second binary"
-    marked = texts.join(F.broadcast(trusted), F.col("_key") == F.col("_trusted"), "left").select("_half", "_text")
-    sums = marked.mapInArrow(count, kind).withColumn("_gather", F.floor(F.spark_partition_id() / GATHER))
+    every = texts.select(F.lit(0).alias("_kind"), "_text").unionByName(own.select((F.col("_half") + 1).alias("_kind"), "_text"))
+    sums = every.mapInArrow(count, kind).withColumn("_gather", F.floor(F.spark_partition_id() / GATHER))
     pieces = sums.groupBy("piece", "_gather").applyInArrow(lambda t: add(t.drop_columns(["_gather"])), kind).groupBy("piece").applyInArrow(add, kind).collect()
     if not pieces:
         return np.zeros(slots), float("-inf")
@@ -112,8 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             score = np.where(half == 0, got[0]["score"], got[1]["score"])
             yield pa.RecordBatch.from_pydict({"score": score[~got[0]["base_failed"]]})
 
-    own = texts.join(F.broadcast(trusted), F.col("_key") == F.col("_trusted")).select("_half", "_text")
-    threshold = own.mapInArrow(held_out, "score double").agg(F.percentile("score", F.lit(quantile))).first()[0]
+    threshold = _quantile(materialize(own.mapInArrow(held_out, "score double"), "trusted-scores"), quantile)
     return _weight(one + two, raw, smoothing), float("-inf") if threshold is None else float(threshold)
 
 
