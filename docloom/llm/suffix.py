@@ -148,7 +148,7 @@ def _shared(at: np.ndarray, key: np.ndarray, label: tuple[np.ndarray, np.ndarray
     """The positions whose key another (of another label) has too, and their new bucket numbers from 1."""
     if not len(at):
         return at, np.zeros(0, np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # the order of equal keys changes nothing
     k = key[order]
     first = np.concatenate([[True], k[1:] != k[:-1]])
     run = np.cumsum(first)
