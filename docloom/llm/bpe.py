@@ -21,7 +21,7 @@ not read by `digest`. An empty table gives an empty result. A text's tokens must
 from __future__ import annotations
 
 import hashlib
-import struct
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +36,11 @@ MEMO = 100_000
 #: The tokenizer's split pattern (fixed value).
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 PLAIN = regex.compile("[\x20-\x7e\xa1-ɏ]*")
+_of = lambda kind: re.escape("".join(regex.findall(rf"\p{{{kind}}}", "".join(map(chr, range(0x250))))))
+#: SPLIT for what PLAIN matches, with its letters and digits listed.
+PLAIN_SPLIT = re.compile(SPLIT.pattern.replace(r"\p{L}", _of("L")).replace(r"\p{N}", _of("N")))
+#: What the normaliser's rule for blanks changes in ASCII.
+BLANKS = re.compile("[\t-\r ]{2,}|[\t-\r]")
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _open: dict[str, Coder] = {}
 
@@ -65,23 +70,26 @@ class Coder:
     def decode(self, ids) -> str:
         return " ".join([self.names[i] for i in ids])
 
+    def normal(self, text: str) -> str:
+        """The normaliser's result; ASCII, which has one form, needs its rules for blanks and capitals only."""
+        return BLANKS.sub(" ", text).lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
+
     def whole(self, text: str) -> tuple[bytes, str]:
         """Ids as bytes and the decoded string of a text that is encoded at once."""
-        norm = None if any(s in text for s in self.special) else self.tok.normalizer.normalize_str(text)
+        norm = None if any(s in text for s in self.special) else self.normal(text)
         if norm is None or not PLAIN.fullmatch(norm):
             ids = self.encode(text)
             return ids.tobytes(), self.decode(ids.tolist())
-        memo, found = self.memo, SPLIT.findall(norm)
+        memo, found = self.memo, PLAIN_SPLIT.findall(norm)
         if new := [w for w in dict.fromkeys(found) if w not in memo]:
             if len(memo) > MEMO:
                 memo.clear()
                 new = list(dict.fromkeys(found))
             # every word ends with a token of its own kind, so many are encoded as one text and divided again
-            ids = self.tok.encode(" ".join(new), add_special_tokens=False).ids
-            ends, start = np.flatnonzero(self.last[ids]) + 1, 0
-            for w, end in zip(new, ends.tolist(), strict=True):
-                one = ids[start:end]
-                memo[w] = struct.pack(f"<{end - start}I", *one), self.decode(one)
+            ids = self.encode(" ".join(new))
+            raw, names, start = ids.tobytes(), [self.names[i] for i in ids.tolist()], 0
+            for w, end in zip(new, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
+                memo[w] = raw[4 * start : 4 * end], " ".join(names[start:end])
                 start = end
         got = [memo[w] for w in found]
         return b"".join([x for x, _ in got]), " ".join([x for _, x in got])

@@ -284,3 +284,10 @@ def test_licenses_real(spark):
     got = {r.doc_id: set(filter(None, r.license_ids.split(","))) for r in licenses.scan(docs).collect()}
     assert any(want.values()) and all(want[i] <= got[i] for i in want)
     assert sum(got[i] != want[i] for i in want) <= 2
+
+
+def test_bpe_normal_form(spark):
+    c = bpe.Coder(public_tokenizer())
+    texts = [f"{x}A b{x}{x} c{x}1" for x in map(chr, range(0x260))] + ["  a\t\n b ", "It'S don'T 12 a1b2 ÀÉ ²³¼ ª", "\r\n", "a\x1c b\x1f\x1f c"]
+    assert all(c.normal(t) == c.tok.normalizer.normalize_str(t) for t in texts)
+    assert all(c.whole(t) == (c.encode(t).tobytes(), c.decode(c.encode(t).tolist())) for t in texts)
