@@ -84,6 +84,11 @@ def inner_ones(n: int) -> int:
     return n - (2 * PERCENT * n + 99 + PERCENT) // (100 + PERCENT) + 1
 
 
+def shared(n, m):
+    """Shingles that linked sets of these sizes have in common, at least."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most MOST_HOT shingles that documents share most, with counts: it only sets the order."""
 
@@ -216,41 +221,59 @@ class Region:
         return 100 * inter >= PERCENT * union, 1 - inter / union
 
     def join(self, members: np.ndarray, p: int | None = None) -> np.ndarray:
-        """Link all pairs of members that are near; returns those outside the ball of p, if it is given."""
-        work = [(members, p)]
-        outside = np.zeros(0, np.int64)
+        """Connect the members that links connect; returns those outside the ball of p, if it is given."""
+        work = [(members, members[0] if p is None else p)] if len(members) > 1 else []
+        outside, d, first = np.zeros(0, np.int64), np.zeros(len(self.sets)), True
         while work:
             group, pivot = work.pop()
-            if len(group) < 2:
-                continue
-            own = pivot is not None
-            pivot = int(group[0]) if pivot is None else pivot
             rest = group[group != pivot]
-            near, d = self.star(pivot, rest)
+            near, d[rest] = self.star(pivot, rest)
             for i in rest[near]:
                 self.link(pivot, int(i))
             out = rest[~near]
-            if own:
+            if first and p is not None:
                 outside = out
             if len(out):
-                low = d[~near].min() - DIST - 1e-9  # inside points nearer to the pivot link with none outside
-                work += [(g, None) for g in self.divide(np.concatenate([out, rest[near & (d >= low)]]), set(out.tolist()))]
+                low = d[out].min() - DIST - 1e-9  # inside points nearer to the pivot link with none outside
+                for part, hub in self.divide(np.concatenate([out, rest[near & (d[rest] >= low)]])):
+                    if first or 2 * len(part) <= len(group):
+                        work.append((part, hub))
+                    else:
+                        self.sweep(part, d[part])
+            first = False
         return outside
 
-    def divide(self, group: np.ndarray, needed: set[int]) -> list[np.ndarray]:
-        """Smaller regions: points connected by cells of shingles that are rare in this group."""
+    def ordered(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of a group as numbers, rare ones low, ascending within each point; their first places, and counts."""
+        first = np.concatenate([[0], np.cumsum(self.size[group])])
+        _, at, count = np.unique(np.concatenate([self.sets[i] for i in group]), return_inverse=True, return_counts=True)
+        order = np.argsort(count, kind="stable")
+        rank = np.empty(len(count), np.int64)
+        rank[order] = np.arange(len(count))
+        owner = np.repeat(np.arange(len(group)), self.size[group])
+        return np.sort(owner * len(count) + rank[at]) % len(count), first, count[order]
+
+    def prefixes(self, group: np.ndarray, every: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of which linked points share one and that two points have: number, point, place in the point."""
+        size = self.size[group]
+        place = np.arange(len(every)) - np.repeat(first[:-1], size)
+        take = (place < np.repeat([first_ones(int(n)) for n in size], size)) & (count[every] > 1)
+        return every[take], np.repeat(np.arange(len(group)), size)[take], place[take]
+
+    def divide(self, group: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Smaller regions with points to connect, by cells of shingles that are rare in this group, and a new pivot of each."""
         if len(group) < 2:
             return []
-        every = np.concatenate([self.sets[i] for i in group])
-        owner = np.repeat(np.arange(len(group)), self.size[group])
-        _, at, count = np.unique(every, return_inverse=True, return_counts=True)
-        order = np.lexsort((at, count[at], owner))
-        first = np.concatenate([[0], np.cumsum(self.size[group])])
-        rank = np.arange(len(every)) - np.repeat(first[:-1], self.size[group])
-        take = order[rank < np.repeat([first_ones(int(n)) for n in self.size[group]], self.size[group])]
-        key, who = at[take], owner[take]
-        o = np.lexsort((who, key))
-        key, who = key[o], who[o]
+        every, first, count = self.ordered(group)
+        key, who, place = self.prefixes(group, every, first, count)
+        o = np.lexsort((self.size[group][who], key))
+        key, who, place = key[o], who[o], place[o]
+        n = self.size[group][who]
+        # sizes ascend within a cell; the first common shingle leaves room for all that the smaller and the larger point must share
+        start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        least = np.maximum(n[np.flatnonzero(start)][np.cumsum(start) - 1], -(-PERCENT * n // 100))
+        fits = n - place >= shared(least, n)
+        key, who = key[fits], who[fits]
         same = np.flatnonzero(key[1:] == key[:-1])
         up = list(range(len(group)))
 
@@ -260,13 +283,53 @@ class Region:
                 i = up[i]
             return i
 
-        for a, b in set(zip(who[same].tolist(), who[same + 1].tolist(), strict=True)):
-            x, y = sorted((root(a), root(b)))
+        for pair in np.unique(who[same] * len(group) + who[same + 1]).tolist():
+            x, y = sorted((root(pair // len(group)), root(pair % len(group))))
             up[y] = x
+        common = np.add.reduceat(count[every], first[:-1]) / self.size[group]  # a point that shares much with the others is a good pivot
         found: dict[int, list[int]] = {}
         for i in range(len(group)):
-            found.setdefault(root(i), []).append(int(group[i]))
-        return [np.array(g) for g in found.values() if len(g) > 1 and not needed.isdisjoint(g)]
+            found.setdefault(root(i), []).append(i)
+        parts = [np.array(g) for g in found.values() if len(g) > 1 and len({self.root(int(group[i])) for i in g}) > 1]
+        return [(group[g], int(group[g[np.argmax(common[g])]])) for g in parts]
+
+    def sweep(self, group: np.ndarray, d: np.ndarray) -> None:
+        """Connect the points of a group that hardly divides; d: distances from one pivot.
+
+        Points of one component need no test, so only those outside the largest are compared with the others: with
+        those in the window of d, of fitting size and place of a common shingle.
+        """
+        every, first, count = self.ordered(group)
+        key, who, place = self.prefixes(group, every, first, count)
+        size = self.size[group]
+        part = np.unique([self.root(int(i)) for i in group], return_inverse=True)[1]
+        main = int(np.argmax(part == np.argmax(np.bincount(part))))
+        at, own = np.full(len(count), -1), np.zeros(len(count), bool)
+        cuts = np.searchsorted(who, np.arange(len(group) + 1))
+        for x in range(len(group)):
+            if part[x] == part[main]:
+                continue
+            mine = slice(cuts[x], cuts[x + 1])
+            at[key[mine]] = place[mine]
+            hit = np.flatnonzero(at[key] >= 0)
+            y = who[hit]
+            need = shared(size[x], size[y])
+            y = y[(size[x] - at[key[hit]] >= need) & (size[y] - place[hit] >= need)]
+            at[key[mine]] = -1
+            y = np.unique(y[(part[y] != part[x]) & (np.abs(d[y] - d[x]) <= DIST + 1e-9)])
+            if not len(y):
+                continue
+            own[every[first[x] : first[x + 1]]] = True
+            if 4 * len(y) > len(group):
+                inter = np.add.reduceat(own[every], first[:-1], dtype=np.int64)[y]
+            else:
+                inter = np.array([np.count_nonzero(own[every[first[i] : first[i + 1]]]) for i in y.tolist()])
+            own[every[first[x] : first[x + 1]]] = False
+            near = y[100 * inter >= PERCENT * (size[x] + size[y] - inter)]
+            for i in near:
+                self.link(int(group[x]), int(group[i]))
+            if len(near):
+                part[np.isin(part, part[near])] = part[x]
 
 
 def _join(table: pa.Table) -> pa.Table:

@@ -107,3 +107,27 @@ def test_components(spark):
         got = jj.components(spark.createDataFrame(edges, "a long, b long"))
         assert sorted(map(tuple, got.collect())) == rooted(edges)
     assert jj.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 30])
+def test_family_of_near_copies(monkeypatch, least):
+    """Points of one base that mostly do not link with a pivot are not divided anew for each of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 40, 396).astype(np.uint64)
+    sets = []
+    for k in rng.integers(least, 70, 300):
+        s = base.copy()
+        s[rng.choice(396, k, replace=False)] = rng.integers(0, 1 << 40, k)
+        sets.append(np.unique(s))
+    calls = []
+    divide = jj.Region.divide
+    monkeypatch.setattr(jj.Region, "divide", lambda self, *a: calls.append(1) or divide(self, *a))
+    region = jj.Region(sets)
+    outside = region.join(np.arange(300), 0)
+    assert len(calls) < 12
+    linked = [[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    want = dict(rooted([(i, j) for i in range(300) for j in range(i) if linked[i][j]]))
+    assert [region.root(i) for i in range(300)] == [want.get(i, i) for i in range(300)]
+    assert sorted(outside.tolist()) == [i for i in range(300) if not linked[0][i]]
