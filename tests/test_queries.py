@@ -108,3 +108,11 @@ def test_hybrid_batch(spark, tmp_path):
     got, want = rows_of_both(spark, tmp_path, "hybrid_batch", **tables)
     assert got == want and len(got) == 8 * tables["benchmark"].count()
     assert build(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_document_frequencies_are_shuffled_once(spark):
+    index = retrieval.Bm25Index(odd_texts(spark)["documents"])
+    found = index.idf.join(spark.createDataFrame([("w1",), ("of",)], "term string"), "term")
+    assert found.count() == 2 and len(found.collect()) == 2
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate explode") == 1  # the mean of all terms reads the shuffle that the join reads
