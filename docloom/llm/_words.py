@@ -88,7 +88,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
         if stop < stop_all:
             stop = _cut(data, off, pos, stop)
         b = data[pos:stop]
-        sep = SEP[b]
+        sep = (b == 32) | (b - np.uint8(9) < 5)  # SEP[b], which takes six times as long
         inner = off[np.searchsorted(off, pos, "right") : np.searchsorted(off, stop, "left")] - pos
         before = np.empty(len(b), bool)
         before[0] = True
@@ -112,11 +112,15 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
 
 def _cut(data: np.ndarray, off: np.ndarray, pos: int, stop: int) -> int:
     """A place near stop where no word is divided."""
-    back = np.flatnonzero(SEP[data[pos:stop]])
     row = int(off[np.searchsorted(off, stop, "right") - 1])
-    cut = max(pos + int(back[-1]) + 1 if len(back) else 0, row)
-    if cut > pos:
-        return cut
+    at = stop
+    while at > max(pos, row):  # the last one is mostly near
+        at, to = max(pos, row, at - 4096), at
+        back = np.flatnonzero(SEP[data[at:to]])
+        if len(back):
+            return at + int(back[-1]) + 1
+    if row > pos:
+        return row
     end = int(off[np.searchsorted(off, stop, "left")])
     while stop < end:
         ahead = np.flatnonzero(SEP[data[stop : min(stop + _BLOCK, end)]])
@@ -178,7 +182,8 @@ def small(a: np.ndarray) -> np.ndarray:
 def pack_all(*arrays: np.ndarray) -> bytes:
     """Numeric arrays in one compressed frame, the bytes of each transposed."""
     head = b"".join(a.dtype.str.encode() + len(a).to_bytes(5, "little") for a in arrays)
-    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
+    planes = ((np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize), k) for a in arrays if len(a) for k in range(a.itemsize))
+    raw = b"".join(x[:, k].tobytes() for x, k in planes)
     return zstandard.ZstdCompressor(level=3).compress(bytes([len(arrays)]) + head + raw)
 
 
@@ -188,7 +193,9 @@ def unpack_all(b: bytes) -> list[np.ndarray]:
     for k in range(data[0]):
         h = data[1 + 8 * k : 9 + 8 * k]
         t, n = np.dtype(h[:3].decode()), int.from_bytes(h[3:], "little")
-        raw = np.frombuffer(data, np.uint8, n * t.itemsize, at)
-        out.append(np.ascontiguousarray(raw.reshape(t.itemsize, -1).T).reshape(-1).view(t) if n else np.zeros(0, t))
-        at += n * t.itemsize
+        raw = np.empty((n, t.itemsize), np.uint8)
+        for i in range(t.itemsize):
+            raw[:, i] = np.frombuffer(data, np.uint8, n, at)
+            at += n
+        out.append(raw.reshape(-1).view(t))
     return out

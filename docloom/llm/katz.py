@@ -69,11 +69,45 @@ def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(r <= K, d[np.minimum(r, K)] * r, r)
 
 
+def _new(key: np.ndarray) -> np.ndarray:
+    """Where a sorted key differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An unsigned key in order, and the places that it comes from; equal ones keep theirs.
+
+    Keys are sorted with their places as lowest bits, which takes a sixth of the time of argsort. What does not fit 64 bits
+    is cut and the result looked through: hashes are nearly always in order then, other keys are sorted again.
+    """
+    n = len(key)
+    bits = max(n - 1, 0).bit_length()
+    over = max(0, int(key.max(initial=0)).bit_length() + bits - 64)
+    packed = (key >> np.uint64(over)) << np.uint64(bits) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).view(np.int64)
+    if not over:
+        return packed >> np.uint64(bits), order
+    out = key[order]
+    if (out[1:] < out[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        out = key[order]
+    return out, order
+
+
+def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    rank = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    rank[order] = np.cumsum(new, dtype=rank.dtype) - 1
+    return rank.astype(np.int64)
+
+
 class Part:
     """The tokens of one part's texts."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        texts = [zstandard.ZstdDecompressor().decompress(x) if x else b"" for x in table.column("_text").to_pylist()]
+        unzip = zstandard.ZstdDecompressor()
+        texts = [unzip.decompress(x) if x else b"" for x in table.column("_text").to_pylist()]
         off = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
         _, _, h, first = words(np.frombuffer(b"".join(texts), np.uint8), off)
         del texts
@@ -84,72 +118,109 @@ class Part:
         self.token[at] = h
         self.first = first[:-1] + np.arange(rows)
         self.size = n + 1
-        self.row = np.repeat(np.arange(rows, dtype=np.int32), self.size)
         self.begins = np.zeros(len(self.token), bool)
         self.begins[self.first] = True
-        self.train = table.column("_train").to_numpy(zero_copy_only=False).astype(bool)[self.row]
+        self.train = np.repeat(table.column("_train").to_numpy(zero_copy_only=False).astype(bool), self.size)
         self.buckets = buckets
 
     def ask_words(self):
-        """Distinct words by bucket, training counts, and each token's place among them."""
-        u, place = np.unique(self.token, return_inverse=True)
-        count = np.bincount(place, self.train, len(u)).astype(np.int64)
+        """Distinct words by bucket, where the buckets begin and end, and each token's place among the words."""
+        coded = pa.array(self.token).dictionary_encode()
+        u, order = _sorted(coded.dictionary.to_numpy())
         bucket = ((u >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-        return _sorted_by(bucket, (u, count), place)
+        second = _by_bucket(bucket, self.buckets)
+        u, bucket, order = u[second], bucket[second], order[second]
+        place = np.empty(len(u), np.int64)
+        place[order] = np.arange(len(u))
+        return *_cuts(bucket), u, place[coded.indices.to_numpy()]
+
+    def counted(self, place: np.ndarray, n: int, at=slice(None)) -> np.ndarray:
+        """Training counts of n things from the places of tokens."""
+        return np.bincount(place[self.train[at]], minlength=n).astype(np.int64)
 
     def with_words(self, count: np.ndarray, number: np.ndarray, place: np.ndarray, stats) -> None:
         """Takes the counts and numbers (0: unseen) of the distinct words."""
+        self.word, self.counts = place, count
         self.unigrams, self.number = count[place], number[place]
         weight, left = unknown(stats)
-        self.low = np.where(self.unigrams > 0, discounted(self.unigrams, discounts(stats["n"])) * weight, left)
+        self.low = np.where(count > 0, discounted(count, discounts(stats["n"])) * weight, left)[place]
         self.exact = int(stats["ranks"]) * self.buckets < (1 << 32) - 1  # two words fit 64 bits
         before = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
         self.before = before
-        # the start mark is number 0 as a context, and seen as often as the end token
+        # numbers by their order, in few bits; the start mark is number 0 as a context, and seen as often as the end token
+        self.dense = _rank(np.append(np.uint64(0), number))[1:].astype(np.uint64)[place]
+        self.bits = np.uint64(int(self.dense.max(initial=0)).bit_length())
+        self.gram = np.where(self.begins, np.uint64(0), before(self.dense))
         self.context = np.where(self.begins, np.uint64(0), before(self.number))
-        ends = np.flatnonzero(self.token == END)
-        self.total = np.where(self.begins, self.unigrams[ends[0]] if len(ends) else 0, before(self.unigrams))
+        self.total = np.where(self.begins, self.unigrams[-1:], before(self.unigrams))
         self.r, self.base = self.unigrams, np.zeros(len(self.token), np.int64)
         self.valid = np.ones(len(self.token), bool)
 
     def ask(self, share: int):
-        """Distinct k-grams (context, word) of seen contexts by bucket, and each asked token's place.
+        """Prepares to ask for the distinct k-grams (context, word) of seen contexts, by bucket.
 
-        Fields: context, word, training count here, count of the word after the shorter context, that one's tokens, whether divided.
+        Runs are the k-grams of one context in one bucket.
+        """
+        at = self.asked = np.flatnonzero(self.valid & (self.total > 0))
+        # contexts by their order and words as one number
+        v = self.gram[at] if not self.long or self.pairs else np.unique(self.context[at], return_inverse=True)[1].astype(np.uint64)
+        key, order = _sorted(v << self.bits | self.dense[at])
+        new = _new(key)
+        self.place = _ranks(order, new)
+        one = at[order[new]]
+        heads = np.flatnonzero(_new(key[new] >> self.bits))
+        run = np.diff(np.append(heads, len(one)))
+        v, total = self.context[one[heads]], self.total[one[heads]]
+        pieces = np.maximum(1, -(-total // share))
+        home = mix(v) >> np.uint64(20)
+        of = np.repeat(np.arange(len(heads)), run)
+        bucket = (home % np.uint64(self.buckets)).astype(np.int64)[of]
+        if (pieces > 1).any():  # one of as many buckets as the context has pieces
+            wide = np.flatnonzero((pieces > 1)[of])
+            c = of[wide]
+            bucket[wide] = ((home[c] + mix(self.number[one[wide]]) % pieces[c].astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        order = _by_bucket(bucket, self.buckets)
+        self.among = np.empty(len(order), np.int64)
+        self.among[order] = np.arange(len(order))
+        self.bucket, self.cuts = _cuts(bucket[order])
+        of = of[order]
+        new = _new(of)
+        new[self.cuts[:-1]] = True
+        heads = np.flatnonzero(new)
+        self.run = np.diff(np.append(heads, len(of)))
+        self.one, of = one[order], of[heads]
+        self.runs = v[of], total[of], pieces[of]
+
+    def written(self, level: int) -> list[bytes]:
+        """The requests, one for each bucket.
+
+        Of runs: context, tokens of the shorter context, pieces. Of k-grams: word, training count here, count of the word after the shorter context.
         """
-        self.asked = np.flatnonzero(self.valid & (self.total > 0))
-        at = self.asked
-        v, w = self.context[at], self.number[at]
-        if len(v) and int(w.max()) < 1 << 32:  # contexts by their order and words as one number
-            key = (v if not self.long else self.gram[at] if self.pairs else np.unique(v, return_inverse=True)[1].astype(np.uint64)) << _32 | w
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-        else:
-            order = np.lexsort((w, v))
-            a, b = v[order], w[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        self.place = place
-        one = order[new]
-        count = np.bincount(place, self.train[at], len(one)).astype(np.int64)
-        v, w, r, base, c = v[one], w[one], self.r[at][one], self.base[at][one], self.total[at][one]
-        pieces = np.maximum(1, -(-c // share)).astype(np.uint64)
-        bucket = _home(v, pieces, w, self.buckets)
-        return _sorted_by(bucket, (v, w, count, np.where(count > 0, r, 0), base, pieces), place)
-
-    def apply(self, r: np.ndarray, alpha: np.ndarray, short: np.ndarray, place: np.ndarray, n, last: bool) -> None:
-        """One step of the recursion; then, unless it is the last, contexts one word longer."""
-        at = self.asked
-        r, alpha, total = r[place], alpha[place], self.total[at] + short[place]
-        own = self.low[at]
+        heads = np.cumsum(self.run) - self.run
+        w, count = self.number[self.one], np.empty(len(self.one), np.int64)
+        count[self.among] = self.counted(self.place, len(self.one), self.asked)
+        r, base = np.where(count > 0, self.r[self.one], 0), self.base[self.one[heads]]
+        v, _, pieces = self.runs
+        cuts = np.searchsorted(heads, self.cuts)
+        return [_written(v[i:j], self.run[i:j], base[i:j], pieces[i:j], w[a:b], count[a:b], r[a:b], level) for a, b, i, j in zip(self.cuts, self.cuts[1:], cuts, cuts[1:], strict=False)]
+
+    def apply(self, r: np.ndarray, alpha: np.ndarray, short: np.ndarray, n, last: bool, base: bool) -> None:
+        """One step of the recursion from counts of k-grams and weights of runs; then, unless it is the last, contexts one word longer.
+
+        base: the tokens of contexts are kept for requests."""
+        at, place = self.asked, self.among[self.place]
+        total = np.repeat(self.runs[1] + short, self.run)
+        value = np.where(r > 0, discounted(r, discounts(n)) / total, np.repeat(alpha, self.run))[place]
+        r = r[place]
         self.low = self.low.copy()
-        self.low[at] = np.where(r > 0, discounted(r, discounts(n)) / total, alpha * own)
+        self.low[at] = np.where(r > 0, value, value * self.low[at])
         if last:
             return
-        seen, base = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
-        seen[at], base[at] = r, total
+        seen = np.zeros(len(self.token), np.int64)
+        seen[at] = r
+        if base:
+            self.base = np.zeros(len(self.token), np.int64)
+            self.base[at] = total[place]
         self.pairs = self.exact and not self.long
         longer = (self.context << _32) | self.number if self.pairs else mix(self.context * _MULT + self.number)
         if self.pairs:  # the places of pairs in order are those of the contexts
@@ -157,21 +228,13 @@ class Part:
             self.gram[at] = self.place
             self.gram = self.before(self.gram)
         self.long = True
-        self.r, self.base = seen, base
+        self.r = seen
         self.valid = self.before(self.valid) & ~self.begins
         self.context, self.total = np.where(self.valid, self.before(longer), np.uint64(0)), np.where(self.valid, self.before(seen), 0)
 
     long = False  # contexts have more than one word
 
 
-def _home(v: np.ndarray, pieces: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a k-gram: one of as many as its context has pieces."""
-    home = mix(v) >> np.uint64(20)
-    many = pieces > 1
-    home[many] += mix(w[many]) % pieces[many]
-    return (home % np.uint64(buckets)).astype(np.int64)
-
-
 def unknown(stats) -> tuple[float, float]:
     """Weight of one discounted count, and the probability of the one unknown word: what discounting leaves."""
     n, total = np.asarray(stats["n"], float), int(stats["total"])
@@ -182,13 +245,14 @@ def unknown(stats) -> tuple[float, float]:
     return (1 / total, float(left)) if left > 0 else (1 / (total + 1), 1 / (total + 1))
 
 
-def _sorted_by(bucket: np.ndarray, fields: tuple, place: np.ndarray):
-    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.arange(len(order))
-    bucket = bucket[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-    return bucket, cuts, tuple(f[order] for f in fields), inverse[place]
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
+def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted buckets, each once, and where they begin and end."""
+    first = np.flatnonzero(_new(bucket))
+    return bucket[first], np.append(first, len(bucket))
 
 
 def _answers(table: pa.Table, level: int) -> list[tuple[int, list[np.ndarray]]]:
@@ -222,14 +286,9 @@ def _replay(docs: pa.Table, answers: pa.Table, buckets: int, share: int | None,
     number = [np.where(rank > 0, (rank.astype(np.uint64) - np.uint64(1)) * np.uint64(buckets) + np.uint64(b + 1), np.uint64(0)) for b, (_, rank) in told]
     part.with_words(_cat([c for _, (c, _) in told], np.int64), _cat(number, np.uint64), place, stats[1])
     for level in range(2, upto + 1):
-        _, cuts, (v, *_), place = part.ask(share or _share(stats[1], buckets))
-        r, alpha, short = [], [], []
-        for (_, (a, b, c)), lo, hi in zip(_answers(answers, level), cuts[:-1], cuts[1:], strict=True):
-            run = np.cumsum(np.concatenate([[0], (np.diff(v[lo:hi]) != 0).astype(np.int64)]))
-            r.append(a)
-            alpha.append(b[run])
-            short.append(c[run])
-        part.apply(_cat(r, np.int64), _cat(alpha, float), _cat(short, np.int64), place, stats.get(level, _NOTHING)["n"], level == last)
+        part.ask(share or _share(stats[1], buckets))
+        told = [x for _, x in _answers(answers, level)]
+        part.apply(_cat([x[0] for x in told], np.int64), _cat([x[1] for x in told], float), _cat([x[2] for x in told], np.int64), stats.get(level, _NOTHING)["n"], level == last, level == upto)
     return part
 
 
@@ -250,64 +309,74 @@ def _sums(gap: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _by_key(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The value of each distinct key, in order."""
-    order = np.argsort(key)
-    key = key[order]
-    return value[order[np.concatenate([[True], key[1:] != key[:-1]])]] if len(key) else value[:0]
+    key, order = _sorted(key)
+    return value[order[_new(key)]]
 
 
-def _written(v: np.ndarray, w: np.ndarray, count: np.ndarray, r: np.ndarray, base: np.ndarray, pieces: np.ndarray, level: int) -> bytes:
+def _rank(key: np.ndarray) -> np.ndarray:
+    key, order = _sorted(key)
+    return _ranks(order, _new(key))
+
+
+def _written(v: np.ndarray, run: np.ndarray, base: np.ndarray, pieces: np.ndarray, w: np.ndarray, count: np.ndarray, r: np.ndarray, level: int) -> bytes:
     """A request: contexts by halves as differences, words as differences within a context, counts.
 
     In order 2 a word's own count, and in order 3 the tokens of the context's last word, are sent once for each."""
-    new = np.concatenate([[True], v[1:] != v[:-1]])
-    heads = np.flatnonzero(new)
-    high, low = v[heads] >> _32, v[heads] & _LOW
-    fresh = np.concatenate([[True], high[1:] != high[:-1]])
+    new = np.zeros(len(w), bool)
+    new[np.cumsum(run) - run] = True
+    high, low = v >> _32, v & _LOW
     if level == 2:
         seen = count > 0
         r, base = _by_key(w[seen], r[seen]), base[:0]
-    else:
-        base = _by_key(low, base[heads]) if level == 3 else base[heads]
-    run = np.diff(np.append(heads, len(v))).astype(np.uint64)
-    fields = (_differences(high, np.arange(len(high)) == 0), _differences(low, fresh), run, _differences(w, new), count, r, base, pieces[heads])
+    elif level == 3:
+        base = _by_key(low, base)
+    fields = (_differences(high, np.arange(len(high)) == 0), _differences(low, _new(high)), run.astype(np.uint64), _differences(w, new), count, r, base, pieces)
     return pack_all(*(small(np.asarray(x)) for x in fields))
 
 
 def _read(blob: bytes, level: int):
-    """Context, word, count, count after the shorter context, its tokens, pieces of each k-gram."""
+    """Of runs: context, length, tokens after the shorter context, pieces. Of k-grams: word, count, count after the shorter context."""
     high, low, run, gap, count, r, base, pieces = unpack_all(blob)
     high = np.cumsum(high, dtype=np.uint64)
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], high[1:] != high[:-1]]), np.arange(len(high)), 0))
-    low = _sums(low.astype(np.uint64), start)
+    low = _sums(low.astype(np.uint64), np.maximum.accumulate(np.where(_new(high), np.arange(len(high)), 0)))
     run = run.astype(np.int64)
     w = _sums(gap.astype(np.uint64), np.repeat(np.cumsum(run) - run, run))
     count = count.astype(np.int64)
     if level == 2:
         every, seen = np.zeros(len(w), np.int64), count > 0
-        every[seen] = r[np.unique(w[seen], return_inverse=True)[1]] if seen.any() else 0
+        every[seen] = r[_rank(w[seen])]
         r, base = every, np.zeros(len(low), np.int64)
     elif level == 3:
-        base = base[np.unique(low, return_inverse=True)[1]]
-    return np.repeat((high << _32) | low, run), w, count, r.astype(np.int64), np.repeat(base.astype(np.int64), run), np.repeat(pieces.astype(np.int64), run)
+        base = base[_rank(low)]
+    return (high << _32) | low, run, base.astype(np.int64), pieces.astype(np.int64), w, count, r.astype(np.int64)
 
 
 def _merged(table: pa.Table, level: int, counts: bool = False):
-    """All requests of a bucket together: distinct k-grams with context, count, count after the shorter context, its tokens,
-    pieces. With counts, the last three are left out where no context is divided."""
+    """All requests of a bucket together: contexts by the order of their hashes with tokens after the shorter one and pieces, and distinct
+    k-grams with the rank of their context, count and count after the shorter one. With counts, only these are given where no context is divided.
+
+    Also, of each request: part, the ranks of its contexts, where they begin, and the places of its k-grams."""
     each = [(p, _read(bytes(x), level)) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-    v, w, count, r, base, pieces = (np.concatenate([e[1][i] for e in each]) for i in range(6))
-    key = mix(v * np.uint64(0xC6A4A7935BD1E995) + w)
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    v, run, base, pieces, w, count, r = (np.concatenate([e[1][i] for e in each]) for i in range(7))
+    hashed, order = _sorted(mix(v))
+    new = _new(hashed)
+    context, one, hashed = _ranks(order, new), order[new], hashed[new]
+    bits = np.uint64(int(w.max(initial=0)).bit_length())
+    key, order = _sorted(np.repeat(context.astype(np.uint64), run) << bits | w)
+    new = _new(key)
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(count[order], first)
     if counts and not (pieces > 1).any():
-        return None, None, None, np.add.reduceat(count[order], first), None, None, None
-    place = np.empty(len(order), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    one = order[first]
+        return None, None, None, count, None
     # requests that have not seen a k-gram say 0
-    most = lambda x: np.maximum.reduceat(x[order], first)
-    return [(p, e[0]) for p, e in each], place, v[one], np.add.reduceat(count[order], first), most(r), base[one], pieces[one]
+    r = np.maximum.reduceat(r[order], first)
+    asked, a, i = [], 0, 0
+    place = None if counts else _ranks(order, new)
+    for p, e in each if not counts else ():
+        n, k = len(e[0]), len(e[4])
+        asked.append((p, context[i : i + n], np.cumsum(e[1]) - e[1], place[a : a + k]))
+        a, i = a + k, i + n
+    return asked, (v[one], hashed, base[one], pieces[one]), (key[first] >> bits).view(np.int64), count, r
 
 
 def _lower(many: np.ndarray, base: np.ndarray, level: int, before: dict, first: dict) -> np.ndarray:
@@ -317,14 +386,11 @@ def _lower(many: np.ndarray, base: np.ndarray, level: int, before: dict, first:
     return mass * unknown(first)[0] if level == 2 else mass / np.maximum(base, 1)
 
 
-def _by_context(v: np.ndarray, r: np.ndarray, lower: np.ndarray, base: np.ndarray):
-    """Distinct contexts, each k-gram's context, and per context: how many have counts 1..K and the sum above, the same of
-    the counts after the shorter context of what was seen, and that one's tokens."""
-    u, at = np.unique(v, return_inverse=True)
-    table = lambda x: np.stack([np.bincount(at[x == i], minlength=len(u)) for i in range(1, K + 1)] + [np.bincount(at, np.where(x > K, x, 0), len(u)).astype(np.int64)], axis=1)
-    tokens = np.zeros(len(u), np.int64)
-    tokens[at] = base
-    return u, at, table(r), table(np.where(r > 0, lower, 0)), tokens
+def _by_context(at: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n contexts: how many of its k-grams have counts 1..K, and the sum of those above."""
+    above = r > K
+    many = np.bincount(at * (K + 1) + np.where(above, 0, r), minlength=n * (K + 1)).reshape(n, K + 1)
+    return np.concatenate([many[:, 1:], np.bincount(at, np.where(above, r, 0), n).astype(np.int64)[:, None]], axis=1)
 
 
 _FOUND = "key long, pieces long, sums array<long>, most long"
@@ -350,7 +416,9 @@ def _count_words(table: pa.Table) -> pa.Table:
 def _word_counts(table: pa.Table):
     """What each part asked for (gaps of hashes, counts), and of the distinct words: counts, ranks by count from 1, and places."""
     each = [(p, *unpack_all(bytes(x))) for p, x in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-    u, place = np.unique(np.concatenate([np.cumsum(g, dtype=np.uint64) for _, g, _ in each]), return_inverse=True)
+    u, order = _sorted(np.concatenate([np.cumsum(g, dtype=np.uint64) for _, g, _ in each]))
+    new = _new(u)
+    u, place = u[new], _ranks(order, new)
     count = np.bincount(place, np.concatenate([c for _, _, c in each]), len(u)).astype(np.int64)
     rank = np.empty(len(u), np.int64)
     rank[np.lexsort((u, -count))] = np.arange(1, len(u) + 1)
@@ -381,13 +449,15 @@ def _blobs(bucket, parts: list, blobs: list, told: list) -> pa.Table:
 
 def _count_grams(level: int):
     def count(table: pa.Table) -> pa.Table:
-        _, _, v, r, lower, base, pieces = _merged(table, level, counts=True)
-        if v is None:
+        _, contexts, at, r, lower = _merged(table, level, counts=True)
+        if contexts is None:
             return _found(_of_counts(r[r > 0]) + [0] * K, 0)
+        u, _, _, pieces = contexts
         wide = pieces > 1
-        u, _, many, less, tokens = _by_context(v[wide], r[wide], lower[wide], base[wide])
-        sums = np.concatenate([many, less], axis=1).tolist()
-        return _found(_of_counts(r[r > 0]) + [0] * K, 0, (u.view(np.int64).tolist(), _by_key(v[wide], pieces[wide]).tolist(), sums))
+        mine = wide[at]
+        at, n = (np.cumsum(wide) - 1)[at[mine]], int(wide.sum())
+        many, less = _by_context(at, r[mine], n), _by_context(at, np.where(r > 0, lower, 0)[mine], n)
+        return _found(_of_counts(r[r > 0]) + [0] * K, 0, (u[wide].view(np.int64).tolist(), pieces[wide].tolist(), np.concatenate([many, less], axis=1).tolist()))
 
     return count
 
@@ -413,18 +483,18 @@ def _answer_grams(level: int):
     def answer(table: pa.Table, control: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _blobs(None, [], [], [])
-        each, place, v, r, lower, base, _ = _merged(table, level)
+        each, (_, hashed, tokens, _), at, r, lower = _merged(table, level)
         told = _told(control)
         known = table.column("told")[0].as_py()  # of the orders before, from what the part was told
         first, before = _known(known[:_TOLD]), _known(known[-_TOLD:])
         d = discounts(_known(told)["n"])
-        u, at, many, less, tokens = _by_context(v, r, lower, base)
+        many, less = _by_context(at, r, len(hashed)), _by_context(at, np.where(r > 0, lower, 0), len(hashed))
         given = control.filter(control.column("key").is_valid())
         if given.num_rows:  # contexts over several buckets have their sums from all of them
-            key = given.column("key").to_numpy().view(np.uint64)
-            row = np.minimum(np.searchsorted(u, key), len(u) - 1)
+            key = mix(given.column("key").to_numpy().view(np.uint64))
+            row = np.minimum(np.searchsorted(hashed, key), len(hashed) - 1)
             sums = np.array(given.column("sums").to_pylist(), np.int64)
-            mine = u[row] == key
+            mine = hashed[row] == key
             many[row[mine]], less[row[mine]] = sums[mine, : K + 1], sums[mine, K + 1 :]
         weights = np.arange(1, K + 1)
         total = many[:, :K] @ weights + many[:, K]
@@ -432,14 +502,11 @@ def _answer_grams(level: int):
         short = (total > 0) & (many[:, :K].sum(axis=1) == 0)
         mass = _lower(less, tokens, level, before, first)
         alpha = np.where(total > 0, (1 - used / np.maximum(total + short, 1)) / np.maximum(1 - mass, 1e-300), 1.0)
-        out, p = [], 0
-        for _, ev in each:
-            mine = place[p : p + len(ev)]
-            p += len(ev)
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(ev)) + 1])
-            ctx = at[mine[heads]]
-            needed = np.minimum.reduceat(r[mine], heads) == 0
-            out.append(pack_all(small(r[mine]), np.where(needed, alpha[ctx], 0.0), short[ctx].astype(np.uint8)))
+        out = []
+        for _, context, heads, place in each:
+            found = r[place]
+            needed = np.minimum.reduceat(found, heads) == 0
+            out.append(pack_all(small(found), np.where(needed, alpha[context], 0.0), short[context].astype(np.uint8)))
         return _blobs(table.column("bucket"), [e[0] for e in each], out, told)
 
     return answer
@@ -463,21 +530,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     texts = dealt.mapInArrow(compressed, f"_id {kind}, _text binary, _train boolean, _part int").repartition(n_tasks(parts), "_part")
     by_part = texts.groupBy("_part")
 
-    def requests_of(table: pa.Table, bucket: np.ndarray, cuts: np.ndarray, blobs: list[bytes], told: list) -> pa.Table:
+    def requests_of(table: pa.Table, bucket: np.ndarray, blobs: list[bytes], told: list) -> pa.Table:
         n = len(blobs)
-        return pa.table({"bucket": bucket[cuts[:-1]].astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()), "told": pa.array([told] * n, pa.list_(pa.int64()))})
+        return pa.table({"bucket": bucket.astype(np.int32), "part": pa.array([table.column("_part")[0].as_py()] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()), "told": pa.array([told] * n, pa.list_(pa.int64()))})
 
     def ask_words(table: pa.Table) -> pa.Table:
-        bucket, cuts, (u, count), _ = Part(table, buckets).ask_words()
-        return requests_of(table, bucket, cuts, [pack_all(np.diff(u[a:b], prepend=np.uint64(0)), small(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)], [])
+        part = Part(table, buckets)
+        bucket, cuts, u, place = part.ask_words()
+        count = part.counted(place, len(u))
+        return requests_of(table, bucket, [pack_all(np.diff(u[a:b], prepend=np.uint64(0)), small(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)], [])
 
     def ask_grams(level: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             part = _replay(table, answers, buckets, share, level - 1)
             stats = _stats(answers)
             told = [x for lv in (1, level - 1) for s in [stats.get(lv, _NOTHING)] for x in (*s["n"], s["total"], s["types"], s["ranks"])]
-            bucket, cuts, fields, _ = part.ask(share or _share(stats[1], buckets))
-            return requests_of(table, bucket, cuts, [_written(*(x[a:b] for x in fields), level) for a, b in zip(cuts, cuts[1:], strict=False)], told)
+            part.ask(share or _share(stats[1], buckets))
+            return requests_of(table, part.bucket, part.written(level), told)
 
         return ask
 
@@ -504,12 +573,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         part = _replay(table, told, buckets, share, order, order)
         first = _stats(told)[1]
         n, v = int(first["total"]), int(first["types"])
-        base = np.log10((part.unigrams + 1) / (n + v + 1))
-        m = len(part.first)
-        total = lambda x: np.bincount(part.row, x, m)
+        base = np.log10((part.counts + 1) / (n + v + 1))[part.word]
+        total = lambda x: np.add.reduceat(x, part.first)
         return pa.table({
-            id_col: table.column("_id"), "held_out": pa.array(~part.train[part.first]), "n_tokens": part.size.astype(np.int64), "n_known": total(part.unigrams > 0).astype(np.int64),
-            "train_tokens": np.full(m, n, np.int64), "base_score": total(base), "score": total(np.log10(part.low)),
+            id_col: table.column("_id"), "held_out": pa.array(~part.train[part.first]), "n_tokens": part.size.astype(np.int64), "n_known": total((part.unigrams > 0).astype(np.int64)),
+            "train_tokens": np.full(len(part.first), n, np.int64), "base_score": total(base), "score": total(np.log10(part.low)),
         })
 
     return cogroup.applyInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
