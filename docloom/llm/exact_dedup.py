@@ -14,7 +14,9 @@ Null text counts as empty. Null ids are largest, so they stay only when a group
 repeated row counts as often as it occurs and each of its rows carries kept if its id is kept. Rows with one id
 share a salt; copies among them have combined before the first shuffle. Texts of any length are whole: one row's
 text must fit a row. An empty table gives an empty result. Other columns are not read by `groups`; `keep_first`
-returns them unchanged, whatever their names.
+returns them unchanged, whatever their names. It needs no stage 3: a row stays if its id and digest are those of a
+winner of 2, so whole rows are shuffled once, beside a hash table of winners, and are not sorted. Only rows whose ids
+repeat are shuffled again, as of those with one text one stays.
 """
 
 from __future__ import annotations
@@ -44,12 +46,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Call
     )
 
 
+def _salted(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("_digest", "_salt", "_norm").agg(F.min("_id").alias("_min"), F.count("*").alias("_n"))
+
+
+def _n_salts(docs: DataFrame) -> int:
+    return max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256."""
-    salts = salts or max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or _n_salts(docs)
     keyed = _keyed(docs, id_col, text_col, salts, digest)
-    salted = keyed.groupBy("_digest", "_salt", "_norm").agg(F.min("_id").alias("_min"), F.count("*").alias("_n"))
-    merged = salted.groupBy("_digest", "_norm").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_set("_salt").alias("_salts"))
+    merged = _salted(keyed).groupBy("_digest", "_norm").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_set("_salt").alias("_salts"))
     sha = {} if digest is sha256 else {"_sha": sha256(F.col("_norm"))}
     winners = materialize(merged.withColumns(sha).drop("_norm"), "exact")
     clash = materialize(winners.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest"), "clashes")
@@ -71,11 +80,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of docs that stay, one of each group, with all columns. Rows with a kept id repeated within a group leave one."""
-    kept = groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    keyed = _keyed(docs, id_col, text_col, salts or _n_salts(docs), sha256)
+    kept = materialize(_salted(keyed).groupBy("_digest", "_norm").agg(F.min("_min").alias("id")).select("id", F.col("_digest").alias("sha")), "kept")
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    repeated = materialize(ids.where("n > 1").select("id"), "repeated")
     # a row travels whole beside its key, so that no column of it can clash
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), sha256(normalised(F.col(text_col))).alias("sha"))
-    hit = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["sha"] == kept["sha"]), "left_semi")
-    return hit.dropDuplicates(["id", "sha"]).select("row.*")
+
+    def hit(kept: DataFrame) -> DataFrame:  # an equality that holds for nulls adds no filter, which would make the digests a second time
+        return rows.join(kept.hint("shuffle_hash"), rows["id"].eqNullSafe(kept["id"]) & rows["sha"].eqNullSafe(kept["sha"]), "left_semi")
+
+    if repeated.isEmpty():
+        return hit(kept).select("row.*")
+    again = kept["id"].eqNullSafe(repeated["id"])
+    once, several = hit(kept.join(repeated, again, "left_anti")), hit(kept.join(repeated, again, "left_semi"))
+    return once.unionByName(several.dropDuplicates(["id", "sha"])).select("row.*")
 
 
 ORACLE = r"""

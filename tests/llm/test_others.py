@@ -55,6 +55,23 @@ def test_exact(spark, odd):
     assert exact_dedup.groups(odd.limit(0)).count() == 0
 
 
+def test_keep_first_moves_rows_once(spark, odd):
+    """Whole rows are shuffled once and never sorted; the digest is made once for each row. Rows whose ids repeat still leave one."""
+    docs = odd.dropDuplicates(["doc_id"])
+    plan = exact_dedup.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("ShuffledHashJoin") :]
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in joined.split("sha2(")[0] and plan.count("sha2(") == 1
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    rows = [(i, t) for i in (7, 7, 3, None, None) for t in ("a b", "a  b", "c", None)] + [(1, "d"), (2, "d"), (2, "e"), (2, "e")]
+    least = {}
+    for i, t in rows:
+        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
+    got = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, norm(r.text)) for r in got) == Counter((i, t) for t, i in least.items())
+    one = exact_dedup.keep_first(spark.createDataFrame([(None, "a"), (None, "a "), (None, "a  ")], "doc_id long, text string"))
+    assert sorted(norm(r.text) for r in one.collect()) == ["a", "a "]
+
+
 def test_columns_stay(spark, odd):
     """Rows that stay are rows of the input, whatever the names of their columns."""
     every = {tuple(r) for r in odd.collect()}
